@@ -9,44 +9,49 @@ from pyspark.sql import functions as F
 NUMBER_PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
-def _replace_first(text: Column, char: str, by: str) -> Column:
+def _without_first(text: Column, bracket: str) -> Column:
     # Anchored, so only the first occurrence can match.
-    return F.regexp_replace(text, rf"^([^\{char}]*)\{char}", rf"$1{by}")
+    return F.regexp_replace(text, rf"^([^\{bracket}]*)\{bracket}", "$1")
 
 
 def _number_text(text: Column) -> Column:
-    """Numeric prefix of a bracketed reading such as ``[0,26]``; empty if there is none."""
-    bare = _replace_first(_replace_first(text, "[", ""), "]", "")
-    return F.regexp_extract(_replace_first(bare, ",", "."), NUMBER_PREFIX, 1)
+    """Numeric prefix of a bracketed reading such as ``[0,26]``; empty if there is none.
+
+    A comma is a decimal point. Only the first could be part of the number, so all may
+    be replaced.
+    """
+    bare = _without_first(_without_first(text, "["), "]")
+    return F.regexp_extract(F.translate(bare, ",", "."), NUMBER_PREFIX, 1)
 
 
 def bracketed_number(text: Column) -> Column:
     """``[0.214]`` or ``[0,26]`` as double. Missing or empty text is 0, text without a
     number (``[]``) is NULL."""
-    number = F.nullif(_number_text(text), F.lit("")).try_cast("double")
+    number = _number_text(text).try_cast("double")
     return F.when(text.isNull() | (text == ""), F.lit(0.0)).otherwise(number)
 
 
-def fraction_as_temperature(text: Column, keep_zeros: bool = False) -> Column:
-    """The digits after the decimal point, read as a temperature: ``[0,26]`` is 26.
+def fraction_digits(number: Column) -> Column:
+    """Digits after the decimal point of a number written without trailing zeros; empty
+    if it is whole."""
+    plain = number.cast("string")
+    # Very small and large numbers print with an exponent; a decimal writes them out.
+    exact = number.try_cast("decimal(38,18)").cast("string")
+    written = F.when(plain.contains("E"), exact).otherwise(plain)
+    return F.rtrim(F.split_part(written, F.lit("."), F.lit(2)), F.lit("0"))
 
-    The controller reports whole degrees behind the point. By default the number
-    is rendered without trailing zeros first, so ``[0.20]`` is 2;
-    ``keep_zeros=True`` reads the digits as sent (20). No fraction: NULL.
-    """
-    if keep_zeros:
-        digits = F.regexp_extract(_number_text(text), r"\.(\d+)", 1)
-    else:
-        rendered = bracketed_number(text).try_cast("decimal(38,18)").cast("string")
-        digits = F.rtrim(F.split_part(rendered, F.lit("."), F.lit(2)), F.lit("0"))
-    return F.nullif(digits, F.lit("")).try_cast("double")
+
+def fraction_digits_as_sent(text: Column) -> Column:
+    """Digits after the decimal point of a bracketed reading, trailing zeros included."""
+    return F.regexp_extract(_number_text(text), r"\.(\d+)", 1)
 
 
 def device_number_in(name: Column) -> Column:
     """First run of digits in a device name, NULL if there is none."""
-    return F.nullif(F.regexp_extract(name, r"\d+", 0), F.lit("")).try_cast("int")
+    return F.regexp_extract(name, r"\d+", 0).try_cast("int")
 
 
 def reading_key(name: Column) -> Column:
     """Reading name with its first space as ``_``, lower case."""
-    return F.lower(F.regexp_replace(name, "^([^ ]*) ", "$1_"))
+    at = F.instr(name, " ")
+    return F.lower(F.when(at > 0, F.overlay(name, F.lit("_"), at)).otherwise(name))

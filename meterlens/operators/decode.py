@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from meterlens.functions.parsing import (
     bracketed_number,
     device_number_in,
-    fraction_as_temperature,
+    fraction_digits,
+    fraction_digits_as_sent,
     reading_key,
 )
 from meterlens.schema import POWER_SCHEMA, TEMP_SCHEMA
@@ -56,9 +57,20 @@ class Decoded(NamedTuple):
     quarantine: DataFrame
 
 
+def _compute(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row. As a generator it stays a step of its
+    own; an ordinary column would be computed again in every filter pushed below it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _parse(messages: DataFrame, fmt: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return messages.withColumn("message", F.from_json("payload", fmt, options))
+    return _compute(messages, "message", F.from_json("payload", fmt, options))
+
+
+def _lookup(names: Column, values: Column, name: str) -> Column:
+    """Value at the position of ``name``, NULL if absent."""
+    return F.get(values, (F.array_position(names, name) - 1).cast("int"))
 
 
 def _readable() -> Column:
@@ -104,29 +116,42 @@ def pme5_power(parsed: DataFrame, skip_empty: bool = False) -> DataFrame:
     ``skip_empty``. Phases 2 and 3 are not measured and stay NULL.
     """
     readings = F.coalesce(F.col("message.PME5"), F.array())
-    meter = F.filter(readings, lambda r: r["server_name"] == PME5_METER)
-
-    def first(name: str) -> Column:
-        return F.get(F.filter(meter, lambda r: r["name"] == name), F.lit(0))["data"]
-
     if skip_empty:
         parsed = parsed.where(F.size(readings) > 0)
-    columns = {c: bracketed_number(first(name)) for c, name in PME5_READINGS.items()}
+    meters = parsed.select(
+        "seq", "ts", F.filter(readings, lambda r: r["server_name"] == PME5_METER).alias("meter")
+    ).select("seq", "ts", F.col("meter.name").alias("names"), F.col("meter.data").alias("texts"))
+    texts = meters.select(
+        "seq",
+        "ts",
+        *[_lookup(F.col("names"), F.col("texts"), n).alias(c) for c, n in PME5_READINGS.items()],
+    )
+    columns = {c: bracketed_number(F.col(c)) for c in PME5_READINGS}
     columns |= {"id": F.col("seq"), "no_device": F.lit(1), "timestamp": F.col("ts")}
-    return _as_table(parsed, POWER_SCHEMA, columns)
+    return _as_table(texts, POWER_SCHEMA, columns)
 
 
 def pme5_temp(parsed: DataFrame, keep_zeros: bool = False) -> DataFrame:
-    """One temperature row of device 1 per message whose controller reading has a fraction."""
+    """One temperature row of device 1 per message whose controller reading has a fraction.
+
+    The controller reports whole degrees behind the point: ``[0,26]`` is 26. By default
+    the number is written without trailing zeros first, so ``[0.20]`` is 2;
+    ``keep_zeros=True`` reads the digits as sent (20).
+    """
     readings = F.coalesce(F.col("message.PME5"), F.array())
-    first = F.get(F.filter(readings, lambda r: r["server_name"] == PME5_TEMPERATURE), F.lit(0))
+    text = _lookup(readings["server_name"], readings["data"], PME5_TEMPERATURE)
+    if keep_zeros:
+        temps = _compute(parsed, "digits", fraction_digits_as_sent(text))
+    else:
+        temps = _compute(parsed, "number", bracketed_number(text))
+        temps = temps.withColumn("digits", fraction_digits(F.col("number")))
     columns = {
         "id": F.col("seq"),
         "no_device": F.lit(1),
-        "temp": fraction_as_temperature(first["data"], keep_zeros),
+        "temp": F.col("digits").try_cast("double"),
         "timestamp": F.col("ts"),
     }
-    return _as_table(parsed, TEMP_SCHEMA, columns).where(F.col("temp").isNotNull())
+    return _as_table(temps, TEMP_SCHEMA, columns).where(F.col("temp").isNotNull())
 
 
 def decode_pme5(
@@ -179,20 +204,25 @@ def device_list_power(parsed: DataFrame) -> DataFrame:
     """One power row per power meter in a message; a missing reading is 0, and of
     readings with the same name the last one counts."""
     devices = parsed.select("seq", "ts", F.explode("message.data").alias("device"))
-    devices = devices.where(_is_power(F.col("device")))
-
-    def last(key: str) -> Column:
-        found = F.filter("device.values", lambda v: reading_key(v["name"]) == key)
-        value = F.try_element_at(found, F.lit(-1))["raw_data"].try_cast("double")
-        return F.coalesce(value, F.lit(0.0))
-
-    columns = {c: last(key) for c, key in DEVICE_LIST_READINGS.items()}
+    # Reversed, so that the first match is the last reading of that name.
+    values = F.reverse("device.values")
+    meters = devices.where(_is_power(F.col("device"))).select(
+        "seq",
+        "ts",
+        F.col("device.name").alias("name"),
+        F.transform(values, lambda v: reading_key(v["name"])).alias("keys"),
+        values["raw_data"].alias("data"),
+    )
+    columns = {
+        c: F.coalesce(_lookup(F.col("keys"), F.col("data"), key).try_cast("double"), F.lit(0.0))
+        for c, key in DEVICE_LIST_READINGS.items()
+    }
     columns |= {
         "id": F.col("seq"),
-        "no_device": device_number_in(F.col("device.name")),
+        "no_device": device_number_in(F.col("name")),
         "timestamp": F.col("ts"),
     }
-    return _as_table(devices, POWER_SCHEMA, columns)
+    return _as_table(meters, POWER_SCHEMA, columns)
 
 
 def device_list_temp(parsed: DataFrame) -> DataFrame:

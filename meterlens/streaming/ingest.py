@@ -50,12 +50,12 @@ def _write_both_tables(out_dir: str, power_of, temp_of):
         context = messages.sparkSession.sparkContext
         batch = f"{context.getLocalProperty('sql.streaming.queryId')}-{number}"
         # Computed once for the two writes; a lost block is recomputed from the source.
-        messages.persist()
+        parsed = messages.select("message", "seq", "ts").persist()
         try:
-            write_readings(power_of(messages), table_path(out_dir, "power_meter"), batch, True)
-            write_readings(temp_of(messages), table_path(out_dir, "temp_control"), batch, True)
+            write_readings(power_of(parsed), table_path(out_dir, "power_meter"), batch, True)
+            write_readings(temp_of(parsed), table_path(out_dir, "temp_control"), batch, True)
         finally:
-            messages.unpersist()
+            parsed.unpersist()
 
     return write
 
