@@ -23,6 +23,7 @@ from meterlens.operators.summary import dashboard, summary
 from meterlens.operators.totals import phases, total
 from meterlens.plans import fixtures as fx
 from meterlens.plans.modes import Mode
+from meterlens.plans.rollup import hourly_rollup
 from meterlens.schema import (
     METRICS,
     POWER_DEVICES,
@@ -97,6 +98,8 @@ def _report_queries() -> dict[str, Query]:
     for kind, mode in MODES.items():
         view = view_of(kind)
         for suffix, device in (("", None), ("_dev2", 2)):
+            if kind == "today" and device == 2:
+                mode = Mode.today(fx.AS_OF_DEVICE_2)
             for name in PHASE_METRICS:
                 queries[f"phases_{name}_{kind}{suffix}"] = (
                     lambda spark, sf, name=name, mode=mode, view=view, device=device: phases(
@@ -109,6 +112,7 @@ def _report_queries() -> dict[str, Query]:
                         view(spark, sf, METRICS[name].table), name, mode, device
                     )
                 )
+        mode = MODES[kind]
         for name, m in METRICS.items():
             queries[f"compare_{name}_{kind}"] = (
                 lambda spark, sf, name=name, m=m, mode=mode, view=view: compare_metric(
@@ -169,6 +173,39 @@ def _cost_queries() -> dict[str, Query]:
     return queries
 
 
+def _rollup_queries() -> dict[str, Query]:
+    """The hourly rollup, and reports computed from it."""
+
+    def rollup(spark: SparkSession, sf: str, table: str = "power") -> DataFrame:
+        return hourly_rollup(long_view(spark, sf, table))
+
+    return {
+        "rollup_temp_hourly": lambda spark, sf: _with_time_text(
+            hourly_rollup(short_view(spark, sf, "temp"))
+            .drop("dt")
+            .withColumn("temp_sum", F.col("temp_sum").cast("double"))
+            .withColumn("temp_max", F.col("temp_max").cast("double")),
+            "timestamp",
+        ),
+        "rollup_history_range_long": lambda spark, sf: history(
+            rollup(spark, sf), rollup(spark, sf, "temp"), **HISTORY_LONG
+        ),
+        "rollup_total_kva_year": lambda spark, sf: total(rollup(spark, sf), "kva", MODES["year"]),
+        "rollup_phases_volt_range": lambda spark, sf: phases(
+            rollup(spark, sf), "volt", MODES["range"]
+        ),
+        "rollup_compare_volt_range": lambda spark, sf: compare_metric(
+            rollup(spark, sf), "volt", MODES["range"]
+        ),
+        "rollup_summary_watt_year_all": lambda spark, sf: summary(
+            rollup(spark, sf), MODES["year"], POWER_DEVICES
+        ),
+        "rollup_cost_day_all": lambda spark, sf: energy_compare(
+            rollup(spark, sf), "day", fx.AS_OF_LONG
+        ),
+    }
+
+
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     return fx.spark_view(spark, sf, fx.MESSAGES)
 
@@ -262,5 +299,6 @@ def queries() -> dict[str, Query]:
         **_report_queries(),
         **_cost_queries(),
         **_option_queries(),
+        **_rollup_queries(),
         **_ingest_queries(),
     }

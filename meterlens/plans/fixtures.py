@@ -14,6 +14,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = date(2024, 1, 15)
+AS_OF_DEVICE_2 = date(2024, 1, 16)  # device 2 is silent on AS_OF
 DAY = date(2024, 1, 10)
 RANGE = (date(2024, 1, 5), date(2024, 1, 25))
 AS_OF_LONG = date(1998, 6, 15)

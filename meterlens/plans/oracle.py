@@ -159,11 +159,12 @@ def _bucket_report(view: str, values: dict, kind: str, device: str, extra: str =
 
 
 def _raw_report(view: str, values: dict, device: str) -> str:
+    day = fx.AS_OF_DEVICE_2 if device else fx.AS_OF
     columns = ", ".join(f"CAST({c} AS DOUBLE) AS {name}" for name, c in values.items())
     return (
         f"{_views(view)} SELECT timestamp, {', '.join(values)} FROM ("
         f"SELECT id, {_label(SECOND_FMT)} AS timestamp, {columns} FROM {view} AS v "
-        f"WHERE {_on(fx.AS_OF, 'v.timestamp')}{device} ORDER BY 2 DESC, id DESC LIMIT 250"
+        f"WHERE {_on(day, 'v.timestamp')}{device} ORDER BY 2 DESC, id DESC LIMIT 250"
         f") ORDER BY timestamp"
     )
 
@@ -424,8 +425,27 @@ def _ingest() -> dict[str, str]:
     }
 
 
+def _rollups(direct: dict[str, str]) -> dict[str, str]:
+    """Reports from the rollup must equal the reports from the readings."""
+    names = (
+        "history_range_long",
+        "total_kva_year",
+        "phases_volt_range",
+        "compare_volt_range",
+        "summary_watt_year_all",
+        "cost_day_all",
+    )
+    sql = {f"rollup_{name}": direct[name] for name in names}
+    hour = _label(TIME_TEXT, "date_trunc('hour', timestamp)")
+    sql["rollup_temp_hourly"] = (
+        f"{_views('tc')} SELECT no_device, {hour} AS timestamp, {_agg('sum', 'temp')} AS temp_sum, "
+        f"COUNT(temp) AS temp_count, {_agg('max', 'temp')} AS temp_max FROM tc GROUP BY 1, 2"
+    )
+    return sql
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    direct = {
         **_series(),
         **_history(),
         **_reports(),
@@ -434,3 +454,5 @@ def oracle_sql() -> dict[str, str]:
         **_costs(),
         **_ingest(),
     }
+    return {**direct, **_rollups(direct)}
+

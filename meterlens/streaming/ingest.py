@@ -86,7 +86,8 @@ def ingest(
     messages = stream_messages(spark, source_dir, topic, fmt, max_files_per_trigger)
     readings = valid(parse(messages))
     if every is not None:
-        readings = sample_latest(readings, every, watermark)
+        # The parsed form is all that is needed from here on; the text stays behind.
+        readings = sample_latest(readings.drop("payload"), every, watermark)
     elif min_gap_seconds is not None:
         readings = parse(sample_spacing(readings, min_gap_seconds, watermark))
     writer = (
