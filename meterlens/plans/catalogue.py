@@ -280,7 +280,12 @@ def _ingest_queries() -> dict[str, Query]:
             spark, sf, device_list_messages(spark, sf), TOPIC_DEVICE_LIST
         ),
         "ingest_stream_spacing": lambda spark, sf: _ingested(
-            spark, sf, messages(spark, sf), TOPIC_PME5, min_gap_seconds=600
+            spark,
+            sf,
+            messages(spark, sf),
+            TOPIC_PME5,
+            min_gap_seconds=600,
+            state_partitions=1,  # one topic, one key
         ),
     }
     for table in ("power", "temp"):

@@ -405,6 +405,18 @@ def _ingest() -> dict[str, str]:
         )
 
     kept = f"WITH kept AS (SELECT e.* FROM ({sampled('10 seconds')}) JOIN events e USING (event_id))"
+    # Each write is due at the first tick with a message, or 600 s after the last write.
+    spaced = f"""WITH RECURSIVE ticks AS (
+  SELECT CAST(floor(epoch(ts)) AS BIGINT) + 1 AS tick, arg_max(event_id, (ts, event_id)) AS event_id
+  FROM {valid} GROUP BY 1),
+writes AS (
+  SELECT min(tick) AS due FROM ticks
+  UNION ALL
+  SELECT greatest(w.due + 600, n.tick)
+  FROM writes w, LATERAL (SELECT min(tick) AS tick FROM ticks WHERE tick > w.due) n
+  WHERE n.tick IS NOT NULL),
+kept AS (
+  SELECT e.* FROM writes w ASOF JOIN ticks t ON w.due >= t.tick JOIN events e USING (event_id))"""
     return {
         "decode_pme5_power": pme5_power(valid),
         "decode_pme5_temp": pme5_temp(valid),
@@ -422,6 +434,7 @@ def _ingest() -> dict[str, str]:
         "sample_latest_hour": sample_report("1 hour"),
         "ingest_stream": both(pme5_power("kept"), pme5_temp("kept"), kept),
         "ingest_stream_device_list": both(list_power, list_temp),
+        "ingest_stream_spacing": both(pme5_power("kept"), pme5_temp("kept"), spaced),
     }
 
 

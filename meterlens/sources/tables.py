@@ -27,19 +27,12 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schema).parquet(table_path(root, table)).drop("batch")
 
 
-def write_readings(df: DataFrame, path: str, batch: str, rebalance: bool = False) -> None:
+def write_readings(df: DataFrame, path: str, batch: str) -> None:
     """Write rows as one batch. Only the (dt, batch) folders present in ``df`` are replaced,
-    so writing the same batch again does not duplicate rows.
-
-    ``rebalance`` evens out the files per day first: small days are joined into one
-    task and a day that holds most rows is split over several. That split is done by
-    adaptive execution; without it one day would be one task, so nothing is moved then.
-    """
-    rows = df.withColumn("dt", F.to_date("timestamp"))
-    if rebalance and df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
-        rows = rows.hint("rebalance", F.col("dt"))
+    so writing the same batch again does not duplicate rows."""
     (
-        rows.withColumn("batch", F.lit(batch))
+        df.withColumn("dt", F.to_date("timestamp"))
+        .withColumn("batch", F.lit(batch))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("dt", "batch")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,6 +38,30 @@ DECODERS = {
 }
 
 
+# Messages per writing task; bounds the files of a batch and the rows of a task.
+MESSAGES_PER_TASK = 250_000
+
+# Fixed value: the state store that can hold the spacing state.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]):
+    """Session settings for the start of one stream. A stream keeps the values it was
+    started with, so the session gets its own back right after."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def _decoder(topic: str):
     if topic not in DECODERS:
         raise ValueError(f"unknown topic {topic!r}; expected one of {sorted(DECODERS)}")
@@ -52,8 +79,13 @@ def _write_both_tables(out_dir: str, power_of, temp_of):
         # Computed once for the two writes; a lost block is recomputed from the source.
         parsed = messages.select("message", "seq", "ts").persist()
         try:
-            write_readings(power_of(parsed), table_path(out_dir, "power_meter"), batch, True)
-            write_readings(temp_of(parsed), table_path(out_dir, "temp_control"), batch, True)
+            tasks = math.ceil(parsed.count() / MESSAGES_PER_TASK)
+            if tasks > 0:
+                # Each task writes a short time range: few files per day, narrow statistics
+                # in each, and a day with most of the rows is still split.
+                ranges = parsed.repartitionByRange(tasks, "ts", "seq")
+                write_readings(power_of(ranges), table_path(out_dir, "power_meter"), batch)
+                write_readings(temp_of(ranges), table_path(out_dir, "temp_control"), batch)
         finally:
             parsed.unpersist()
 
@@ -72,13 +104,15 @@ def ingest(
     trigger: dict | None = None,
     fmt: str = "parquet",
     max_files_per_trigger: int | None = None,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Decode a topic of a landing folder into the tables under ``out_dir``.
 
     Unreadable messages are dropped first (see :func:`quarantine`), then the rest is
     sampled: ``every`` keeps the latest message per interval, ``min_gap_seconds`` keeps
     writes at least that far apart, neither keeps all. A failed batch is repeated from
-    the checkpoint.
+    the checkpoint. ``state_partitions`` sets the number of state partitions of a sampled
+    stream; it is fixed once the checkpoint exists.
     """
     if every is not None and min_gap_seconds is not None:
         raise ValueError("give either every or min_gap_seconds")
@@ -97,7 +131,13 @@ def ingest(
     )
     if trigger is not None:
         writer = writer.trigger(**trigger)
-    return writer.start()
+    settings = {}
+    if min_gap_seconds is not None:
+        settings["spark.sql.streaming.stateStore.providerClass"] = STATE_STORE
+    if state_partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    with _settings(spark, settings):
+        return writer.start()
 
 
 def quarantine(
