@@ -285,7 +285,7 @@ def _ingest_queries() -> dict[str, Query]:
             messages(spark, sf),
             TOPIC_PME5,
             min_gap_seconds=600,
-            state_partitions=1,  # one topic, one key
+            state_partitions=8,
         ),
     }
     for table in ("power", "temp"):
