@@ -83,13 +83,12 @@ def compare_latest(
 
     Readings with equal labels combine in every way, as in a join of the row
     sets. The input of that step is at most ``n`` rows per device, so the
-    per-label lists are small and one pass over the table is enough.
+    per-label lists are small and no join per device is needed.
     """
-    readings = df.where(F.col("no_device").isin(*devices))
     label = bucket_label(second_of_day(F.col("timestamp")), "second")
     # The struct keeps a NULL reading in the list.
     by_label = (
-        latest_per_device(readings, n, order, [column])
+        latest_per_device(df, n, order, [column], devices)
         .groupBy(label.alias("timestamp"))
         .agg(
             *[

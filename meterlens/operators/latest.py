@@ -39,24 +39,60 @@ def latest_raw(df: DataFrame, mode: Mode, columns: dict[str, str], n: int = RAW_
     ).orderBy("timestamp")
 
 
+def _since_cutoff(df: DataFrame, n: int, order: str) -> DataFrame:
+    """Rows of each device from the newest hour of day (or day) on that leaves at least
+    ``n`` rows, or all rows of a device that has fewer. For a few given devices only:
+    the cutoffs, one row per device, are broadcast.
+
+    Counting is one hash aggregation over two columns; it spares sorting the whole table
+    for a few rows per device.
+    """
+    if order == "label":
+        bucket = F.coalesce(F.hour("timestamp"), F.lit(-1))
+    else:
+        bucket = F.coalesce(F.to_date("timestamp"), F.lit("0001-01-01").cast("date"))
+    rows = df.withColumn("_bucket", bucket)
+    newer = (
+        Window.partitionBy("no_device")
+        .orderBy(F.desc("_bucket"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    cutoff = (
+        rows.groupBy("no_device", "_bucket")
+        .count()
+        .withColumn("_newer", F.coalesce(F.sum("count").over(newer), F.lit(0)))
+        .where(F.col("_newer") < n)
+        .groupBy(F.col("no_device").alias("_device"))
+        .agg(F.min("_bucket").alias("_from"))
+    )
+    since = (F.col("no_device") == F.col("_device")) & (F.col("_bucket") >= F.col("_from"))
+    return rows.join(F.broadcast(cutoff), since, "left_semi")
+
+
 def latest_per_device(
     df: DataFrame,
     n: int = RAW_LIMIT,
     order: str = "label",
     columns: list[str] | None = None,
+    devices: tuple[int, ...] | None = None,
 ) -> DataFrame:
-    """The ``n`` top readings of every device.
+    """The ``n`` top readings of every device, or of the given ``devices``.
 
     ``order="label"`` ranks by time of day over all days, ``order="latest"`` by
     the full timestamp. Ranking is done in two steps: within (device, slot of
     input partitions) first, then over the survivors of each device. Every task
     of the scan hands on at most ``n`` rows per device, and a device that holds
-    most of the table is still ranked by many tasks.
+    most of the table is still ranked by many tasks. For given devices, a count
+    per hour first leaves out the rows that cannot be among the top ``n``.
     """
     columns = columns or [c for c in df.columns if c not in ("id", "no_device", "timestamp", "dt")]
     keys = _newest_first(df, order, columns)
     kept = [c for c in ("id", "no_device", "timestamp") if c in df.columns] + columns
-    slots = df.select(*kept, (F.spark_partition_id() % RANK_SLOTS).alias("_slot"))
+    candidates = df.select(*kept)
+    if devices is not None:
+        candidates = candidates.where(F.col("no_device").isin(*devices))
+        candidates = _since_cutoff(candidates, n, order)
+    slots = candidates.select(*kept, (F.spark_partition_id() % RANK_SLOTS).alias("_slot"))
     by_slot = Window.partitionBy("no_device", "_slot").orderBy(*keys)
     by_device = Window.partitionBy("no_device").orderBy(*keys)
     return (

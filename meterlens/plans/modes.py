@@ -115,5 +115,6 @@ def in_window(df: DataFrame, mode: Mode, tz: str | None = None) -> DataFrame:
     lo, hi = bound(mode.lo), bound(mode.hi)
     df = df.where((ts >= lo) & (ts < hi))
     if has_dt:
-        df = df.where((F.col("dt") >= F.to_date(lo)) & (F.col("dt") <= F.to_date(hi)))
+        last = hi - F.expr("INTERVAL 1 MICROSECOND")
+        df = df.where(F.col("dt").between(F.to_date(lo), F.to_date(last)))
     return df

@@ -95,6 +95,11 @@ def test_windows_reach_the_scan(spark, readings, tmp_path):
     plan = physical(in_window(table, Mode.of_month(date(2023, 3, 9))))
     assert "PartitionFilters: [isnotnull(dt" in plan
     assert "GreaterThanOrEqual(timestamp,2023-03-01T00:00)" in plan
+    one_day = physical(in_window(table, Mode.day(date(2023, 3, 4))))
+    assert "(dt#" in one_day and ">= 2023-03-04), (dt" in one_day and "<= 2023-03-04)]" in one_day
+    shifted = physical(in_window(table, Mode.day(date(2023, 3, 4)), "+07:00"))
+    assert "GreaterThanOrEqual(timestamp,2023-03-03T17:00)" in shifted
+    assert ">= 2023-03-03), (dt" in shifted and "<= 2023-03-04)]" in shifted
     any_year = physical(in_window(table, Mode.month_of_any_year(date(2023, 3, 9))))
     assert "(month(dt" in any_year.split("PartitionFilters:")[1]
 

@@ -91,7 +91,6 @@ def test_compare_scans_once(power, tmp_path):
     for df in (
         compare(stored, "kw", "sum", RANGE),
         compare(stored, "volt1", "avg", RANGE, limit=250),
-        compare_latest(stored, "kw"),
         summary(stored, RANGE, (1, 2, 3)),
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -99,12 +98,15 @@ def test_compare_scans_once(power, tmp_path):
         assert "Join" not in plan
 
 
+@pytest.mark.parametrize("devices", [None, (1, 2, 3, 4)])
 @pytest.mark.parametrize("order", ["label", "latest"])
-def test_latest_per_device_equals_plain_ranking(power, order):
+@pytest.mark.parametrize("n", [40, 10_000])
+def test_latest_per_device_equals_plain_ranking(power, order, devices, n):
     key = F.date_format("timestamp", "HH:mm:ss") if order == "label" else F.col("timestamp")
     plain = Window.partitionBy("no_device").orderBy(key.desc(), F.desc("id"))
-    want = power.withColumn("rn", F.row_number().over(plain)).where("rn <= 40").select("id")
-    assert rows_of(latest_per_device(power, 40, order).select("id")) == rows_of(want)
+    want = power.withColumn("rn", F.row_number().over(plain)).where(f"rn <= {n}").select("id")
+    got = latest_per_device(power, n, order, devices=devices)
+    assert rows_of(got.select("id")) == rows_of(want)
 
 
 def test_compare_latest_multiplies_equal_labels(power):
