@@ -342,11 +342,10 @@ PME5_PAYLOAD = """concat(
  '{"PME5":[{"server_name":"PM2100","name":"Voltage","data":"[', CAST(220 + event_id % 11 AS VARCHAR), ']"},',
  '{"server_name":"PM2100","name":"kWh","data":"[', CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), ']"},',
  '{"server_name":"E5CC","name":"Temperature","data":"[0,', CAST(20 + event_id % 15 AS VARCHAR), ']"}]}')"""
-TIME_TEXT = "%Y-%m-%d %H:%M:%S.%f"
 
 
 def _ingest() -> dict[str, str]:
-    at = _label(TIME_TEXT, "ts")
+    at = "CAST(ts AS VARCHAR)"
     null = "CAST(NULL AS DOUBLE)"
 
     def pme5_power(source: str) -> str:
@@ -399,7 +398,7 @@ def _ingest() -> dict[str, str]:
 
     def sample_report(width: str) -> str:
         return (
-            f"SELECT 'PM/E5' AS topic, {_label(TIME_TEXT, 'w')} AS window_start, {at} AS ts, "
+            f"SELECT 'PM/E5' AS topic, CAST(w AS VARCHAR) AS window_start, {at} AS ts, "
             f"event_id AS seq, {PME5_PAYLOAD} AS payload "
             f"FROM ({sampled(width)}) JOIN events USING (event_id)"
         )
@@ -449,7 +448,7 @@ def _rollups(direct: dict[str, str]) -> dict[str, str]:
         "cost_day_all",
     )
     sql = {f"rollup_{name}": direct[name] for name in names}
-    hour = _label(TIME_TEXT, "date_trunc('hour', timestamp)")
+    hour = "CAST(date_trunc('hour', timestamp) AS VARCHAR)"
     sql["rollup_temp_hourly"] = (
         f"{_views('tc')} SELECT no_device, {hour} AS timestamp, {_agg('sum', 'temp')} AS temp_sum, "
         f"COUNT(temp) AS temp_count, {_agg('max', 'temp')} AS temp_max FROM tc GROUP BY 1, 2"
