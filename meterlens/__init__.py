@@ -15,7 +15,10 @@ from meterlens.operators.series import series
 from meterlens.operators.summary import dashboard, summary
 from meterlens.operators.totals import phases, total
 from meterlens.plans.modes import Mode, in_window, resolve_mode, resolve_period
+from meterlens.plans.rollup import hourly_rollup
+from meterlens.streaming.ingest import ingest, quarantine
 from meterlens.streaming.sample import sample_latest
+from meterlens.streaming.spacing import sample_spacing
 
 __all__ = [
     "Mode",
@@ -31,12 +34,16 @@ __all__ = [
     "energy_cost",
     "energy_total",
     "history",
+    "hourly_rollup",
     "in_window",
+    "ingest",
     "latest_per_device",
     "phases",
+    "quarantine",
     "resolve_mode",
     "resolve_period",
     "sample_latest",
+    "sample_spacing",
     "series",
     "summary",
     "total",

@@ -21,6 +21,14 @@ from meterlens.functions.parsing import (
 )
 from meterlens.schema import POWER_SCHEMA, TEMP_SCHEMA
 
+# Only standard JSON is read; what does not fit the format is kept in _corrupt.
+JSON_OPTIONS = {
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": "_corrupt",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+
 # Message formats and the names in them.
 PME5_FORMAT = "PME5 ARRAY<STRUCT<server_name STRING, name STRING, data STRING>>, _corrupt STRING"
 PME5_METER = "PM2100"
@@ -64,8 +72,7 @@ def _compute(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _parse(messages: DataFrame, fmt: str) -> DataFrame:
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return _compute(messages, "message", F.from_json("payload", fmt, options))
+    return _compute(messages, "message", F.from_json("payload", fmt, JSON_OPTIONS))
 
 
 def _lookup(names: Column, values: Column, name: str) -> Column:
@@ -74,11 +81,14 @@ def _lookup(names: Column, values: Column, name: str) -> Column:
 
 
 def _readable() -> Column:
-    # The JSON literal null parses, but is no message.
+    # A message is one object. The parser alone would accept the literal null, and text
+    # after the object.
+    text = F.btrim(F.col("payload"), F.lit(" \t\r\n"))
     return (
         F.col("message").isNotNull()
         & F.col("message._corrupt").isNull()
-        & (F.trim("payload") != "null")
+        & text.startswith("{")
+        & text.endswith("}")
     )
 
 

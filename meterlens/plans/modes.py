@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
-from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ def session_today() -> date:
     spark = SparkSession.getActiveSession()
     if spark is None:
         return date.today()
-    return datetime.now(ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))).date()
+    return spark.sql("SELECT current_date()").collect()[0][0]
 
 
 @dataclass(frozen=True)

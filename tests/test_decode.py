@@ -84,14 +84,29 @@ def test_pme5_readings_are_picked_by_server_and_first_name(spark):
 
 
 def test_pme5_without_readings(spark):
-    payloads = ["{}", '{"PME5":[]}', '{"PME5":null}', '{"PME5":[{"server_name":"PM2100"}]}']
+    payloads = ["{}", ' {"PME5":[]}\r\n', '{"PME5":null}', '{"PME5":[{"server_name":"PM2100"}]}']
     source = messages(spark, payloads)
     assert [r.volt1 for r in decode_pme5(source).power.collect()] == [0.0] * 4
     assert [r.id for r in decode_pme5(source, skip_empty=True).power.collect()] == [3]
     assert decode_pme5(source).temp.count() == 0
 
 
-@pytest.mark.parametrize("payload", ['{"PME5":[', "", "not json", "null", None, '{"PME5":"x"}'])
+@pytest.mark.parametrize(
+    "payload",
+    [
+        '{"PME5":[',
+        "",
+        "not json",
+        "null",
+        " null\n",
+        None,
+        '{"PME5":"x"}',
+        "{'PME5':[]}",
+        '{"PME5":[]} x',
+        "[]",
+        "7",
+    ],
+)
 def test_pme5_unreadable(spark, payload):
     decoded = decode_pme5(messages(spark, [payload, "{}"]))
     assert [r.seq for r in decoded.quarantine.collect()] == [0]
