@@ -29,9 +29,11 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 def write_readings(df: DataFrame, path: str, batch: str) -> None:
     """Write rows as one batch. Only the (dt, batch) folders present in ``df`` are replaced,
-    so writing the same batch again does not duplicate rows."""
+    so writing the same batch again does not duplicate rows. Within a file the rows are
+    ordered by device and time, so that a device filter skips pages."""
     (
         df.withColumn("dt", F.to_date("timestamp"))
+        .sortWithinPartitions("dt", "no_device", "timestamp")
         .withColumn("batch", F.lit(batch))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

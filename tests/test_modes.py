@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,7 +91,8 @@ def physical(df) -> str:
 
 def test_windows_reach_the_scan(spark, readings, tmp_path):
     root = str(tmp_path)
-    write_readings(readings, table_path(root, "temp_control"), "b0")
+    weeks = readings.where("timestamp BETWEEN '2023-02-25' AND '2023-03-10'")
+    write_readings(weeks, table_path(root, "temp_control"), "b0")
     table = read_table(spark, root, "temp_control")
     plan = physical(in_window(table, Mode.of_month(date(2023, 3, 9))))
     assert "PartitionFilters: [isnotnull(dt" in plan
@@ -107,8 +109,20 @@ def test_windows_reach_the_scan(spark, readings, tmp_path):
 def test_writing_a_batch_again_replaces_it(spark, readings, tmp_path):
     root = str(tmp_path)
     path = table_path(root, "temp_control")
-    first, second = readings.where("id < 700"), readings.where("id >= 700")
+    first, second = readings.where("id < 40"), readings.where("id BETWEEN 40 AND 79")
     write_readings(first, path, "b0")
     write_readings(second, path, "b1")
     write_readings(second, path, "b1")
-    assert ids(read_table(spark, root, "temp_control")) == list(range(1500))
+    assert ids(read_table(spark, root, "temp_control")) == list(range(80))
+
+
+def test_files_are_ordered_by_device_and_time(spark, tmp_path):
+    rows = [(i, i % 4, 1.0, datetime(2024, 1, 1 + i % 2, 0, 59 - i)) for i in range(60)]
+    df = spark.createDataFrame(rows, TEMP_SCHEMA).coalesce(1)
+    write_readings(df, str(tmp_path), "b0")
+    files = list(tmp_path.rglob("*.parquet"))
+    assert len(files) == 2
+    for file in files:
+        written = pq.ParquetFile(file).read(["no_device", "timestamp"]).to_pylist()
+        keys = [(r["no_device"], r["timestamp"]) for r in written]
+        assert len(keys) == 30 and keys == sorted(keys)
