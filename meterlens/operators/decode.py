@@ -72,7 +72,13 @@ def _compute(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _parse(messages: DataFrame, fmt: str) -> DataFrame:
-    return _compute(messages, "message", F.from_json("payload", fmt, JSON_OPTIONS))
+    # A message is one object. The parser alone would accept the literal null, and text
+    # after the object.
+    text = F.btrim(F.col("payload"), F.lit(" \t\r\n"))
+    parsed = F.when(
+        text.startswith("{") & text.endswith("}"), F.from_json("payload", fmt, JSON_OPTIONS)
+    )
+    return _compute(messages, "message", parsed)
 
 
 def _lookup(names: Column, values: Column, name: str) -> Column:
@@ -81,15 +87,7 @@ def _lookup(names: Column, values: Column, name: str) -> Column:
 
 
 def _readable() -> Column:
-    # A message is one object. The parser alone would accept the literal null, and text
-    # after the object.
-    text = F.btrim(F.col("payload"), F.lit(" \t\r\n"))
-    return (
-        F.col("message").isNotNull()
-        & F.col("message._corrupt").isNull()
-        & text.startswith("{")
-        & text.endswith("}")
-    )
+    return F.col("message").isNotNull() & F.col("message._corrupt").isNull()
 
 
 def _without(parsed: DataFrame, valid: Column) -> DataFrame:

@@ -4,7 +4,7 @@ Every bucketed report (hour, day, month, year; max, sum and average) can be give
 the rollup in place of the readings and returns the same result: sums and counts
 add up, maxima combine, and an average is sum over count. The size of the rollup
 depends on devices and hours only, not on how often a device reports. Reports of
-raw readings (today's top 250) need the readings.
+raw readings (today's top 250) need the readings. A time-zone shift has to be whole hours.
 """
 
 from __future__ import annotations
