@@ -198,7 +198,7 @@ class _Scorer:
             for parts in ((t or "").split() for t in texts)
         ]
         counts = np.frombuffer(self.counts, np.int64)
-        sums = np.frombuffer(self.sums, np.float64).reshape(len(counts), -1)
+        sums = np.frombuffer(self.sums, np.float64).reshape(len(counts), len(self.model.languages))
         return [self._decide(sums[r].sum(axis=0), int(counts[r].sum())) for r in rows]
 
     def _decide(self, total: np.ndarray, words: int) -> tuple[str, float]:

@@ -253,11 +253,14 @@ def mask_secrets(
     blob, found = free_name("blob", docs), free_name("spans", docs)
     hits = ledger.findings(rules).toDF(blob, found)
     joined = docs.withColumn(blob, blob_of(F.col(text))).join(hits, blob, "left")
-    clean = F.when(F.col(found).isNull(), F.col(text)).otherwise(masked(F.col(text), F.col(found)))
-    changed = {text: clean}
+    clean = free_name("clean", joined)
+    joined = joined.withColumn(clean, masked(F.col(text), F.col(found)))
+    hit, changed = F.col(found).isNotNull(), {text: F.col(clean)}
     if length and length in docs.columns:
-        kind = docs.schema[length].dataType
-        changed[length] = (
-            F.when(F.col(found).isNull(), F.col(length)).otherwise(F.length(clean)).cast(kind)
-        )
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+        changed[length] = F.length(clean).cast(docs.schema[length].dataType)
+    return joined.select(
+        *[
+            F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)
+            for c in docs.columns
+        ]
+    )
