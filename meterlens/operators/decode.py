@@ -59,6 +59,10 @@ DEVICE_LIST_READINGS = {
 }
 
 
+# Names of message columns that the reading rows shall have as well.
+Keep = tuple[str, ...]
+
+
 class Decoded(NamedTuple):
     power: DataFrame
     temp: DataFrame
@@ -94,13 +98,15 @@ def _without(parsed: DataFrame, valid: Column) -> DataFrame:
     return parsed.where(~F.coalesce(valid, F.lit(False))).drop("message")
 
 
-def _as_table(df: DataFrame, schema, columns: dict[str, Column]) -> DataFrame:
-    """Select the table's columns in order; columns without an expression are NULL."""
+def _as_table(df: DataFrame, schema, columns: dict[str, Column], keep: Keep = ()) -> DataFrame:
+    """Select the table's columns in order, then those to ``keep``; columns without an
+    expression are NULL."""
     return df.select(
         *[
             columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
             for f in schema.fields
-        ]
+        ],
+        *keep,
     )
 
 
@@ -117,7 +123,7 @@ def unreadable_pme5(parsed: DataFrame) -> DataFrame:
     return _without(parsed, _readable())
 
 
-def pme5_power(parsed: DataFrame, skip_empty: bool = False) -> DataFrame:
+def pme5_power(parsed: DataFrame, skip_empty: bool = False, keep: Keep = ()) -> DataFrame:
     """One power row of device 1 per message; a missing reading is 0.
 
     A message without any reading still gives an all-zero row, unless
@@ -127,19 +133,25 @@ def pme5_power(parsed: DataFrame, skip_empty: bool = False) -> DataFrame:
     if skip_empty:
         parsed = parsed.where(F.size(readings) > 0)
     meters = parsed.select(
-        "seq", "ts", F.filter(readings, lambda r: r["server_name"] == PME5_METER).alias("meter")
-    ).select("seq", "ts", F.col("meter.name").alias("names"), F.col("meter.data").alias("texts"))
+        "seq",
+        "ts",
+        *keep,
+        F.filter(readings, lambda r: r["server_name"] == PME5_METER).alias("meter"),
+    ).select(
+        "seq", "ts", *keep, F.col("meter.name").alias("names"), F.col("meter.data").alias("texts")
+    )
     texts = meters.select(
         "seq",
         "ts",
+        *keep,
         *[_lookup(F.col("names"), F.col("texts"), n).alias(c) for c, n in PME5_READINGS.items()],
     )
     columns = {c: bracketed_number(F.col(c)) for c in PME5_READINGS}
     columns |= {"id": F.col("seq"), "no_device": F.lit(1), "timestamp": F.col("ts")}
-    return _as_table(texts, POWER_SCHEMA, columns)
+    return _as_table(texts, POWER_SCHEMA, columns, keep)
 
 
-def pme5_temp(parsed: DataFrame, keep_zeros: bool = False) -> DataFrame:
+def pme5_temp(parsed: DataFrame, keep_zeros: bool = False, keep: Keep = ()) -> DataFrame:
     """One temperature row of device 1 per message whose controller reading has a fraction.
 
     The controller reports whole degrees behind the point: ``[0,26]`` is 26. By default
@@ -159,7 +171,7 @@ def pme5_temp(parsed: DataFrame, keep_zeros: bool = False) -> DataFrame:
         "temp": F.col("digits").try_cast("double"),
         "timestamp": F.col("ts"),
     }
-    return _as_table(temps, TEMP_SCHEMA, columns).where(F.col("temp").isNotNull())
+    return _as_table(temps, TEMP_SCHEMA, columns, keep).where(F.col("temp").isNotNull())
 
 
 def decode_pme5(
@@ -208,15 +220,16 @@ def unreadable_device_list(parsed: DataFrame) -> DataFrame:
     return _without(parsed, _readable() & _complete_device_list())
 
 
-def device_list_power(parsed: DataFrame) -> DataFrame:
+def device_list_power(parsed: DataFrame, keep: Keep = ()) -> DataFrame:
     """One power row per power meter in a message; a missing reading is 0, and of
     readings with the same name the last one counts."""
-    devices = parsed.select("seq", "ts", F.explode("message.data").alias("device"))
+    devices = parsed.select("seq", "ts", *keep, F.explode("message.data").alias("device"))
     # Reversed, so that the first match is the last reading of that name.
     values = F.reverse("device.values")
     meters = devices.where(_is_power(F.col("device"))).select(
         "seq",
         "ts",
+        *keep,
         F.col("device.name").alias("name"),
         F.transform(values, lambda v: reading_key(v["name"])).alias("keys"),
         values["raw_data"].alias("data"),
@@ -230,14 +243,18 @@ def device_list_power(parsed: DataFrame) -> DataFrame:
         "no_device": device_number_in(F.col("name")),
         "timestamp": F.col("ts"),
     }
-    return _as_table(meters, POWER_SCHEMA, columns)
+    return _as_table(meters, POWER_SCHEMA, columns, keep)
 
 
-def device_list_temp(parsed: DataFrame) -> DataFrame:
+def device_list_temp(parsed: DataFrame, keep: Keep = ()) -> DataFrame:
     """One temperature row per value of every temperature controller in a message."""
-    devices = parsed.select("seq", "ts", F.explode("message.data").alias("device"))
+    devices = parsed.select("seq", "ts", *keep, F.explode("message.data").alias("device"))
     values = devices.where(_is_temperature(F.col("device"))).select(
-        "seq", "ts", F.col("device.name").alias("name"), F.explode("device.values").alias("value")
+        "seq",
+        "ts",
+        *keep,
+        F.col("device.name").alias("name"),
+        F.explode("device.values").alias("value"),
     )
     columns = {
         "id": F.col("seq"),
@@ -245,7 +262,7 @@ def device_list_temp(parsed: DataFrame) -> DataFrame:
         "temp": F.col("value.raw_data").try_cast("double"),
         "timestamp": F.col("ts"),
     }
-    return _as_table(values, TEMP_SCHEMA, columns)
+    return _as_table(values, TEMP_SCHEMA, columns, keep)
 
 
 def decode_device_list(messages: DataFrame) -> Decoded:

@@ -226,34 +226,24 @@ def _sampled(spark: SparkSession, sf: str, every: str) -> DataFrame:
     )
 
 
-def _land(spark: SparkSession, folder: str, rows: DataFrame) -> None:
-    """Write messages as landed files, with one message a day after the last: the stream's
-    watermark then closes every interval that holds a message of ``rows``."""
-    closing = rows.agg(
-        F.first("topic").alias("topic"), F.max("ts").alias("ts"), F.max("seq").alias("seq")
-    ).select(
-        "topic",
-        (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"),
-        (F.col("seq") + 1).alias("seq"),
-        F.lit('{"PME5":[]}').alias("payload"),
-    )
-    landed = rows.unionByName(closing).withColumn("ts", F.col("ts").cast("timestamp"))
-    landed.write.parquet(folder)
-
-
-def _ingested(spark: SparkSession, sf: str, rows: DataFrame, topic: str, **sampling) -> DataFrame:
-    """Land the messages, run the stream over them to the end, and read both tables back."""
+def _ingested(
+    spark: SparkSession, sf: str, parts: list[DataFrame], topic: str, **sampling
+) -> DataFrame:
+    """Land the parts one after the other, run the stream to the end after each, and read both
+    tables back."""
     root = scratch_dir(spark, "ingest")
-    _land(spark, f"{root}/landing", rows)
-    ingest(
-        spark,
-        f"{root}/landing",
-        f"{root}/tables",
-        f"{root}/checkpoint",
-        topic,
-        trigger={"availableNow": True},
-        **sampling,
-    ).awaitTermination()
+    for rows in parts:
+        landed = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+        landed.write.mode("append").parquet(f"{root}/landing")
+        ingest(
+            spark,
+            f"{root}/landing",
+            f"{root}/tables",
+            f"{root}/checkpoint",
+            topic,
+            trigger={"availableNow": True},
+            **sampling,
+        ).awaitTermination()
     power = read_table(spark, f"{root}/tables", "power_meter").withColumn("kind", F.lit("power"))
     temp = read_table(spark, f"{root}/tables", "temp_control").withColumn("kind", F.lit("temp"))
     return _with_time_text(
@@ -261,6 +251,12 @@ def _ingested(spark: SparkSession, sf: str, rows: DataFrame, topic: str, **sampl
     )
 
 
+def _late_half_first(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """All messages in two files, the later half of the day first."""
+    rows, late = messages(spark, sf), F.hour("ts") >= 12
+    return [rows.where(late), rows.where(~late)]
+
+
 def _ingest_queries() -> dict[str, Query]:
     queries: dict[str, Query] = {
         "quarantine": lambda spark, sf: decode_pme5(messages(spark, sf)).quarantine.select(
@@ -272,18 +268,24 @@ def _ingest_queries() -> dict[str, Query]:
         "sample_latest": lambda spark, sf: _sampled(spark, sf, SAMPLE_INTERVAL),
         "sample_latest_hour": lambda spark, sf: _sampled(spark, sf, "1 hour"),
         "ingest_stream": lambda spark, sf: _ingested(
-            spark, sf, messages(spark, sf), TOPIC_PME5, every=SAMPLE_INTERVAL
+            spark, sf, [messages(spark, sf)], TOPIC_PME5, every=SAMPLE_INTERVAL
+        ),
+        "ingest_stream_late": lambda spark, sf: _ingested(
+            spark, sf, _late_half_first(spark, sf), TOPIC_PME5, every="1 hour"
         ),
         "ingest_stream_device_list": lambda spark, sf: _ingested(
-            spark, sf, device_list_messages(spark, sf), TOPIC_DEVICE_LIST
+            spark, sf, [device_list_messages(spark, sf)], TOPIC_DEVICE_LIST
         ),
         "ingest_stream_spacing": lambda spark, sf: _ingested(
+            spark, sf, [messages(spark, sf)], TOPIC_PME5, min_gap_seconds=600
+        ),
+        "ingest_stream_spacing_keys": lambda spark, sf: _ingested(
             spark,
             sf,
-            messages(spark, sf),
+            [messages(spark, sf)],
             TOPIC_PME5,
-            min_gap_seconds=600,
-            state_partitions=8,
+            min_gap_seconds=3600,
+            keys=("topic", "seq % 16"),
         ),
     }
     for table in ("power", "temp"):

@@ -404,18 +404,24 @@ def _ingest() -> dict[str, str]:
         )
 
     kept = f"WITH kept AS (SELECT e.* FROM ({sampled('10 seconds')}) JOIN events e USING (event_id))"
-    # Each write is due at the first tick with a message, or 600 s after the last write.
-    spaced = f"""WITH RECURSIVE ticks AS (
-  SELECT CAST(floor(epoch(ts)) AS BIGINT) + 1 AS tick, arg_max(event_id, (ts, event_id)) AS event_id
-  FROM {valid} GROUP BY 1),
+    kept_hour = f"WITH kept AS (SELECT e.* FROM ({sampled('1 hour')}) JOIN events e USING (event_id))"
+
+    # Each write is due at the first tick with a message, or a gap after the last write.
+    def spaced(gap: int, key: str) -> str:
+        return f"""WITH RECURSIVE ticks AS (
+  SELECT {key} AS k, CAST(floor(epoch(ts)) AS BIGINT) + 1 AS tick,
+         arg_max(event_id, (ts, event_id)) AS event_id
+  FROM {valid} GROUP BY 1, 2),
 writes AS (
-  SELECT min(tick) AS due FROM ticks
+  SELECT k, min(tick) AS due FROM ticks GROUP BY k
   UNION ALL
-  SELECT greatest(w.due + 600, n.tick)
-  FROM writes w, LATERAL (SELECT min(tick) AS tick FROM ticks WHERE tick > w.due) n
+  SELECT w.k, greatest(w.due + {gap}, n.tick)
+  FROM writes w, LATERAL (SELECT min(tick) AS tick FROM ticks t WHERE t.k = w.k AND t.tick > w.due) n
   WHERE n.tick IS NOT NULL),
 kept AS (
-  SELECT e.* FROM writes w ASOF JOIN ticks t ON w.due >= t.tick JOIN events e USING (event_id))"""
+  SELECT e.* FROM writes w ASOF JOIN ticks t ON w.k = t.k AND w.due >= t.tick
+  JOIN events e USING (event_id))"""
+
     return {
         "decode_pme5_power": pme5_power(valid),
         "decode_pme5_temp": pme5_temp(valid),
@@ -433,7 +439,11 @@ kept AS (
         "sample_latest_hour": sample_report("1 hour"),
         "ingest_stream": both(pme5_power("kept"), pme5_temp("kept"), kept),
         "ingest_stream_device_list": both(list_power, list_temp),
-        "ingest_stream_spacing": both(pme5_power("kept"), pme5_temp("kept"), spaced),
+        "ingest_stream_late": both(pme5_power("kept"), pme5_temp("kept"), kept_hour),
+        "ingest_stream_spacing": both(pme5_power("kept"), pme5_temp("kept"), spaced(600, "0")),
+        "ingest_stream_spacing_keys": both(
+            pme5_power("kept"), pme5_temp("kept"), spaced(3600, "event_id % 16")
+        ),
     }
 
 

@@ -7,7 +7,10 @@ replace its own files and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,14 +30,16 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schema).parquet(table_path(root, table)).drop("batch")
 
 
-def write_readings(df: DataFrame, path: str, batch: str) -> None:
-    """Write rows as one batch. Only the (dt, batch) folders present in ``df`` are replaced,
-    so writing the same batch again does not duplicate rows. Within a file the rows are
-    ordered by device and time, so that a device filter skips pages."""
+def write_readings(df: DataFrame, path: str, batch: str | Column) -> None:
+    """Write rows as one batch, or in batches named by a column. Only the (dt, batch) folders
+    present in ``df`` are replaced, so writing the same batch again does not duplicate rows.
+    Within a file the rows are ordered by device and time, so that a device filter skips
+    pages."""
+    key = F.lit(batch) if isinstance(batch, str) else batch
     (
-        df.withColumn("dt", F.to_date("timestamp"))
-        .sortWithinPartitions("dt", "no_device", "timestamp")
-        .withColumn("batch", F.lit(batch))
+        df.withColumns({"dt": F.to_date("timestamp"), "batch": key})
+        .select(*[c for c in TABLES[path.rsplit("/", 1)[-1]].names], "dt", "batch")
+        .sortWithinPartitions("dt", "batch", "no_device", "timestamp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("dt", "batch")
@@ -42,6 +47,27 @@ def write_readings(df: DataFrame, path: str, batch: str) -> None:
     )
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on the storage that it names."""
+    return bool(_files(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path)))
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders; those that do not exist are passed over."""
+    for path in paths:
+        _files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _files(spark: SparkSession, path: str):
+    # Spark itself has no call to delete a folder.
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def partition_path(path: str, day: date, batch: str) -> str:
+    return f"{path}/dt={day.isoformat()}/batch={batch}"
+
+
 def create_tables(spark: SparkSession, root: str) -> None:
     """Register ``power_meter`` and ``temp_control`` over ``root`` unless they exist, and
     pick up the partitions already written."""

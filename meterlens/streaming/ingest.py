@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from contextlib import contextmanager
+from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from meterlens.operators.decode import (
@@ -22,9 +23,9 @@ from meterlens.operators.decode import (
 )
 from meterlens.schema import TOPIC_DEVICE_LIST, TOPIC_PME5
 from meterlens.sources.messages import stream_messages
-from meterlens.sources.tables import table_path, write_readings
+from meterlens.sources.tables import exists, partition_path, remove, table_path, write_readings
 from meterlens.streaming.sample import sample_latest
-from meterlens.streaming.spacing import sample_spacing
+from meterlens.streaming.spacing import LATE, OPEN, WRITTEN, messages_of, space, ticks
 
 DECODERS = {
     TOPIC_PME5: (parse_pme5, valid_pme5, unreadable_pme5, pme5_power, pme5_temp),
@@ -38,28 +39,9 @@ DECODERS = {
 }
 
 
-# Messages per writing task; bounds the files of a batch and the rows of a task.
-MESSAGES_PER_TASK = 250_000
-
-# Fixed value: the state store that can hold the spacing state.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def _settings(spark: SparkSession, settings: dict[str, str]):
-    """Session settings for the start of one stream. A stream keeps the values it was
-    started with, so the session gets its own back right after."""
-    before = {name: spark.conf.get(name, None) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
+# Files of a landing folder in one batch, unless the caller says otherwise: a first run over a
+# long backlog works in steps.
+FILES_PER_BATCH = 1000
 
 
 def _decoder(topic: str):
@@ -68,28 +50,136 @@ def _decoder(topic: str):
     return DECODERS[topic]
 
 
-def _write_both_tables(out_dir: str, power_of, temp_of):
-    """Batch writer for ``foreachBatch``. Both tables are written under the same key, made
-    of the query's id (kept in its checkpoint) and the batch number, so a batch repeated
-    after a failure between the two writes replaces its own rows and no other query's."""
+def _query_id(messages: DataFrame) -> str:
+    """The id of the running stream; it is kept in the checkpoint."""
+    return messages.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+class Writer:
+    """Batch writers for ``foreachBatch``. Both tables are written under the same keys, made of
+    the query's id and what the batch covers, so a batch repeated after a failure between two
+    writes replaces its own rows and no other query's."""
+
+    def __init__(self, out_dir: str, checkpoint: str, topic: str):
+        self.out_dir, self.work = out_dir, f"{checkpoint.rstrip('/')}/work"
+        self.parse, self.valid, _, self.power_of, self.temp_of = _decoder(topic)
+
+    def _tables(self):
+        return (
+            (table_path(self.out_dir, "power_meter"), self.power_of),
+            (table_path(self.out_dir, "temp_control"), self.temp_of),
+        )
 
-    def write(messages: DataFrame, number: int) -> None:
-        context = messages.sparkSession.sparkContext
-        batch = f"{context.getLocalProperty('sql.streaming.queryId')}-{number}"
-        # Computed once for the two writes; a lost block is recomputed from the source.
-        parsed = messages.select("message", "seq", "ts").persist()
+    def _staged(self, spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is made once, also if the batch is repeated."""
+        path = f"{self.work}/{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    def every_message(self, messages: DataFrame, number: int) -> None:
+        """Each message gives its rows."""
+        batch = f"{_query_id(messages)}-{number}"
+        # Each task writes a short time range: few files per day, narrow statistics in each,
+        # and a day with most of the rows is still split. One shuffle serves both tables.
+        ranges = messages.select("message", "seq", "ts").repartitionByRange("ts", "seq").persist()
         try:
-            tasks = math.ceil(parsed.count() / MESSAGES_PER_TASK)
-            if tasks > 0:
-                # Each task writes a short time range: few files per day, narrow statistics
-                # in each, and a day with most of the rows is still split.
-                ranges = parsed.repartitionByRange(tasks, "ts", "seq")
-                write_readings(power_of(ranges), table_path(out_dir, "power_meter"), batch)
-                write_readings(temp_of(ranges), table_path(out_dir, "temp_control"), batch)
+            for path, rows_of in self._tables():
+                write_readings(rows_of(ranges), path, batch)
         finally:
-            parsed.unpersist()
-
-    return write
+            ranges.unpersist()
+
+    def latest(
+        self, every: str, keys: tuple[str, ...], slots: str
+    ) -> Callable[[DataFrame, int], None]:
+        """The latest message of each key and interval, at once and however late others come.
+
+        What was kept of the touched slots (days or hours) is read again, merged with the batch,
+        and written in its place, to the kept messages and to both tables."""
+
+        def write(messages: DataFrame, number: int) -> None:
+            spark, query = messages.sparkSession, _query_id(messages)
+            kept = f"{self.work}/kept"
+            slot = F.date_format(F.date_trunc(slots, "window_start"), "yyyyMMddHH").alias("slot")
+
+            def merged() -> DataFrame:
+                new = sample_latest(messages.drop("payload"), every, keys).select("*", slot)
+                if not exists(spark, kept):
+                    return new
+                old = spark.read.schema(new.schema).parquet(kept)
+                touched = new.select("slot").distinct()
+                rows = new.unionByName(old.join(touched, "slot", "left_semi"))
+                return sample_latest(rows.drop("window_start", "slot"), every, keys).select("*", slot)
+
+            rows = self._staged(spark, f"merged-{number}", merged)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                "slot"
+            ).parquet(kept)
+            touched = [r["slot"] for r in rows.select("slot").distinct().collect()]
+            width = timedelta(seconds=_seconds(spark, every))
+            for path, rows_of in self._tables():
+                readings = rows_of(rows, keep=("slot",))
+                write_readings(readings, path, F.concat(F.lit(f"{query}-"), "slot"))
+                # A slot whose rows have all been replaced by messages without such readings.
+                there = {
+                    (r["day"], r["slot"])
+                    for r in readings.select(F.to_date("timestamp").alias("day"), "slot")
+                    .distinct()
+                    .collect()
+                }
+                remove(
+                    spark,
+                    [
+                        partition_path(path, day, f"{query}-{slot_}")
+                        for slot_ in touched
+                        for day in _days(slot_, width)
+                        if (day, slot_) not in there
+                    ],
+                )
+            remove(spark, [f"{self.work}/merged-{number - 1}"])
+
+        return write
+
+    def spaced(self, min_gap_seconds: int, keys: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
+        """Writes of each key at least so far apart. The open message of a key is in the tables
+        from the start and is replaced when a later one takes its place; messages that come after
+        what they would have changed go to ``<out_dir>/late``."""
+
+        def write(messages: DataFrame, number: int) -> None:
+            spark, query = messages.sparkSession, _query_id(messages)
+            before = f"{self.work}/step-{number - 1}"
+            state = None
+            if number and exists(spark, before):
+                state = spark.read.parquet(before).where(F.col("kind") == OPEN)
+            step = self._staged(
+                spark, f"step-{number}", lambda: space(ticks(messages, keys), state, min_gap_seconds)
+            )
+            late = messages_of(step.where(F.col("kind") == LATE))
+            late.write.mode("overwrite").parquet(f"{self.out_dir}/late/batch={query}-{number}")
+            for kind, batch in ((WRITTEN, f"{query}-{number}"), (OPEN, f"{query}-open")):
+                parsed = self.valid(self.parse(messages_of(step.where(F.col("kind") == kind))))
+                for path, rows_of in self._tables():
+                    readings = rows_of(parsed)
+                    write_readings(readings, path, batch)
+                    if kind == OPEN and state is not None:
+                        days = readings.select(F.to_date("timestamp").alias("day")).distinct()
+                        was = state.select(F.to_date(F.timestamp_micros("micros")).alias("day"))
+                        gone = was.distinct().join(days, "day", "left_anti").collect()
+                        remove(spark, [partition_path(path, r["day"], batch) for r in gone])
+            remove(spark, [f"{self.work}/step-{number - 2}"])
+
+        return write
+
+
+def _seconds(spark: SparkSession, every: str) -> int:
+    length = spark.range(1).select(F.expr(f"INTERVAL '{every}'").cast("interval day to second"))
+    return int(length.first()[0].total_seconds())
+
+
+def _days(slot: str, width: timedelta) -> list[date]:
+    """The days on which a message of an interval that begins in this slot can lie."""
+    first = date(int(slot[:4]), int(slot[4:6]), int(slot[6:8]))
+    return [first + timedelta(days=n) for n in range(width.days + 2)]
 
 
 def ingest(
@@ -100,44 +190,44 @@ def ingest(
     topic: str = TOPIC_PME5,
     every: str | None = None,
     min_gap_seconds: int | None = None,
-    watermark: str = "1 minute",
+    keys: tuple[str, ...] = ("topic",),
+    slots: str = "day",
     trigger: dict | None = None,
     fmt: str = "parquet",
-    max_files_per_trigger: int | None = None,
-    state_partitions: int | None = None,
+    max_files_per_trigger: int | None = FILES_PER_BATCH,
 ) -> StreamingQuery:
     """Decode a topic of a landing folder into the tables under ``out_dir``.
 
     Unreadable messages are dropped first (see :func:`quarantine`), then the rest is
     sampled: ``every`` keeps the latest message per interval, ``min_gap_seconds`` keeps
-    writes at least that far apart, neither keeps all. A failed batch is repeated from
-    the checkpoint. ``state_partitions`` sets the number of state partitions of a sampled
-    stream; it is fixed once the checkpoint exists.
+    writes at least that far apart, neither keeps all. Both sample each key by itself;
+    ``keys`` are SQL expressions over topic, payload, ts and seq. Nothing waits for a later
+    message, and none is dropped for coming late: an interval's message is replaced when a
+    later one turns up, in whichever batch. A failed batch is repeated from the checkpoint.
+
+    With ``every``, a batch rewrites the ``slots`` that it touches: days, or "hour" where a day's
+    intervals of all keys are too many to be written again with each batch.
     """
     if every is not None and min_gap_seconds is not None:
         raise ValueError("give either every or min_gap_seconds")
-    parse, valid, _, power_of, temp_of = _decoder(topic)
+    if slots not in ("day", "hour"):
+        raise ValueError(f"slots must be 'day' or 'hour', got {slots!r}")
+    writer = Writer(out_dir, checkpoint, topic)
     messages = stream_messages(spark, source_dir, topic, fmt, max_files_per_trigger)
-    readings = valid(parse(messages))
+    readings = writer.valid(writer.parse(messages))
     if every is not None:
-        # The parsed form is all that is needed from here on; the text stays behind.
-        readings = sample_latest(readings.drop("payload"), every, watermark)
+        _seconds(spark, every)
+        write = writer.latest(every, keys, slots)
     elif min_gap_seconds is not None:
-        readings = parse(sample_spacing(readings, min_gap_seconds, watermark))
-    writer = (
-        readings.writeStream.foreachBatch(_write_both_tables(out_dir, power_of, temp_of))
+        write = writer.spaced(min_gap_seconds, keys)
+    else:
+        write = writer.every_message
+    stream = (
+        readings.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
-    if trigger is not None:
-        writer = writer.trigger(**trigger)
-    settings = {}
-    if min_gap_seconds is not None:
-        settings["spark.sql.streaming.stateStore.providerClass"] = STATE_STORE
-    if state_partitions is not None:
-        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
-    with _settings(spark, settings):
-        return writer.start()
+    return (stream.trigger(**trigger) if trigger is not None else stream).start()
 
 
 def quarantine(
@@ -148,7 +238,7 @@ def quarantine(
     topic: str = TOPIC_PME5,
     trigger: dict | None = None,
     fmt: str = "parquet",
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int | None = FILES_PER_BATCH,
 ) -> StreamingQuery:
     """Append the unreadable messages of a topic to ``<out_dir>/quarantine``."""
     parse, _, unreadable, _, _ = _decoder(topic)

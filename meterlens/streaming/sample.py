@@ -1,4 +1,4 @@
-"""Down-sampling of message streams."""
+"""Down-sampling of messages."""
 
 from __future__ import annotations
 
@@ -9,22 +9,18 @@ from meterlens.schema import SAMPLE_INTERVAL
 
 
 def sample_latest(
-    messages: DataFrame, every: str = SAMPLE_INTERVAL, watermark: str | None = None
+    messages: DataFrame, every: str = SAMPLE_INTERVAL, keys: tuple[str, ...] = ("topic",)
 ) -> DataFrame:
-    """The latest message per topic and interval, with the interval start as ``window_start``.
+    """The latest message per key and interval, with the interval start as ``window_start``.
 
-    Works on a batch and on a stream (give the stream a ``watermark``). The latest
-    row of each interval is found before the shuffle, so a topic that carries most
-    of the traffic sends on one row per interval and task.
+    ``keys`` are SQL expressions over the messages, for example the topic and a site. The
+    latest row of each interval is found before the shuffle, so a key that carries most of
+    the traffic sends on one row per interval and task.
     """
-    if watermark is not None:
-        # A watermark needs an instant, not a zone-less wall clock.
-        messages = messages.withColumn("ts", F.col("ts").cast("timestamp"))
-        messages = messages.withWatermark("ts", watermark)
-    columns = [c for c in messages.columns if c != "topic"]
-    latest = F.max_by(F.struct(*columns), F.struct("ts", "seq"))
+    named = [F.expr(k).alias(f"key{n}") for n, k in enumerate(keys)]
+    latest = F.max_by(F.struct(*messages.columns), F.struct("ts", "seq"))
     return (
-        messages.groupBy("topic", F.window("ts", every))
+        messages.groupBy(*named, F.window("ts", every).alias("interval"))
         .agg(latest.alias("latest"))
-        .select("topic", F.col("window.start").alias("window_start"), "latest.*")
+        .select(F.col("interval.start").alias("window_start"), "latest.*")
     )

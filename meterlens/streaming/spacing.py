@@ -1,110 +1,122 @@
-"""Keep the latest message, at most one per topic and minimum gap.
+"""Keep the latest message, at most one per key and minimum gap.
 
-Unlike fixed intervals, the spacing counts from the last message written: after
-an idle time the next message is written at the following one-second tick, and
-while messages keep coming the latest one is written every ``min_gap``.
+Unlike fixed intervals, the spacing counts from the last message written: after an idle time
+the next message is written at the following one-second tick, and while messages keep coming
+the latest one is written every ``min_gap``.
+
+The rows of a key are read in the order of their ticks, whatever their number: a task sorts by
+key and tick and keeps one open message per key while the rows pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from meterlens.schema import MESSAGE_SCHEMA
 from meterlens.streaming.sample import sample_latest
 
 TICK = "1 second"
-OUTPUT = "topic string, payload string, ts timestamp, seq long, written_at timestamp"
-SPACING_STATE = "last long, tick long, payload string, micros long, seq long"
-
-
-class KeepSpacing(StatefulProcessor):
-    """State per topic: the second of the last write and the message waiting, if any.
-
-    Input is at most one message per topic and second, delivered once that second
-    is complete, so a waiting message can only be replaced by a later one.
-    """
-
-    def __init__(self, gap_seconds: int):
-        self.gap = gap_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("spacing", SPACING_STATE)
-
-    def _load(self):
-        if not self.state.exists():
-            return None, None
-        last, *waiting = self.state.get()
-        return last, tuple(waiting) if waiting[0] is not None else None
-
-    def _due(self, last, waiting) -> int:
-        return waiting[0] if last is None else max(waiting[0], last + self.gap)
-
-    def _frame(self, topic: str, written: list) -> Iterator[pd.DataFrame]:
-        if written:
-            yield pd.DataFrame(
-                {
-                    "topic": topic,
-                    "payload": [w[1][1] for w in written],
-                    "ts": pd.to_datetime([w[1][2] for w in written], unit="us"),
-                    "seq": [w[1][3] for w in written],
-                    "written_at": pd.to_datetime([w[0] for w in written], unit="s"),
-                }
-            )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, waiting = self._load()
-        written = []
-        arrived = pd.concat(rows).sort_values("tick")
-        columns = arrived[["tick", "payload", "micros", "seq"]].itertuples(index=False, name=None)
-        for message in columns:
-            if waiting is not None and self._due(last, waiting) < message[0]:
-                last = self._due(last, waiting)
-                written.append((last, waiting))
-            waiting = message
-        self.state.update((last, *waiting))
-        self.handle.registerTimer(self._due(last, waiting) * 1000)
-        yield from self._frame(key[0], written)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, waiting = self._load()
-        due = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        # A timer is stale if its message has been replaced or written since.
-        if waiting is not None and self._due(last, waiting) == due:
-            self.state.update((due, None, None, None, None))
-            yield from self._frame(key[0], [(due, waiting)])
-
-    def close(self) -> None:
-        pass
+
+#: What the step gives out: writes that are settled, the message of each key that a later one may
+#: still replace, and messages that come after what they would have changed is settled.
+WRITTEN, OPEN, LATE = "written", "open", "late"
+STEP = (
+    "kind string, key string, due long, last long, tick long, topic string, payload string, "
+    "micros long, seq long"
+)
+_COLUMNS = [c.split()[0] for c in STEP.split(", ")]
+
+
+def ticks(messages: DataFrame, keys: tuple[str, ...] = ("topic",)) -> DataFrame:
+    """The latest message per key and second, with the tick that ends the second."""
+    key = F.to_json(F.array(*[F.expr(k).cast("string") for k in keys]))
+    latest = sample_latest(messages.select("topic", "payload", "ts", "seq", key.alias("key")), TICK, ("key",))
+    return latest.select(
+        "key",
+        (F.unix_seconds(F.col("window_start").cast("timestamp")) + 1).alias("tick"),
+        "topic",
+        "payload",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+        "seq",
+    )
+
+
+def _spaced(gap: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last, waiting = None, None, None
+
+        def due() -> int:
+            return waiting[0] if last is None else max(waiting[0], last + gap)
+
+        def open_row() -> list[tuple]:
+            return [] if waiting is None else [(OPEN, key, due(), last, *waiting)]
+
+        for part in parts:
+            out = []
+            for state, now, *message, before in part[
+                ["state", "key", "tick", "topic", "payload", "micros", "seq", "last"]
+            ].itertuples(index=False, name=None):
+                if now != key:
+                    out += open_row()
+                    key, last, waiting = now, None, None
+                if state:
+                    last, waiting = None if pd.isna(before) else int(before), message
+                elif waiting is not None and message[0] < waiting[0]:
+                    # Its place is before the open message. If no write fell due between the
+                    # two, the open one would have replaced it anyway.
+                    if (message[0] if last is None else max(message[0], last + gap)) < waiting[0]:
+                        out.append((LATE, key, None, last, *message))
+                elif waiting is None or message[0] > waiting[0]:
+                    if waiting is not None and due() < message[0]:
+                        out.append((WRITTEN, key, due(), last, *waiting))
+                        last = due()
+                    waiting = message
+                elif message[3:] > waiting[3:]:
+                    waiting = message  # a later one of the same second
+            yield _frame(out)
+        yield _frame(open_row())
+
+    return step
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=_COLUMNS)
+    return frame.astype({c: "Int64" for c in ("due", "last", "tick", "micros", "seq")})
+
+
+def space(arrived: DataFrame, state: DataFrame | None, min_gap_seconds: int) -> DataFrame:
+    """The settled writes, the open message of every key, and late messages, as ``STEP`` rows.
+
+    ``arrived`` comes from :func:`ticks`; ``state`` holds the open rows of the step before. A
+    key without new messages keeps its open row."""
+    rows = arrived.select(F.lit(False).alias("state"), "*", F.lit(None).cast("long").alias("last"))
+    if state is not None:
+        rows = rows.unionByName(state.select(F.lit(True).alias("state"), *rows.columns[1:]))
+    return (
+        rows.repartition("key")
+        .sortWithinPartitions("key", F.desc("state"), "tick")
+        .mapInPandas(_spaced(min_gap_seconds), STEP)
+    )
+
+
+def messages_of(step: DataFrame) -> DataFrame:
+    """The messages in the rows of a step."""
+    return step.select("topic", "payload", F.timestamp_micros("micros").alias("ts"), "seq")
 
 
 def sample_spacing(
-    messages: DataFrame, min_gap_seconds: int = 10, watermark: str = "1 minute"
+    messages: DataFrame, min_gap_seconds: int = 10, keys: tuple[str, ...] = ("topic",)
 ) -> DataFrame:
-    """``(topic, payload, ts, seq, written_at)`` with writes of a topic at least
-    ``min_gap_seconds`` apart.
-
-    Messages are first reduced to the latest per topic and second, before the
-    shuffle. What reaches the state is at most one row per topic and second,
-    whatever the message rate; limit the files per trigger to bound a backfill.
-    For streams only (the state lives in the RocksDB state store), so a ``watermark``
-    is needed: a write is emitted once the watermark has passed it.
-    """
-    ticks = sample_latest(messages.select(*MESSAGE_SCHEMA.names), TICK, watermark).select(
+    """``(topic, payload, ts, seq, written_at)`` of a batch, with the writes of a key at least
+    ``min_gap_seconds`` apart. For streams see :func:`meterlens.streaming.ingest.ingest`."""
+    step = space(ticks(messages, keys), None, min_gap_seconds)
+    return step.select(
         "topic",
-        (F.unix_seconds(F.col("window_start").cast("timestamp")) + 1).alias("tick"),
         "payload",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+        F.timestamp_micros("micros").alias("ts"),
         "seq",
-    )
-    return ticks.groupBy("topic").transformWithStateInPandas(
-        statefulProcessor=KeepSpacing(min_gap_seconds),
-        outputStructType=OUTPUT,
-        outputMode="append",
-        timeMode="eventTime",
+        F.timestamp_seconds("due").alias("written_at"),
     )

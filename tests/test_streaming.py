@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterlens import sample_latest
 from meterlens.operators.decode import decode_pme5
 from meterlens.schema import MESSAGE_SCHEMA, TOPIC_DEVICE_LIST, TOPIC_PME5
-from meterlens.sources.messages import read_messages, stream_messages
+from meterlens.sources.messages import read_messages
 from meterlens.sources.scratch import scratch_dir
 from meterlens.sources.tables import create_tables, json_rows, read_table
 from meterlens.streaming.ingest import ingest, quarantine
@@ -81,50 +81,99 @@ def test_sample_latest_keeps_topics_apart(spark):
     assert sorted((r.topic, r.seq) for r in got) == [("a", 3), ("b", 2)]
 
 
-def test_sampled_ingest_over_two_runs(spark, tmp_path):
-    """The stream is stopped and started again from its checkpoint; nothing is lost or doubled."""
+def run_parts(spark, tmp_path, parts, **args):
+    """Land the parts one after the other, with a run of the stream after each."""
     source, out, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "checkpoint"))
+    for part in parts:
+        land(spark, source, part)
+        ingest(spark, source, out, checkpoint, trigger=ONCE, **args).awaitTermination()
+    ingest(spark, source, out, checkpoint, trigger=ONCE, **args).awaitTermination()
+    return out
+
+
+def written(spark, out, table="power_meter"):
+    return sorted(r.id for r in read_table(spark, out, table).select("id").collect())
+
+
+def test_sampled_ingest_in_any_order(spark, tmp_path):
+    """Files come late and out of order; every interval has its latest message, the last too."""
     rows = traffic()
-    other = [message("other", 5, 9000)]
-    end = message(TOPIC_PME5, 10_000, 9001)
-    args = dict(every="10 seconds", trigger=ONCE, state_partitions=2)
-    land(spark, source, rows[:150] + other)
-    ingest(spark, source, out, checkpoint, **args).awaitTermination()
-    land(spark, source, rows[150:] + [end])
-    ingest(spark, source, out, checkpoint, **args).awaitTermination()
-    ingest(spark, source, out, checkpoint, **args).awaitTermination()
-    got = read_table(spark, out, "power_meter").select("id").collect()
-    assert sorted(r.id for r in got) == latest_per_interval(rows, 10)
-
-
-def test_spaced_stream_equals_sequential_loop(spark, tmp_path):
-    """Two topics, three files one after the other, so writes fall due between batches."""
-    source, out, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "checkpoint"))
+    for n, order in enumerate(((0, 1, 2), (2, 0, 1), (1, 2, 0))):
+        parts = [rows[:100], rows[100:200], rows[200:]]
+        other = [message("other", 5, 9000)]
+        out = run_parts(
+            spark,
+            tmp_path / str(n),
+            [parts[k] + other for k in order],
+            every="10 seconds",
+            slots=("day", "hour", "day")[n],
+        )
+        assert written(spark, out) == latest_per_interval(rows, 10)
+
+
+def test_three_messages_write_three_intervals(spark, tmp_path):
+    rows = [message(TOPIC_PME5, s, s) for s in (1, 11, 21)]
+    assert written(spark, run_parts(spark, tmp_path / "a", [rows], every="10 seconds")) == [1, 11, 21]
+    out = run_parts(spark, tmp_path / "b", [rows], min_gap_seconds=10)
+    assert written(spark, out) == [1, 11, 21]
+
+
+def test_late_files_after_a_fast_clock(spark, tmp_path):
+    """A far later time does not close what is older."""
+    parts = [
+        [message(TOPIC_PME5, s, s) for s in (1, 11, 21)],
+        [message(TOPIC_PME5, s, s) for s in (30, 900)],
+        [message(TOPIC_PME5, s, s) for s in (45, 62)],
+    ]
+    out = run_parts(spark, tmp_path, parts, every="10 seconds")
+    assert written(spark, out) == [1, 11, 21, 30, 45, 62, 900]
+
+
+def test_a_replaced_message_takes_its_temperature_with_it(spark, tmp_path):
+    temp = {"PME5": [{"server_name": "E5CC", "name": "T", "data": "[0,25]"}]}
+    first = [message(TOPIC_PME5, 1, 1, json.dumps(temp)), message(TOPIC_PME5, 11, 2)]
+    out = run_parts(spark, tmp_path, [first, [message(TOPIC_PME5, 3, 3)]], every="10 seconds")
+    assert written(spark, out) == [2, 3]
+    assert written(spark, out, "temp_control") == []
+
+
+def test_sampling_by_key(spark, tmp_path):
+    rows = [message(TOPIC_PME5, s, s) for s in range(20)]
+    out = run_parts(spark, tmp_path, [rows], every="10 seconds", keys=("topic", "seq % 2"))
+    assert written(spark, out) == [8, 9, 18, 19]
+
+
+def test_spacing_equals_sequential_loop(spark):
+    """Two topics in one batch."""
     rows = traffic(bad=False)
     twin = [("b", p, ts, seq) for _, p, ts, seq in traffic(120, seed=5, bad=False)]
-    end = [message(t, 20_000, 9001) for t in (TOPIC_PME5, "b")]
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    try:
-        for part in (rows[:100] + twin[:40], rows[100:200] + twin[40:], rows[200:] + end):
-            spark.createDataFrame(part, MESSAGE_SCHEMA).coalesce(1).write.mode("append").parquet(source)
-            stream = sample_spacing(stream_messages(spark, source), 10, "30 minutes")
-            (
-                stream.writeStream.format("parquet")
-                .option("path", out)
-                .option("checkpointLocation", checkpoint)
-                .trigger(**ONCE)
-                .start()
-                .awaitTermination()
-            )
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    got = spark.read.parquet(out).collect()
+    got = sample_spacing(spark.createDataFrame(rows + twin, MESSAGE_SCHEMA).repartition(5)).collect()
     for topic, sent in ((TOPIC_PME5, rows), ("b", twin)):
-        written = sorted((int(seconds(r.written_at)), r.seq) for r in got if r.topic == topic)
-        assert written == spaced(sent, 10)
+        found = sorted((int(seconds(r.written_at)), r.seq) for r in got if r.topic == topic)
+        assert found == spaced(sent, 10)
+
+
+def test_spaced_ingest_over_several_runs(spark, tmp_path):
+    """Three files one after the other, so writes fall due between batches, in two keys."""
+    rows = traffic(bad=False)
+    keys = ("topic", "seq % 2")
+    out = run_parts(
+        spark, tmp_path, [rows[:100], rows[100:200], rows[200:]], min_gap_seconds=10, keys=keys
+    )
+    want = [seq for k in (0, 1) for _, seq in spaced([r for r in rows if r[3] % 2 == k], 10)]
+    assert written(spark, out) == sorted(want)
+    assert spark.read.parquet(f"{out}/late").count() == 0
+
+
+def test_what_comes_too_late_for_the_spacing_is_visible(spark, tmp_path):
+    parts = [
+        [message(TOPIC_PME5, s, s) for s in (1, 21, 41)],
+        [message(TOPIC_PME5, 900, 900)],
+        [message(TOPIC_PME5, s, s) for s in (61, 81)],
+    ]
+    out = run_parts(spark, tmp_path, parts, min_gap_seconds=10)
+    assert written(spark, out) == [1, 21, 41, 900]
+    assert sorted(r.seq for r in spark.read.parquet(f"{out}/late").collect()) == [61, 81]
 
 
 def test_topics_share_the_tables(spark, tmp_path):
@@ -202,15 +251,6 @@ def test_ingest_arguments(spark, tmp_path):
         ingest(spark, *where, every="10 seconds", min_gap_seconds=10)
 
 
-def test_settings_are_given_back(spark):
-    from meterlens.streaming.ingest import _settings
-
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    with _settings(spark, {"spark.sql.shuffle.partitions": "77"}):
-        assert spark.conf.get("spark.sql.shuffle.partitions") == "77"
-    assert spark.conf.get("spark.sql.shuffle.partitions") == before
-
-
 def test_json_landing(spark, tmp_path):
     rows = [message(TOPIC_PME5, 1, 1), message("other", 2, 2)]
     spark.createDataFrame(rows, MESSAGE_SCHEMA).write.json(f"{tmp_path}/in")
