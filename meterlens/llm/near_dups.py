@@ -7,10 +7,11 @@ chance collisions, estimates their similarity, and what passes it by a wide marg
 on the full sets.
 
 A bucket (the texts of a band key) is never expanded into all its pairs. Each text is first held
-against the smallest text of its buckets; what is linked forms components. Only in buckets that
-still hold several components the texts outside the largest one are held against those of other
-components. So a group of copies costs as many comparisons as it has texts, and no link between
-components is passed over.
+against the smallest text of its buckets; what is linked forms components. Only buckets that still
+hold several components are looked at again: a task gets the sets of such a bucket, compares
+texts of different components, and hands on the links that join two of them, fewer than the bucket
+has texts. A bucket too large for a task is cut into blocks, and every two blocks meet in some
+task. So no link between components is passed over.
 
 Texts are nodes by a 64-bit hash, so exact copies are one node from the start. Empty and null
 texts have an empty set and are linked with nothing. Rows with a null doc_id take part; the id of
@@ -49,6 +50,9 @@ LANES = 64 // BITS
 #: estimate under the similarity of a link.
 LEAST_ESTIMATE = 0.55
 
+#: Texts of a bucket that are compared in one task; larger buckets are cut into blocks.
+BLOCK_TEXTS = 1024
+
 _random = np.random.default_rng(9)
 _ODD32 = (_random.integers(0, 2**31, MINIMA, dtype=np.uint32) * 2 + 1).astype(np.uint32)
 _ADD32 = _random.integers(0, 2**32, MINIMA, dtype=np.uint32)
@@ -162,6 +166,80 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.take(rows), b.take(rows)], ["a", "b"])
 
 
+def _hashes(texts: pa.Array) -> pa.Array:
+    """Distinct shingles of each text as hashes."""
+    rows = []
+    for part in text_slices(texts):
+        if _word_hashes().full():
+            _word_hashes().clear()
+        rows += [shingle_hashes(spaced_words(t)).view(np.int64) for t in part]
+    offsets = pa.array(np.append(0, np.cumsum([len(r) for r in rows])), pa.int32())
+    return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *rows]))
+
+
+def linking(sets: list[np.ndarray], roots: list[int], blocks: list[int]) -> list[tuple[int, int]]:
+    """Places (i, j) of similar sets that join different components, until no two components
+    of different blocks (or of the one block) can be joined."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1  # what one set has alone is in no intersection
+    column = np.unique(column[shared], return_inverse=True)[1]
+    table = np.zeros((len(sets), column.max(initial=-1) // 8 + 1), np.uint8)
+    np.bitwise_or.at(table, (owner[shared], column // 8), np.uint8(1) << (column % 8).astype(np.uint8))
+    wide = -table.shape[1] % 8
+    table = np.pad(table, ((0, 0), (0, wide))).view(np.uint64)
+    part, block = np.unique(roots, return_inverse=True)[1], np.array(blocks)
+    one = len(np.unique(block)) == 1
+    main = np.bincount(part).argmax()
+    out = []
+    for i in np.flatnonzero(part != main):
+        while True:  # again after each join, as the component has grown
+            others = np.flatnonzero((part != part[i]) & (one | (block != block[i])))
+            common = np.bitwise_count(table[others] & table[i]).sum(axis=1, dtype=np.int64)
+            union = sizes[others] + sizes[i] - common
+            similar = others[100 * common >= SIMILAR_PERCENT * union]
+            if not len(similar):
+                break
+            out.append((int(i), int(similar[0])))
+            part[part == part[i]] = part[similar[0]]
+    return out
+
+
+def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components in the rows of each (key, first, second), as _apart gives them."""
+
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        nodes, roots = table["node"].to_numpy(), table["root"].to_numpy()
+        own = table["own"].to_numpy()
+        hashes = table["hashes"].combine_chunks()
+        flat, at = hashes.values.to_numpy(), hashes.offsets.to_numpy()
+        sets = [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+        pairs = np.array(linking(sets, roots, own), np.int64).reshape(-1, 2)
+        a, b = nodes[pairs[:, 0]], nodes[pairs[:, 1]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"]
+        )
+
+    group: tuple | None = None
+    rows: list[pa.RecordBatch] = []
+    for batch in batches:
+        names = [batch[c].to_numpy() for c in ("key", "first", "second")]
+        turns = np.flatnonzero(np.any([np.diff(x) != 0 for x in names], axis=0)) + 1
+        for begin, end in zip([0, *turns], [*turns, batch.num_rows], strict=True):
+            if begin == end:
+                continue
+            now = tuple(x[begin] for x in names)
+            if rows and now != group:
+                yield links(rows)
+                rows = []
+            group = now
+            rows.append(batch.slice(begin, end - begin))
+    if rows:
+        yield links(rows)
+
+
 def _text_node(text: str | Column) -> Column:
     return F.xxhash64(text)
 
@@ -205,7 +283,8 @@ class NearDuplicates:
         pairs = members.where("node > center").select(F.col("node").alias("a"), F.col("center").alias("b"))
         links = stored(self._confirmed(pairs.distinct()), "links")
         roots = stored(components(links), "roots")
-        more = stored(self._confirmed(self._apart(members, roots)), "links")
+        found = self._apart(members, roots).mapInArrow(_linking, "a long, b long").distinct()
+        more = stored(self._confirmed(found), "links")
         if more.isEmpty():
             return roots
         # What was linked before is one node now.
@@ -225,26 +304,49 @@ class NearDuplicates:
         return every.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
     def _apart(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs of a bucket that are in different components and have not been held against each
-        other: those outside a bucket's largest component, with all others."""
-        placed = (
-            members.join(roots, "node", "left")
-            .select("key", "center", "node", F.coalesce("root", "node").alias("root"))
+        """Buckets that hold several components, cut into blocks, with the sets of their texts:
+        key, first and second block, own block, node, root, hashes. Every two blocks of a bucket
+        are together once, in rows that follow each other."""
+        placed = members.join(roots, "node", "left").select(
+            "key", "node", F.coalesce("root", "node").alias("root")
         )
-        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+        # The smallest text of a bucket has been held against all others, so two are done.
         mixed = (
-            sizes.groupBy("key")
-            .agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
-            .where("parts > 1 AND all > 2")
-            .select("key", F.col("main.root").alias("main"))
+            placed.groupBy("key")
+            .agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
+            .where("least < most AND n > 2")
+            .select("key", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("blocks"))
+        )
+        rows = stored(placed.join(mixed, "key"), "mixed")
+        texts = self._texts(rows.select("node").distinct())
+        sets = stored(
+            texts.select("node", F.arrow_udf(_hashes, "array<long>")("text").alias("hashes")), "sets"
         )
-        left = stored(placed.join(mixed, "key"), "mixed")
-        outside = left.where("root <> main AND node <> center").select(
-            "key", F.col("node").alias("a"), F.col("root").alias("root_a")
+        own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        return (
+            rows.select("key", "node", "root", own.alias("own"), other.alias("other"))
+            .select(
+                "key",
+                F.least("own", "other").alias("first"),
+                F.greatest("own", "other").alias("second"),
+                "own",
+                "node",
+                "root",
+            )
+            .join(sets, "node")
+            .repartition("key", "first", "second")
+            .sortWithinPartitions("key", "first", "second")
+            .select("key", "first", "second", "own", "node", "root", "hashes")
         )
-        others = left.where("node <> center").select("key", F.col("node").alias("b"), "root", "main")
-        pairs = outside.join(others, "key").where("root_a <> root AND (root = main OR a > b)")
-        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def _texts(self, nodes: DataFrame) -> DataFrame:
+        """node, text: one row for each of the nodes."""
+        wanted = stored(nodes.join(self.nodes.select("node", "doc_id"), "node"), "wanted")
+        found = fit_to_broadcast(wanted.withColumnRenamed("doc_id", "one"))
+        same = (self.texts["node"] == found["node"]) & F.col("doc_id").eqNullSafe(F.col("one"))
+        rows = self.texts.join(found, same).select(self.texts["node"], "text")
+        return rows.dropDuplicates(["node"])  # of rows given twice
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that pass the estimate and then are similar by their full sets."""
@@ -256,19 +358,8 @@ class NearDuplicates:
             .select("a", "b"),
             "likely",
         )
-        wanted = stored(
-            likely.select(F.explode(F.array("a", "b")).alias("node"))
-            .distinct()
-            .join(self.nodes.select("node", "doc_id"), "node"),
-            "wanted",
-        )
-        found = fit_to_broadcast(wanted.withColumnRenamed("doc_id", "one"))
-        texts = stored(
-            self.texts.join(found, (self.texts["node"] == found["node"]) & F.col("doc_id").eqNullSafe(F.col("one")))
-            .select(self.texts["node"], "text")
-            .dropDuplicates(["node"]),  # of rows given twice
-            "texts",
-        )
+        nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = stored(self._texts(nodes), "texts")
         both = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long")
 
