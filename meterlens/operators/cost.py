@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.functions.measures import measure
-from meterlens.operators.compare import compare
+from meterlens.operators.compare import FIRST, Anchor, compare
 from meterlens.operators.summary import device_measures
 from meterlens.operators.totals import for_device, grouped_report
 from meterlens.plans.modes import Mode, in_window, resolve_period
-from meterlens.schema import COST_DEVICES, DEFAULT_TARIFF, RAW_LIMIT
+from meterlens.schema import COST_DEVICES, DEFAULT_TARIFF, RAW_LIMIT, USUAL, Limit, row_limit
 
 COST_GRAIN = {"hour": "hour_span", "day": "day", "month": "month", "custom": "day"}
 
@@ -62,13 +62,14 @@ def energy_cost(
     end: date | None = None,
     tariff: float | None = DEFAULT_TARIFF,
     same_year: bool = False,
+    limit: Limit = USUAL,
 ) -> DataFrame:
     """``(timestamp, value)``: cost of one device per bucket; a custom range gives the
-    kw sums of its newest 250 days."""
+    kw sums of its newest 250 days (``limit=None``: of all)."""
     device = _required_device(device)
     mode = cost_window(grain, as_of, start, end, same_year)
     value = _priced(measure(power, "sum", "kw"), grain, tariff)
-    limit = RAW_LIMIT if grain == "custom" else None
+    limit = row_limit(limit, RAW_LIMIT if grain == "custom" else None)
     return grouped_report(for_device(power, device), mode, COST_GRAIN[grain], {"value": value}, limit)
 
 
@@ -79,7 +80,7 @@ def energy_compare(
     start: date | None = None,
     end: date | None = None,
     same_year: bool = False,
-    anchor: int | None = 1,
+    anchor: Anchor = FIRST,
 ) -> DataFrame:
     """``(timestamp, value1, value2)``: kw sums of devices 1 and 2 per bucket, unpriced."""
     mode = cost_window(grain, as_of, start, end, same_year)

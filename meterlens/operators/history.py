@@ -27,9 +27,8 @@ def history(
     """Long ``(series, date, time_label, value)``; time_label is NULL in range mode.
 
     Power buckets drive the axis: a temperature bucket without power readings is
-    dropped, a power bucket without temperature has a NULL value. Both sides hold
-    one row per bucket and are grouped on the join key, so the join needs no
-    further shuffle. ``nested=True`` gives one row per series with its points in
+    dropped, a power bucket without temperature has a NULL value. The join is of one row
+    per bucket on either side. ``nested=True`` gives one row per series with its points in
     time order.
     """
     mode = resolve_mode(start, end, as_of)

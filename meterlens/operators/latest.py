@@ -9,9 +9,8 @@ from meterlens.functions.buckets import bucket_label, second_of_day
 from meterlens.plans.modes import Mode, in_window
 from meterlens.schema import RAW_LIMIT
 
-# Slots of the first ranking step. Each slot ranks the rows of some input
-# partitions, so no task sees more than a share of one device's candidates.
-RANK_SLOTS = 64
+# Rows of one device that a task of the first ranking step gets, about.
+ROWS_PER_SLOT = 1_000_000
 
 
 def _newest_first(df: DataFrame, order: str, columns: list[str]) -> list[Column]:
@@ -27,11 +26,15 @@ def _newest_first(df: DataFrame, order: str, columns: list[str]) -> list[Column]
     return [key.desc() for key in keys + [F.col(c) for c in columns]]
 
 
-def latest_raw(df: DataFrame, mode: Mode, columns: dict[str, str], n: int = RAW_LIMIT) -> DataFrame:
-    """The ``n`` newest readings of a one-day window, oldest first, as
+def latest_raw(
+    df: DataFrame, mode: Mode, columns: dict[str, str], n: int | None = RAW_LIMIT
+) -> DataFrame:
+    """The ``n`` newest readings of a one-day window (None: all), oldest first, as
     ``(timestamp 'HH:mm:ss', <aliases>)``. Each task keeps only its own ``n`` best rows."""
     window = in_window(df, mode)
-    top = window.orderBy(*_newest_first(window, "label", list(columns.values()))).limit(n)
+    top = window
+    if n is not None:
+        top = window.orderBy(*_newest_first(window, "label", list(columns.values()))).limit(n)
     label = bucket_label(second_of_day(F.col("timestamp")), "second")
     return top.select(
         label.alias("timestamp"),
@@ -71,19 +74,19 @@ def _since_cutoff(df: DataFrame, n: int, order: str) -> DataFrame:
 
 def latest_per_device(
     df: DataFrame,
-    n: int = RAW_LIMIT,
+    n: int | None = RAW_LIMIT,
     order: str = "label",
     columns: list[str] | None = None,
     devices: tuple[int, ...] | None = None,
 ) -> DataFrame:
-    """The ``n`` top readings of every device, or of the given ``devices``.
+    """The ``n`` top readings (None: all) of every device, or of the given ``devices``.
 
     ``order="label"`` ranks by time of day over all days, ``order="latest"`` by
-    the full timestamp. Ranking is done in two steps: within (device, slot of
-    input partitions) first, then over the survivors of each device. Every task
-    of the scan hands on at most ``n`` rows per device, and a device that holds
-    most of the table is still ranked by many tasks. For given devices, a count
-    per hour first leaves out the rows that cannot be among the top ``n``.
+    the full timestamp. A count per device and hour of day (or day) first leaves out
+    the rows that cannot be among the top ``n``; it is one aggregation, and what it
+    hands on is a row per device. The rest is ranked in two steps, whatever ``n`` is:
+    within (device, slot of input partitions), then over the survivors of each device,
+    so a device that holds most of the table is ranked by many tasks.
     """
     columns = columns or [c for c in df.columns if c not in ("id", "no_device", "timestamp", "dt")]
     keys = _newest_first(df, order, columns)
@@ -91,12 +94,17 @@ def latest_per_device(
     candidates = df.select(*kept)
     if devices is not None:
         candidates = candidates.where(F.col("no_device").isin(*devices))
+    if n is None:
+        return candidates
+    if devices is not None:
         candidates = _since_cutoff(candidates, n, order)
-    slots = candidates.select(*kept, (F.spark_partition_id() % RANK_SLOTS).alias("_slot"))
+    # About as many slots as the rows that n leaves over need; a row stays with its input task.
+    slots = max(64, -(-n * 64 // ROWS_PER_SLOT))
+    placed = candidates.select(*kept, (F.spark_partition_id() % slots).alias("_slot"))
     by_slot = Window.partitionBy("no_device", "_slot").orderBy(*keys)
     by_device = Window.partitionBy("no_device").orderBy(*keys)
     return (
-        slots.withColumn("_rank", F.row_number().over(by_slot))
+        placed.withColumn("_rank", F.row_number().over(by_slot))
         .where(F.col("_rank") <= n)
         .withColumn("_rank", F.row_number().over(by_device))
         .where(F.col("_rank") <= n)

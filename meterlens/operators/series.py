@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meterlens.functions.buckets import bucket_key, bucket_label
 from meterlens.functions.measures import measure
 from meterlens.plans.modes import Mode, in_window, resolve_mode
+from meterlens.plans.rollup import check_zone
 from meterlens.schema import metric as metric_of
 
 
@@ -50,6 +51,7 @@ def series(
     mode = resolve_mode(start, end, as_of)
     if m.live_device is not None:
         df = df.where(F.col("no_device") == m.live_device)
+    check_zone(df, tz)
     name = m.column if tz is not None else m.live_name
     result = bucketed(df, mode, {name: measure(df, "max", m.column)}, tz)
     return result.orderBy("date" if mode.kind == "range" else "time_label")

@@ -9,7 +9,15 @@ from meterlens.functions.buckets import bucket_key, bucket_label
 from meterlens.functions.measures import measure
 from meterlens.operators.latest import latest_raw
 from meterlens.plans.modes import Mode, in_window
-from meterlens.schema import MONTH_LIMIT, RAW_LIMIT, TOTAL_AGGREGATE, device_number
+from meterlens.schema import (
+    MONTH_LIMIT,
+    RAW_LIMIT,
+    TOTAL_AGGREGATE,
+    USUAL,
+    Limit,
+    device_number,
+    row_limit,
+)
 from meterlens.schema import metric as metric_of
 
 MODE_GRAIN = {"range": "day", "month": "day", "year": "month", "month_any_year": "day"}
@@ -42,35 +50,42 @@ def grouped_report(
     )
 
 
-def _bucket_limit(mode: Mode) -> int | None:
-    # A month has at most 31 day buckets, so no limit applies there.
-    return {"range": RAW_LIMIT, "year": MONTH_LIMIT}.get(mode.kind)
+# Usual limits: a month has at most 31 day buckets, so none applies there.
+USUAL_LIMIT = {"today": RAW_LIMIT, "range": RAW_LIMIT, "year": MONTH_LIMIT}
 
 
-def phases(power: DataFrame, metric: str, mode: Mode, device: int | None = None) -> DataFrame:
+def phases(
+    power: DataFrame, metric: str, mode: Mode, device: int | None = None, limit: Limit = USUAL
+) -> DataFrame:
     """``(timestamp, value3, value2, value1)``: averages of the three phases per
-    bucket, or the newest raw readings of today."""
+    bucket, or the raw readings of today. ``limit``: the newest 250 readings or days, or
+    12 months, unless given; None for all."""
+    limit = row_limit(limit, USUAL_LIMIT.get(mode.kind))
     m = metric_of(metric)
     if not m.phases:
         raise ValueError(f"{metric!r} has no phases")
     power = for_device(power, device)
     columns = {f"value{k}": m.phases[k - 1] for k in (3, 2, 1)}
     if mode.kind == "today":
-        return latest_raw(power, mode, columns)
+        return latest_raw(power, mode, columns, limit)
     averages = {name: measure(power, "avg", column) for name, column in columns.items()}
-    return grouped_report(power, mode, mode_grain(mode), averages, _bucket_limit(mode))
+    return grouped_report(power, mode, mode_grain(mode), averages, limit)
 
 
-def total(df: DataFrame, metric: str, mode: Mode, device: int | None = None) -> DataFrame:
-    """``(timestamp, value)``; kva per month of a year also carries ``year`` and ``month``."""
+def total(
+    df: DataFrame, metric: str, mode: Mode, device: int | None = None, limit: Limit = USUAL
+) -> DataFrame:
+    """``(timestamp, value)``; kva per month of a year also carries ``year`` and ``month``.
+    ``limit`` as for :func:`phases`."""
+    limit = row_limit(limit, USUAL_LIMIT.get(mode.kind))
     m = metric_of(metric)
     if metric not in TOTAL_AGGREGATE:
         raise ValueError(f"{metric!r} is reported per phase; use phases()")
     df = for_device(df, device)
     if mode.kind == "today":
-        return latest_raw(df, mode, {"value": m.column})
+        return latest_raw(df, mode, {"value": m.column}, limit)
     value = {"value": measure(df, TOTAL_AGGREGATE[metric][mode.kind], m.column)}
-    report = grouped_report(df, mode, mode_grain(mode), value, _bucket_limit(mode))
+    report = grouped_report(df, mode, mode_grain(mode), value, limit)
     if metric == "kva" and mode.kind == "year":
         report = report.select(
             F.substring("timestamp", 1, 4).cast("int").alias("year"),

@@ -144,6 +144,21 @@ def _option_queries() -> dict[str, Query]:
         "compare_watt_days_anchor1": lambda spark, sf: compare(
             short_view(spark, sf, "power"), "kw", "sum", Mode.range(*fx.RANGE)
         ),
+        "compare_watt_days_devices23": lambda spark, sf: compare(
+            short_view(spark, sf, "power"), "kw", "sum", Mode.range(*fx.RANGE), devices=(2, 3)
+        ),
+        "total_watt_range_complete": lambda spark, sf: total(
+            long_view(spark, sf, "power"), "watt", MODES["range"], limit=None
+        ),
+        "total_watt_today_complete": lambda spark, sf: total(
+            short_view(spark, sf, "power"), "watt", MODES["today"], limit=None
+        ),
+        "total_watt_today_newest50": lambda spark, sf: total(
+            short_view(spark, sf, "power"), "watt", MODES["today"], limit=50
+        ),
+        "latest_per_device_1500": lambda spark, sf: latest_per_device(
+            short_view(spark, sf, "power"), 1500, columns=["kw"], devices=(1, 2, 3, 4)
+        ).select("no_device", "id", F.col("kw").cast("double").alias("kw")),
         "latest_per_device": lambda spark, sf: latest_per_device(
             short_view(spark, sf, "power"), columns=["kw"]
         ).select("no_device", "id", F.col("kw").cast("double").alias("kw")),

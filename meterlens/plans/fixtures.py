@@ -2,8 +2,8 @@
 
 ``{events}``, ``{orders}`` and ``{lineitem}`` are replaced by the table reference
 of the engine, so Spark and the SQL check read exactly the same text. The gaps in
-``POWER_METER`` (days without device 1, days without device 2, NULL readings, a
-fourth device) are the cases the operators have to get right, not a sample: every
+``POWER_METER`` (days without device 1 and days without device 2, whose readings belong to the
+fourth device then; NULL readings) are the cases the operators have to get right, not a sample: every
 query reads the whole view.
 """
 
@@ -22,7 +22,9 @@ RANGE_LONG = (date(1996, 1, 1), date(1997, 12, 31))
 
 POWER_METER = """
 SELECT event_id AS id,
-       CAST(user_id % 4 AS INT) + 1 AS no_device,
+       CASE WHEN user_id % 4 = 0 AND day(ts) % 7 = 0 THEN 4
+            WHEN user_id % 4 = 1 AND day(ts) % 5 = 0 THEN 4
+            ELSE CAST(user_id % 4 AS INT) + 1 END AS no_device,
        CAST(CAST(value AS DECIMAL(18,2)) + CAST(user_id AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS kva,
        CASE WHEN event_id % 97 = 0 THEN NULL ELSE CAST(value AS DECIMAL(18,2)) END AS kw,
        CAST(220 + event_id % 11 AS DECIMAL(18,2)) AS volt1,
@@ -35,8 +37,6 @@ SELECT event_id AS id,
        ts AS timestamp
 FROM {events}
 WHERE event_type <> 'signup'
-  AND NOT (user_id % 4 = 0 AND day(ts) % 7 = 0)
-  AND NOT (user_id % 4 = 1 AND day(ts) % 5 = 0)
 """
 
 TEMP_CONTROL = """

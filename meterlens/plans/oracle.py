@@ -226,11 +226,15 @@ def _compare_buckets(view, column, agg, where, fmt, devices, limit=None) -> str:
     return f"{_views(view)} {_left_joins(devices, one)}"
 
 
-def _compare_raw(view, column, devices, newest: str = "2 DESC, id DESC") -> str:
+def _compare_raw(view, column, devices, newest: str = "2 DESC, id DESC", fmt=SECOND_FMT) -> str:
+    """Of the newest 250 readings of a device, the newest one of each label."""
+
     def one(k: int) -> str:
         return (
-            f"SELECT id, {_label(SECOND_FMT)} AS timestamp, {column} AS v FROM {view} AS w "
-            f"WHERE no_device = {k} ORDER BY {newest} LIMIT 250"
+            f"SELECT timestamp, v FROM (SELECT id, {_label(fmt, 'w.timestamp')} AS timestamp, "
+            f"w.timestamp AS full_time, {column} AS v FROM {view} AS w WHERE no_device = {k} "
+            f"ORDER BY {newest} LIMIT 250) "
+            f"QUALIFY row_number() OVER (PARTITION BY timestamp ORDER BY full_time DESC, id DESC) = 1"
         )
 
     return f"{_views(view)} {_left_joins(devices, one, 'timestamp DESC')}"
@@ -259,7 +263,33 @@ def _comparisons() -> dict[str, str]:
         "pml", "volt3", "avg", WINDOWS["range"], DAY_FMT, (1, 2, 3), 250
     )
     sql["compare_watt_today_latest"] = _compare_raw(
-        "pm", "kw", (1, 2, 3), "w.timestamp DESC, id DESC"
+        "pm", "kw", (1, 2, 3), "w.timestamp DESC, id DESC", "%Y-%m-%d %H:%M:%S"
+    )
+    for kind, device, view in (("range", "", "pml"), ("today", "", "pm")):
+        values = "SUM(kw)" if kind == "range" else "kw"
+        fmt = DAY_FMT if kind == "range" else SECOND_FMT
+        group = " GROUP BY 1" if kind == "range" else ""
+        sql[f"total_watt_{kind}_complete"] = (
+            f"{_views(view)} SELECT {_label(fmt, 'v.timestamp')} AS timestamp, "
+            f"CAST({values} AS DOUBLE) AS value FROM {view} AS v "
+            f"WHERE {WINDOWS[kind].replace('timestamp', 'v.timestamp')}{group}"
+        )
+    sql["total_watt_today_newest50"] = _raw_report("pm", {"value": "kw"}, "").replace(
+        "LIMIT 250", "LIMIT 50"
+    )
+    sql["latest_per_device_1500"] = (
+        f"{_views('pm')} SELECT no_device, id, CAST(kw AS DOUBLE) AS kw FROM pm "
+        f"QUALIFY row_number() OVER (PARTITION BY no_device "
+        f"ORDER BY {_label(SECOND_FMT)} DESC, id DESC) <= 1500"
+    )
+    sql["compare_watt_days_devices23"] = (
+        f"{_views('pm')} SELECT a.timestamp, a.v AS value1, coalesce(b.v, 0) AS value2 FROM "
+        + " LEFT JOIN ".join(
+            f"(SELECT {_label(DAY_FMT)} AS timestamp, {_agg('sum', 'kw')} AS v FROM pm "
+            f"WHERE {_between(fx.RANGE)} AND no_device = {k} GROUP BY 1) {name}"
+            for k, name in ((2, "a"), (3, "b"))
+        )
+        + " ON a.timestamp = b.timestamp"
     )
     sql["compare_watt_days_anchor1"] = _compare_buckets(
         "pm", "kw", "sum", _between(fx.RANGE), DAY_FMT, (1, 2, 3)

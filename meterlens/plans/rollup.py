@@ -4,11 +4,15 @@ Every bucketed report (hour, day, month, year; max, sum and average) can be give
 the rollup in place of the readings and returns the same result: sums and counts
 add up, maxima combine, and an average is sum over count. The size of the rollup
 depends on devices and hours only, not on how often a device reports. Reports of
-raw readings (today's top 250) need the readings. A time-zone shift has to be whole hours.
+raw readings (today's top 250) need the readings. A time-zone shift has to be whole hours; others
+are refused.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +35,27 @@ def hourly_rollup(readings: DataFrame) -> DataFrame:
     return grouped.withColumn("timestamp", start).drop("_hour")
 
 
+def check_zone(df: DataFrame, tz: str | None) -> None:
+    """A rollup has whole hours of UTC, so it can be shifted by whole hours only."""
+    if tz is None or not any(c.endswith("_count") for c in df.columns):
+        return
+    shift = F.convert_timezone(F.lit("UTC"), F.lit(tz), F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"))
+    minute = df.sparkSession.range(1).select(F.minute(shift)).first()[0]
+    if minute:
+        raise ValueError(f"a rollup of hours cannot be shifted to {tz}; use the readings")
+
+
+def refresh_rollup(readings: DataFrame, path: str, days: Iterable[date]) -> None:
+    """Compute the given days from the readings and replace them as a whole; other days stay."""
+    days = sorted(set(days))
+    if days:
+        day = F.col("dt") if "dt" in readings.columns else F.to_date("timestamp")
+        write_rollup(hourly_rollup(readings.where(day.isin(days))), path)
+
+
 def write_rollup(rollup: DataFrame, path: str) -> None:
-    """Replace the days present in ``rollup`` and keep the others."""
+    """Replace the days present in ``rollup``, which has to hold them whole, and keep the
+    others. See :func:`refresh_rollup` for parts of a day."""
     (
         rollup.hint("rebalance", F.col("dt"))
         .write.mode("overwrite")

@@ -59,6 +59,21 @@ TEMP_DEVICES = (1, 2)
 COST_DEVICES = (1, 2)
 
 
+# Default of ``limit`` arguments: the limit that a report usually has. ``None`` gives the
+# complete result, a number that many of the newest rows.
+USUAL = "usual"
+Limit = int | None | str
+
+
+def row_limit(limit: Limit, usual: int | None) -> int | None:
+    """The number of rows that a ``limit`` argument stands for."""
+    if limit == USUAL:
+        return usual
+    if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 0):
+        raise ValueError(f"limit must be a number of rows or None, got {limit!r}")
+    return limit
+
+
 @dataclass(frozen=True)
 class Metric:
     """One measured quantity.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,15 +30,14 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schema).parquet(table_path(root, table)).drop("batch")
 
 
-def write_readings(df: DataFrame, path: str, batch: str | Column) -> None:
-    """Write rows as one batch, or in batches named by a column. Only the (dt, batch) folders
-    present in ``df`` are replaced, so writing the same batch again does not duplicate rows.
-    Within a file the rows are ordered by device and time, so that a device filter skips
-    pages."""
-    key = F.lit(batch) if isinstance(batch, str) else batch
+def write_readings(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Write rows as one batch, or without ``batch`` as those that a column of this name
+    gives. Only the (dt, batch) folders present in ``df`` are replaced, so writing the same
+    batch again does not duplicate rows. Within a file the rows are ordered by device and
+    time, so that a device filter skips pages."""
+    rows = df if batch is None else df.withColumn("batch", F.lit(batch))
     (
-        df.withColumns({"dt": F.to_date("timestamp"), "batch": key})
-        .select(*[c for c in TABLES[path.rsplit("/", 1)[-1]].names], "dt", "batch")
+        rows.withColumn("dt", F.to_date("timestamp"))
         .sortWithinPartitions("dt", "batch", "no_device", "timestamp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

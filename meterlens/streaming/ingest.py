@@ -119,7 +119,8 @@ class Writer:
             width = timedelta(seconds=_seconds(spark, every))
             for path, rows_of in self._tables():
                 readings = rows_of(rows, keep=("slot",))
-                write_readings(readings, path, F.concat(F.lit(f"{query}-"), "slot"))
+                named = readings.withColumn("batch", F.concat(F.lit(f"{query}-"), "slot"))
+                write_readings(named.drop("slot"), path)
                 # A slot whose rows have all been replaced by messages without such readings.
                 there = {
                     (r["day"], r["slot"])

@@ -7,7 +7,9 @@ import math
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+import __spark_entry__
+from meterlens.plans.catalogue import queries
+from meterlens.plans.oracle import oracle_sql
 
 TABLES = ("events", "orders", "lineitem")
 QUERIES, SQL = queries(), oracle_sql()
@@ -34,6 +36,8 @@ def rows_of(columns, rows):
 
 def test_every_sql_has_a_query():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

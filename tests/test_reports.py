@@ -17,10 +17,11 @@ from meterlens import (
     history,
     latest_per_device,
     phases,
+    series,
     summary,
     total,
 )
-from meterlens.plans.rollup import hourly_rollup, read_rollup, write_rollup
+from meterlens.plans.rollup import hourly_rollup, read_rollup, refresh_rollup, write_rollup
 from meterlens.schema import POWER_SCHEMA, TEMP_SCHEMA
 
 START, DAYS = date(2023, 1, 1), 400
@@ -109,9 +110,15 @@ def test_latest_per_device_equals_plain_ranking(power, order, devices, n):
     assert rows_of(got.select("id")) == rows_of(want)
 
 
-def test_compare_latest_multiplies_equal_labels(power):
-    top = latest_per_device(power, 60, "label", ["kw"]).withColumn(
-        "label", F.date_format("timestamp", "HH:mm:ss")
+@pytest.mark.parametrize("order", ["label", "latest"])
+def test_compare_latest_takes_one_reading_per_label(power, order):
+    fmt = "HH:mm:ss" if order == "label" else "yyyy-MM-dd HH:mm:ss"
+    newest = Window.partitionBy("no_device", "label").orderBy(F.desc("timestamp"), F.desc("id"))
+    top = (
+        latest_per_device(power, 60, order)
+        .withColumn("label", F.date_format("timestamp", fmt))
+        .withColumn("rn", F.row_number().over(newest))
+        .where("rn = 1")
     )
     sides = [
         top.where(f"no_device = {k}").select("label", F.col("kw").alias(f"v{k}"))
@@ -122,9 +129,60 @@ def test_compare_latest_multiplies_equal_labels(power):
         F.col("label").alias("timestamp"),
         *[F.coalesce(f"v{k}", F.lit(0.0)).alias(f"value{k}") for k in (1, 2, 3)],
     )
-    got = compare_latest(power, "kw", n=60)
+    got = compare_latest(power, "kw", n=60, order=order)
     assert rows_of(got) == rows_of(want)
-    assert got.count() > 60
+    assert 0 < got.count() <= 60
+
+
+def test_many_readings_of_one_label_give_one_row(spark):
+    at = datetime(2024, 1, 1, 23, 59, 59)
+    rows = [
+        (n, k, *[float(n)] * 9, at + timedelta(days=n % 250)) for k in (1, 2, 3) for n in range(250)
+    ]
+    got = compare_latest(spark.createDataFrame(rows, POWER_SCHEMA), "kw").collect()
+    assert [tuple(r) for r in got] == [("23:59:59", 249.0, 249.0, 249.0)]
+
+
+def test_the_anchor_is_one_of_the_devices(power):
+    both = compare(power, "kw", "sum", RANGE, devices=(2, 3))
+    assert rows_of(both) == rows_of(compare(power, "kw", "sum", RANGE, devices=(2, 3), anchor=2))
+    assert both.count() > 0
+    assert compare_latest(power, "kw", devices=(2, 3)).count() > 0
+    for call in (compare, compare_latest):
+        with pytest.raises(ValueError):
+            args = ("kw", "sum", RANGE) if call is compare else ("kw",)
+            call(power, *args, devices=(2, 3), anchor=1)
+
+
+def test_limits(power):
+    year = Mode.range(date(2022, 1, 1), date(2024, 12, 31))
+    days = power.where(F.col("timestamp").between("2022-01-01", "2025-01-01")).select(
+        F.to_date("timestamp")
+    ).distinct().count()
+    assert total(power, "watt", year, limit=None).count() == days
+    assert total(power, "watt", year, limit=3).count() == min(3, days)
+    assert total(power, "watt", year, limit=0).count() == 0
+    assert latest_per_device(power, None).count() == power.count()
+    today = Mode.today()
+    assert compare(power, "kw", "sum", today, limit=0).count() == 0
+    assert compare(power, "kw", "sum", today, limit=None).count() >= compare(
+        power, "kw", "sum", today
+    ).count()
+    with pytest.raises(ValueError):
+        total(power, "watt", year, limit="all")
+
+
+def test_a_rollup_keeps_whole_days_and_refuses_half_hours(spark, power, tmp_path):
+    path = str(tmp_path / "rollup")
+    days = [r.d for r in power.select(F.to_date("timestamp").alias("d")).distinct().collect()]
+    refresh_rollup(power, path, days)
+    refresh_rollup(power, path, days[:1])
+    refresh_rollup(power, path, [])
+    stored = read_rollup(spark, path)
+    assert stored.count() == hourly_rollup(power).count()
+    with pytest.raises(ValueError):
+        series(stored, "volt", date(2023, 1, 1), tz="+05:30")
+    assert series(stored, "volt", date(2023, 1, 1), tz="+07:00") is not None
 
 
 def test_rollup_gives_the_same_reports(spark, power, tmp_path):
