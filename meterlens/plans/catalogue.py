@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlens.functions.buckets import bucket
 from meterlens.operators.compare import compare, compare_metric
 from meterlens.operators.cost import (
     COST_GRAIN,
@@ -23,17 +24,19 @@ from meterlens.operators.summary import dashboard, summary
 from meterlens.operators.totals import phases, total
 from meterlens.plans import fixtures as fx
 from meterlens.plans.modes import Mode
-from meterlens.plans.rollup import hourly_rollup
+from meterlens.plans.rollup import hourly_rollup, read_rollup, write_rollup
 from meterlens.schema import (
     METRICS,
     POWER_DEVICES,
+    POWER_SCHEMA,
     SAMPLE_INTERVAL,
+    TEMP_SCHEMA,
     TOPIC_DEVICE_LIST,
     TOPIC_PME5,
     TOTAL_AGGREGATE,
 )
 from meterlens.sources.scratch import scratch_dir
-from meterlens.sources.tables import read_table
+from meterlens.sources.tables import compact, json_rows, read_table, table_path, write_readings
 from meterlens.streaming.ingest import ingest
 from meterlens.streaming.sample import sample_latest
 
@@ -191,8 +194,16 @@ def _cost_queries() -> dict[str, Query]:
 def _rollup_queries() -> dict[str, Query]:
     """The hourly rollup, and reports computed from it."""
 
+    built: dict[tuple[str, str, str], str] = {}
+
     def rollup(spark: SparkSession, sf: str, table: str = "power") -> DataFrame:
-        return hourly_rollup(long_view(spark, sf, table))
+        """The stored rollup; it is built by the first report that asks for it."""
+        key = (spark.sparkContext.applicationId, sf, table)
+        if key not in built:
+            path = scratch_dir(spark, "rollup")
+            write_rollup(hourly_rollup(long_view(spark, sf, table)), path)
+            built[key] = path
+        return read_rollup(spark, built[key])
 
     return {
         "rollup_temp_hourly": lambda spark, sf: _with_time_text(
@@ -313,6 +324,66 @@ def _ingest_queries() -> dict[str, Query]:
     return queries
 
 
+def _written(spark: SparkSession, sf: str) -> str:
+    """The short views as stored tables: every day in two batches, one day then compacted."""
+    root = scratch_dir(spark, "tables")
+    for table, kind in (("power_meter", "power"), ("temp_control", "temp")):
+        rows = short_view(spark, sf, kind)
+        schema = POWER_SCHEMA if kind == "power" else TEMP_SCHEMA
+        rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        for n in (0, 1):
+            write_readings(rows.where(F.col("id") % 2 == n), table_path(root, table), f"part-{n}")
+        compact(spark, root, table, fx.DAY)
+    return root
+
+
+def _table_queries() -> dict[str, Query]:
+    """Reports over stored tables, of which only the folders of the window are listed."""
+    window = Mode.range(*fx.RANGE)
+
+    def power(spark, sf, mode=window):
+        return read_table(spark, _written(spark, sf), "power_meter", mode)
+
+    def merged(spark, sf):
+        root = _written(spark, sf)
+        tables = [read_table(spark, root, t, window) for t in ("power_meter", "temp_control")]
+        # Averages of stored doubles differ in the last digit with the order of the sum.
+        return history(*tables, *fx.RANGE).withColumn("value", F.round("value", 6))
+
+    def clock(spark, sf):
+        label = bucket(F.col("timestamp"), "second", "+05:30").alias("label")
+        return short_view(spark, sf, "temp").groupBy(label).agg(F.count("*").alias("n"))
+
+    def before_today(spark, sf):
+        rows = short_view(spark, sf, "power").where(F.col("timestamp") < F.lit(Mode.today().lo))
+        return rows.groupBy("no_device").agg(F.count("*").alias("n"))
+
+    def arrays(spark, sf):
+        row = summary(long_view(spark, sf, "power"), MODES["year"], POWER_DEVICES, arrays=True)
+        return row.select(
+            F.size("total").cast("long").alias("n"),
+            *[F.col("total")[k].alias(f"total{k + 1}") for k in range(3)],
+            *[F.col("average")[k].alias(f"average{k + 1}") for k in range(3)],
+        )
+
+    return {
+        "table_series_volt_range": lambda spark, sf: series(power(spark, sf), "volt", *fx.RANGE),
+        "table_series_volt_day": lambda spark, sf: series(
+            power(spark, sf, Mode.day(fx.DAY)), "volt", fx.DAY
+        ),
+        "table_history_range": merged,
+        "bucket_second_in_zone": clock,
+        "readings_before_today": before_today,
+        "summary_watt_year_arrays": arrays,
+        "json_rows": lambda spark, sf: json_rows(
+            latest_per_device(short_view(spark, sf, "power"), columns=["kw"]).select("no_device", "id")
+        ),
+        "decode_pme5_power_without_list": lambda spark, sf: _with_time_text(
+            decode_pme5(fx.spark_view(spark, sf, fx.MESSAGES_WITHOUT_LIST)).power, "timestamp"
+        ),
+    }
+
+
 def queries() -> dict[str, Query]:
     return {
         **_series_queries(),
@@ -321,4 +392,5 @@ def queries() -> dict[str, Query]:
         **_option_queries(),
         **_rollup_queries(),
         **_ingest_queries(),
+        **_table_queries(),
     }

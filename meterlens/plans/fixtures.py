@@ -81,6 +81,15 @@ SELECT 'PM/E5' AS topic, ts, event_id AS seq,
 FROM {events}
 """
 
+# Objects that lack the list of readings, or have none in it; every 50th is cut off.
+MESSAGES_WITHOUT_LIST = """
+SELECT 'PM/E5' AS topic, ts, event_id AS seq,
+       CASE WHEN event_id % 50 = 0 THEN '{{"PME5":['
+            WHEN event_id % 3 = 0 THEN '{{"PME5":[]}}'
+            ELSE concat('{{"site":', CAST(event_id % 7 AS STRING), '}}') END AS payload
+FROM {events}
+"""
+
 # Device lists: the frequency is missing in every third message, the power is sent
 # twice in every fifth (the later value counts) and as text in every seventh; the
 # temperature controller has a number in even messages only.

@@ -496,6 +496,40 @@ def _rollups(direct: dict[str, str]) -> dict[str, str]:
     return sql
 
 
+def _stored(direct: dict[str, str]) -> dict[str, str]:
+    """Reports over stored tables must equal those over the views."""
+    zeros = ", ".join(f"0.0::DOUBLE AS {c}" for c in ("kva", "kw", "volt1"))
+    null = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("volt2", "volt3", "amp2", "amp3"))
+    return {
+        "table_series_volt_range": direct["series_volt_range"],
+        "table_series_volt_day": direct["series_volt_day"],
+        "table_history_range": (
+            f"SELECT series, date, time_label, round(value, 6) AS value FROM ({direct['history_range']})"
+        ),
+        "bucket_second_in_zone": (
+            f"{_views('tc')} SELECT "
+            f"{_label(SECOND_FMT, 'timestamp + INTERVAL 330 MINUTE')} AS label, count(*) AS n "
+            f"FROM tc GROUP BY 1"
+        ),
+        "readings_before_today": (
+            f"{_views('pm')} SELECT no_device, count(*) AS n FROM pm "
+            f"WHERE timestamp < current_date GROUP BY 1"
+        ),
+        "summary_watt_year_arrays": (
+            f"SELECT CAST(3 AS BIGINT) AS n, * FROM ({direct['summary_watt_year_all']})"
+        ),
+        "json_rows": (
+            "SELECT '{\"no_device\":' || no_device || ',\"id\":' || id || '}' AS json "
+            f"FROM ({direct['latest_per_device']})"
+        ),
+        "decode_pme5_power_without_list": (
+            f"SELECT event_id AS id, CAST(1 AS INTEGER) AS no_device, {zeros}, 0.0::DOUBLE AS amp1, "
+            f"0.0::DOUBLE AS freq, {null}, CAST(ts AS VARCHAR) AS timestamp "
+            f"FROM events WHERE event_id % 50 <> 0"
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     direct = {
         **_series(),
@@ -506,5 +540,5 @@ def oracle_sql() -> dict[str, str]:
         **_costs(),
         **_ingest(),
     }
-    return {**direct, **_rollups(direct)}
+    return {**direct, **_rollups(direct), **_stored(direct)}
 

@@ -46,24 +46,27 @@ def check_zone(df: DataFrame, tz: str | None) -> None:
 
 
 def refresh_rollup(readings: DataFrame, path: str, days: Iterable[date]) -> None:
-    """Compute the given days from the readings and replace them as a whole; other days stay."""
-    days = sorted(set(days))
-    if days:
+    """Compute the months of the given days from the readings and replace them as a whole;
+    other months stay."""
+    months = sorted({d.replace(day=1) for d in days})
+    if months:
         day = F.col("dt") if "dt" in readings.columns else F.to_date("timestamp")
-        write_rollup(hourly_rollup(readings.where(day.isin(days))), path)
+        write_rollup(hourly_rollup(readings.where(F.trunc(day, "month").isin(months))), path)
 
 
 def write_rollup(rollup: DataFrame, path: str) -> None:
-    """Replace the days present in ``rollup``, which has to hold them whole, and keep the
-    others. See :func:`refresh_rollup` for parts of a day."""
+    """Replace the months present in ``rollup``, which has to hold them whole, and keep the
+    others. See :func:`refresh_rollup` for parts. A day has few rows, so a file holds a month."""
     (
-        rollup.hint("rebalance", F.col("dt"))
+        rollup.withColumn("month", F.substring(F.col("dt").cast("string"), 1, 7))
+        .hint("rebalance", F.col("month"))
+        .sortWithinPartitions("month", "dt", "no_device")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt")
+        .partitionBy("month")
         .parquet(path)
     )
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("month")

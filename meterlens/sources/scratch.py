@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared ``spark.checkpoint.dir`` of the session. Only where
-    that is unset (tests on one machine) a local temporary folder is used."""
+    """A new folder under the shared ``spark.checkpoint.dir`` of the session. Where that is
+    unset, a session in one process uses a local temporary folder; on a cluster executors would
+    not see it, so an error is raised."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"{name}-")

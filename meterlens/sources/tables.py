@@ -8,12 +8,13 @@ replace its own files and nothing else.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterlens.plans.modes import Mode
 from meterlens.schema import POWER_SCHEMA, TEMP_SCHEMA
 
 TABLES: dict[str, T.StructType] = {"power_meter": POWER_SCHEMA, "temp_control": TEMP_SCHEMA}
@@ -24,10 +25,43 @@ def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Reading table with its ``dt`` column. The schema is given, so no file is opened to infer it."""
+def read_table(spark: SparkSession, root: str, table: str, mode: Mode | None = None) -> DataFrame:
+    """Reading table with its ``dt`` column. The schema is given, so no file is opened to infer
+    it. With a ``mode`` only the folders of its days are listed, however many days the table
+    has; without one, and for a month of any year, all are."""
     schema = T.StructType(TABLES[table].fields + PARTITIONS.fields)
-    return spark.read.schema(schema).parquet(table_path(root, table)).drop("batch")
+    path = table_path(root, table)
+    reader = spark.read.schema(schema).option("basePath", path)
+    if mode is None or mode.lo is None:
+        return reader.parquet(path).drop("batch")
+    days = ((mode.hi - mode.lo).days + 2) if mode.hi else 0
+    # A day more on either side, for windows in another time zone.
+    folders = [f"{path}/dt={mode.lo + timedelta(days=n - 1)}" for n in range(days)]
+    there = [f for f in folders if exists(spark, f)]
+    if not there:
+        return spark.createDataFrame([], schema).drop("batch")
+    return reader.parquet(*there).drop("batch")
+
+
+def compact(spark: SparkSession, root: str, table: str, day: date) -> None:
+    """Make one batch of all batches of a day that no stream writes to any more.
+
+    The new files are complete, beside the table, before the old ones go. A call that was
+    stopped is taken up by the next call for that day."""
+    path = table_path(root, table)
+    folder, beside = f"{path}/dt={day}", f"{root.rstrip('/')}/_compacting/{table}/dt={day}"
+    if not exists(spark, f"{beside}/_SUCCESS"):
+        if not exists(spark, folder):
+            return
+        rows = spark.read.schema(TABLES[table]).parquet(folder)
+        rows = rows.select(*TABLES[table].names).repartitionByRange("no_device", "timestamp")
+        rows.sortWithinPartitions("no_device", "timestamp").write.mode("overwrite").parquet(beside)
+    remove(spark, [folder])
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    files = _files(spark, path)
+    files.mkdirs(paths(folder))
+    if not files.rename(paths(beside), paths(f"{folder}/batch=compacted")):
+        raise OSError(f"could not move {beside}")
 
 
 def write_readings(df: DataFrame, path: str, batch: str | None = None) -> None:
@@ -67,18 +101,36 @@ def partition_path(path: str, day: date, batch: str) -> str:
     return f"{path}/dt={day.isoformat()}/batch={batch}"
 
 
-def create_tables(spark: SparkSession, root: str) -> None:
-    """Register ``power_meter`` and ``temp_control`` over ``root`` unless they exist, and
-    pick up the partitions already written."""
+def create_tables(spark: SparkSession, root: str, days: Iterable[date] | None = None) -> None:
+    """Register ``power_meter`` and ``temp_control`` over ``root`` unless they exist, and pick up
+    the partitions of the given days, for example those of a batch; without days those of the
+    whole table, which lists it."""
     for table, schema in TABLES.items():
         columns = ", ".join(
             f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields + PARTITIONS.fields
         )
+        path = table_path(root, table)
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
-            f"PARTITIONED BY (dt, batch) LOCATION '{table_path(root, table)}'"
+            f"PARTITIONED BY (dt, batch) LOCATION '{path}'"
         )
-        spark.sql(f"MSCK REPAIR TABLE {table}")
+        if days is None:
+            if exists(spark, path):
+                spark.sql(f"MSCK REPAIR TABLE {table}")
+            continue
+        for day in days:
+            for batch in _batches(spark, f"{path}/dt={day}"):
+                spark.sql(
+                    f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (dt=DATE'{day}', batch='{batch}')"
+                )
+
+
+def _batches(spark: SparkSession, folder: str) -> list[str]:
+    if not exists(spark, folder):
+        return []
+    listed = _files(spark, folder).listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    names = [status.getPath().getName() for status in listed]
+    return [n.removeprefix("batch=") for n in names if n.startswith("batch=")]
 
 
 def json_rows(df: DataFrame) -> DataFrame:
