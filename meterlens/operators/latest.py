@@ -53,7 +53,8 @@ def _since_cutoff(df: DataFrame, n: int, order: str) -> DataFrame:
     if order == "label":
         bucket = F.coalesce(F.hour("timestamp"), F.lit(-1))
     else:
-        bucket = F.coalesce(F.to_date("timestamp"), F.lit("0001-01-01").cast("date"))
+        day = F.col("dt") if "dt" in df.columns else F.to_date("timestamp")
+        bucket = F.coalesce(day, F.lit("0001-01-01").cast("date"))
     rows = df.withColumn("_bucket", bucket)
     newer = (
         Window.partitionBy("no_device")
@@ -68,6 +69,15 @@ def _since_cutoff(df: DataFrame, n: int, order: str) -> DataFrame:
         .groupBy(F.col("no_device").alias("_device"))
         .agg(F.min("_bucket").alias("_from"))
     )
+    if order == "latest" and "dt" in df.columns:
+        # One row per device, so the cutoffs can be constants, and older days are not read.
+        found = {r["_device"]: r["_from"] for r in cutoff.collect()}
+        if not found:
+            return df.limit(0)
+        since = F.lit(False)
+        for device, day in found.items():
+            since |= (F.col("no_device") == device) & (F.col("dt") >= F.lit(day))
+        return df.where((F.col("dt") >= F.lit(min(found.values()))) & since)
     since = (F.col("no_device") == F.col("_device")) & (F.col("_bucket") >= F.col("_from"))
     return rows.join(F.broadcast(cutoff), since, "left_semi")
 
@@ -84,18 +94,20 @@ def latest_per_device(
     ``order="label"`` ranks by time of day over all days, ``order="latest"`` by
     the full timestamp. A count per device and hour of day (or day) first leaves out
     the rows that cannot be among the top ``n``; it is one aggregation, and what it
-    hands on is a row per device. The rest is ranked in two steps, whatever ``n`` is:
+    hands on is a row per device. With ``order="latest"`` on a table with days this count
+    runs at once and the ranking reads the newest days only. The rest is ranked in two steps, whatever ``n`` is:
     within (device, slot of input partitions), then over the survivors of each device,
     so a device that holds most of the table is ranked by many tasks.
     """
     columns = columns or [c for c in df.columns if c not in ("id", "no_device", "timestamp", "dt")]
     keys = _newest_first(df, order, columns)
     kept = [c for c in ("id", "no_device", "timestamp") if c in df.columns] + columns
-    candidates = df.select(*kept)
+    day = ["dt"] if "dt" in df.columns and order == "latest" else []
+    candidates = df.select(*kept, *day)
     if devices is not None:
         candidates = candidates.where(F.col("no_device").isin(*devices))
     if n is None:
-        return candidates
+        return candidates.drop("dt")
     if devices is not None:
         candidates = _since_cutoff(candidates, n, order)
     # About as many slots as the rows that n leaves over need; a row stays with its input task.

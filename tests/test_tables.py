@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 
-from meterlens import Mode, series
+from meterlens import Mode, latest_per_device, series
 from meterlens.schema import TEMP_SCHEMA
 from meterlens.sources.scratch import scratch_dir
 from meterlens.sources.tables import compact, create_tables, exists, read_table, write_readings
@@ -49,6 +49,17 @@ def test_a_window_lists_its_days_only(spark, root):
     assert read_table(spark, root, "temp_control", Mode.month_of_any_year(date(2024, 3, 1))).count() == 240
 
 
+def test_latest_readings_come_from_the_newest_days(spark, root):
+    whole = read_table(spark, root, "temp_control")
+    got = latest_per_device(whole, 20, "latest", devices=(0, 1))
+    want = latest_per_device(whole.drop("dt"), 20, "latest", devices=(0, 1))
+    assert rows_of(got) == rows_of(want) and got.count() == 40
+    # 24 readings a day: the last two days hold 20 of each device.
+    assert "(dt#" in (plan := got._jdf.queryExecution().executedPlan().toString())
+    assert "2024-03-09" in plan and got.columns == want.columns
+    assert latest_per_device(whole, 20, "latest", devices=(7,)).count() == 0
+
+
 def test_compaction_keeps_all_rows(spark, root):
     before = rows_of(read_table(spark, root, "temp_control"))
     for day in (date(2024, 3, 4), date(2024, 3, 4), date(1999, 1, 1)):
