@@ -12,7 +12,7 @@ from meterlens.operators.decode import decode_device_list, decode_pme5
 from meterlens.operators.history import history
 from meterlens.operators.latest import latest_per_device
 from meterlens.operators.series import series
-from meterlens.operators.summary import dashboard, summary
+from meterlens.operators.summary import dashboard, series_and_summary, summary
 from meterlens.operators.totals import phases, total
 from meterlens.plans.modes import Mode, in_window, resolve_mode, resolve_period
 from meterlens.plans.rollup import hourly_rollup
@@ -45,6 +45,7 @@ __all__ = [
     "sample_latest",
     "sample_spacing",
     "series",
+    "series_and_summary",
     "summary",
     "total",
 ]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlens.functions.buckets import bucket_key, bucket_label
 from meterlens.functions.measures import measure
-from meterlens.operators.totals import for_device
+from meterlens.operators.totals import USUAL_LIMIT, for_device, mode_grain
 from meterlens.plans.modes import Mode, in_window
-from meterlens.schema import POWER_DEVICES
+from meterlens.schema import POWER_DEVICES, USUAL, Limit, row_limit
 
 
 def device_measures(
@@ -60,6 +61,37 @@ def summary(
     )
 
 
+def series_and_summary(
+    power: DataFrame, mode: Mode, device: int | None = None, limit: Limit = USUAL
+) -> DataFrame:
+    """``(kind, timestamp, value, average)``: the kw total and average of every bucket (kind
+    "series") and of the whole window (kind "summary", no timestamp), from one scan.
+
+    ``limit`` keeps the newest 250 days or 12 months of the series unless given; the summary
+    always covers the window."""
+    grain, limit = mode_grain(mode), row_limit(limit, USUAL_LIMIT.get(mode.kind))
+    rows = (
+        in_window(for_device(power, device), mode)
+        .withColumn("bucket", bucket_key(F.col("timestamp"), grain))
+        .rollup("bucket")
+        .agg(
+            measure(power, "sum", "kw").alias("value"),
+            measure(power, "avg", "kw").alias("average"),
+            F.grouping("bucket").alias("whole"),
+        )
+    )
+    if limit is not None:
+        # One row per bucket by now.
+        newest = Window.partitionBy("whole").orderBy(F.col("bucket").desc())
+        rows = rows.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= limit)
+    return rows.orderBy("whole", "bucket").select(
+        F.when(F.col("whole") == 1, "summary").otherwise("series").alias("kind"),
+        bucket_label(F.col("bucket"), grain).alias("timestamp"),
+        "value",
+        "average",
+    )
+
+
 def dashboard(power: DataFrame, as_of=None) -> DataFrame:
     """Today's kw total of devices 1 to 3 as ``value1..value3``."""
     return device_measures(power, Mode.today(as_of), POWER_DEVICES, {"value": "sum"}, "kw")

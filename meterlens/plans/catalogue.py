@@ -20,7 +20,7 @@ from meterlens.operators.decode import decode_device_list, decode_pme5, parse_pm
 from meterlens.operators.history import history
 from meterlens.operators.latest import latest_per_device
 from meterlens.operators.series import series
-from meterlens.operators.summary import dashboard, summary
+from meterlens.operators.summary import dashboard, series_and_summary, summary
 from meterlens.operators.totals import phases, total
 from meterlens.plans import fixtures as fx
 from meterlens.plans.modes import Mode
@@ -128,6 +128,10 @@ def _report_queries() -> dict[str, Query]:
         queries[f"summary_watt_{kind}_all"] = lambda spark, sf, mode=mode, view=view: summary(
             view(spark, sf, "power"), mode, POWER_DEVICES
         )
+    for kind in ("range", "year"):
+        queries[f"series_and_summary_watt_{kind}"] = (
+            lambda spark, sf, mode=MODES[kind]: series_and_summary(long_view(spark, sf, "power"), mode)
+        )
     queries["dashboard"] = lambda spark, sf: dashboard(short_view(spark, sf, "power"), fx.AS_OF)
     return queries
 
@@ -258,6 +262,17 @@ def _ingested(
     """Land the parts one after the other, run the stream to the end after each, and read both
     tables back."""
     root = scratch_dir(spark, "ingest")
+    _run_stream(spark, root, parts, topic, **sampling)
+    power = read_table(spark, f"{root}/tables", "power_meter").withColumn("kind", F.lit("power"))
+    temp = read_table(spark, f"{root}/tables", "temp_control").withColumn("kind", F.lit("temp"))
+    return _with_time_text(
+        power.unionByName(temp, allowMissingColumns=True).drop("dt"), "timestamp"
+    )
+
+
+def _run_stream(
+    spark: SparkSession, root: str, parts: list[DataFrame], topic: str, **options
+) -> None:
     for rows in parts:
         landed = rows.withColumn("ts", F.col("ts").cast("timestamp"))
         landed.write.mode("append").parquet(f"{root}/landing")
@@ -268,13 +283,16 @@ def _ingested(
             f"{root}/checkpoint",
             topic,
             trigger={"availableNow": True},
-            **sampling,
+            **options,
         ).awaitTermination()
-    power = read_table(spark, f"{root}/tables", "power_meter").withColumn("kind", F.lit("power"))
-    temp = read_table(spark, f"{root}/tables", "temp_control").withColumn("kind", F.lit("temp"))
-    return _with_time_text(
-        power.unionByName(temp, allowMissingColumns=True).drop("dt"), "timestamp"
-    )
+
+
+def _unreadable(spark: SparkSession, sf: str) -> DataFrame:
+    """What an ingest that keeps them has put aside."""
+    root = scratch_dir(spark, "ingest")
+    rows = [messages(spark, sf)]
+    _run_stream(spark, root, rows, TOPIC_PME5, every="1 hour", keep_unreadable=True)
+    return spark.read.parquet(f"{root}/tables/unreadable").select("topic", "seq", "payload")
 
 
 def _late_half_first(spark: SparkSession, sf: str) -> list[DataFrame]:
@@ -299,6 +317,7 @@ def _ingest_queries() -> dict[str, Query]:
         "ingest_stream_late": lambda spark, sf: _ingested(
             spark, sf, _late_half_first(spark, sf), TOPIC_PME5, every="1 hour"
         ),
+        "ingest_stream_unreadable": _unreadable,
         "ingest_stream_device_list": lambda spark, sf: _ingested(
             spark, sf, [device_list_messages(spark, sf)], TOPIC_DEVICE_LIST
         ),

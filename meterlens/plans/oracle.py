@@ -332,6 +332,13 @@ def _summaries() -> dict[str, str]:
             f"{_views(view)} SELECT {_agg('sum', 'kw')} AS total1, {_agg('avg', 'kw')} AS average1 "
             f"FROM {view} WHERE {where}"
         )
+    for kind, limit in (("range", 250), ("year", 12)):
+        figures = f"{_agg('sum', 'kw')} AS value, {_agg('avg', 'kw')} AS average"
+        sql[f"series_and_summary_watt_{kind}"] = (
+            f"{_views('pml')} SELECT * FROM (SELECT 'series' AS kind, {_label(FORMATS[kind])} AS timestamp, "
+            f"{figures} FROM pml WHERE {WINDOWS[kind]} GROUP BY 2 ORDER BY 2 DESC LIMIT {limit}) UNION ALL "
+            f"SELECT 'summary', NULL, {figures} FROM pml WHERE {WINDOWS[kind]}"
+        )
     sql["dashboard"] = _scalars("pm", "kw", _on(fx.AS_OF), (1, 2, 3), {"value": "sum"})
     return sql
 
@@ -465,6 +472,10 @@ kept AS (
             "SELECT 'toho' AS topic, event_id AS seq, '{\"data\":[{\"name\"' AS payload "
             "FROM events WHERE event_id % 50 = 0"
         ),
+        "ingest_stream_unreadable": (
+            "SELECT 'PM/E5' AS topic, event_id AS seq, '{\"PME5\":[' AS payload "
+            "FROM events WHERE event_id % 50 = 0"
+        ),
         "sample_latest": sample_report("10 seconds"),
         "sample_latest_hour": sample_report("1 hour"),
         "ingest_stream": both(pme5_power("kept"), pme5_temp("kept"), kept),

@@ -62,7 +62,7 @@ class Writer:
 
     def __init__(self, out_dir: str, checkpoint: str, topic: str):
         self.out_dir, self.work = out_dir, f"{checkpoint.rstrip('/')}/work"
-        self.parse, self.valid, _, self.power_of, self.temp_of = _decoder(topic)
+        self.parse, self.valid, self.unreadable, self.power_of, self.temp_of = _decoder(topic)
 
     def _tables(self):
         return (
@@ -77,6 +77,23 @@ class Writer:
             make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
+    def with_unreadable(
+        self, write: Callable[[DataFrame, int], None]
+    ) -> Callable[[DataFrame, int], None]:
+        """Parsed messages are split: the readable ones go on to ``write``, the others to
+        ``<out_dir>/unreadable``, one folder a batch. They are parsed once for all."""
+
+        def split(parsed: DataFrame, number: int) -> None:
+            parsed = parsed.persist()
+            try:
+                folder = f"{self.out_dir}/unreadable/batch={_query_id(parsed)}-{number}"
+                self.unreadable(parsed).write.mode("overwrite").parquet(folder)
+                write(self.valid(parsed), number)
+            finally:
+                parsed.unpersist()
+
+        return split
+
     def every_message(self, messages: DataFrame, number: int) -> None:
         """Each message gives its rows."""
         batch = f"{_query_id(messages)}-{number}"
@@ -196,11 +213,12 @@ def ingest(
     trigger: dict | None = None,
     fmt: str = "parquet",
     max_files_per_trigger: int | None = FILES_PER_BATCH,
+    keep_unreadable: bool = False,
 ) -> StreamingQuery:
     """Decode a topic of a landing folder into the tables under ``out_dir``.
 
-    Unreadable messages are dropped first (see :func:`quarantine`), then the rest is
-    sampled: ``every`` keeps the latest message per interval, ``min_gap_seconds`` keeps
+    Unreadable messages are left out first (``keep_unreadable`` writes them to
+    ``<out_dir>/unreadable``; see also :func:`quarantine`), then the rest is sampled: ``every`` keeps the latest message per interval, ``min_gap_seconds`` keeps
     writes at least that far apart, neither keeps all. Both sample each key by itself;
     ``keys`` are SQL expressions over topic, payload, ts and seq. Nothing waits for a later
     message, and none is dropped for coming late: an interval's message is replaced when a
@@ -215,7 +233,7 @@ def ingest(
         raise ValueError(f"slots must be 'day' or 'hour', got {slots!r}")
     writer = Writer(out_dir, checkpoint, topic)
     messages = stream_messages(spark, source_dir, topic, fmt, max_files_per_trigger)
-    readings = writer.valid(writer.parse(messages))
+    readings = writer.parse(messages)
     if every is not None:
         _seconds(spark, every)
         write = writer.latest(every, keys, slots)
@@ -223,6 +241,10 @@ def ingest(
         write = writer.spaced(min_gap_seconds, keys)
     else:
         write = writer.every_message
+    if keep_unreadable:
+        write = writer.with_unreadable(write)
+    else:
+        readings = writer.valid(readings)
     stream = (
         readings.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)

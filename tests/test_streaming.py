@@ -267,3 +267,14 @@ def test_scratch_is_the_shared_folder_if_there_is_one(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert first.startswith(f"{shared}/x-") and first != second
+
+
+def test_unreadable_messages_of_the_same_parse(spark, tmp_path):
+    rows = traffic()
+    bad = sorted(r[3] for r in rows if r[1] == "{")
+    for n, sampling in enumerate(({}, {"every": "10 seconds"}, {"min_gap_seconds": 10})):
+        out = run_parts(
+            spark, tmp_path / str(n), [rows[:150], rows[150:]], keep_unreadable=True, **sampling
+        )
+        assert sorted(r.seq for r in spark.read.parquet(f"{out}/unreadable").collect()) == bad
+    assert written(spark, f"{tmp_path}/1/out") == latest_per_interval(rows, 10)
