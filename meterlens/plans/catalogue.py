@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,14 @@ from meterlens.schema import (
     TOTAL_AGGREGATE,
 )
 from meterlens.sources.scratch import scratch_dir
-from meterlens.sources.tables import compact, json_rows, read_table, table_path, write_readings
+from meterlens.sources.tables import (
+    compact,
+    create_tables,
+    json_rows,
+    read_table,
+    table_path,
+    write_readings,
+)
 from meterlens.streaming.ingest import ingest
 from meterlens.streaming.sample import sample_latest
 
@@ -363,6 +372,14 @@ def _table_queries() -> dict[str, Query]:
     def power(spark, sf, mode=window):
         return read_table(spark, _written(spark, sf), "power_meter", mode)
 
+    def registered(spark, sf):
+        root, database = _written(spark, sf), f"meterlens_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {database}")
+        count = (fx.RANGE[1] - fx.RANGE[0]).days + 1
+        days = [fx.RANGE[0] + timedelta(days=n) for n in range(count)]
+        create_tables(spark, root, days, database)
+        return series(spark.table(f"{database}.power_meter"), "volt", *fx.RANGE)
+
     def merged(spark, sf):
         root = _written(spark, sf)
         tables = [read_table(spark, root, t, window) for t in ("power_meter", "temp_control")]
@@ -390,6 +407,7 @@ def _table_queries() -> dict[str, Query]:
         "table_series_volt_day": lambda spark, sf: series(
             power(spark, sf, Mode.day(fx.DAY)), "volt", fx.DAY
         ),
+        "table_registered_volt_range": registered,
         "table_history_range": merged,
         "bucket_second_in_zone": clock,
         "readings_before_today": before_today,

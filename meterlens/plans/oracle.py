@@ -513,6 +513,7 @@ def _stored(direct: dict[str, str]) -> dict[str, str]:
     null = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("volt2", "volt3", "amp2", "amp3"))
     return {
         "table_series_volt_range": direct["series_volt_range"],
+        "table_registered_volt_range": direct["series_volt_range"],
         "table_series_volt_day": direct["series_volt_day"],
         "table_history_range": (
             f"SELECT series, date, time_label, round(value, 6) AS value FROM ({direct['history_range']})"

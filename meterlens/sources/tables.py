@@ -101,27 +101,34 @@ def partition_path(path: str, day: date, batch: str) -> str:
     return f"{path}/dt={day.isoformat()}/batch={batch}"
 
 
-def create_tables(spark: SparkSession, root: str, days: Iterable[date] | None = None) -> None:
-    """Register ``power_meter`` and ``temp_control`` over ``root`` unless they exist, and pick up
-    the partitions of the given days, for example those of a batch; without days those of the
-    whole table, which lists it."""
+def create_tables(
+    spark: SparkSession,
+    root: str,
+    days: Iterable[date] | None = None,
+    database: str | None = None,
+) -> None:
+    """Register ``power_meter`` and ``temp_control`` over ``root`` (in the current database unless
+    one is named) unless they exist, and pick up the partitions of the given days, for example
+    those of a batch; without days those of the whole table, which lists it."""
+    days = None if days is None else list(days)
     for table, schema in TABLES.items():
         columns = ", ".join(
             f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields + PARTITIONS.fields
         )
         path = table_path(root, table)
+        name = table if database is None else f"{database}.{table}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
             f"PARTITIONED BY (dt, batch) LOCATION '{path}'"
         )
         if days is None:
             if exists(spark, path):
-                spark.sql(f"MSCK REPAIR TABLE {table}")
+                spark.sql(f"MSCK REPAIR TABLE {name}")
             continue
         for day in days:
             for batch in _batches(spark, f"{path}/dt={day}"):
                 spark.sql(
-                    f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (dt=DATE'{day}', batch='{batch}')"
+                    f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION (dt=DATE'{day}', batch='{batch}')"
                 )
 
 
