@@ -67,8 +67,10 @@ MARKS = frozenset(
     "related recommended pagination pager hidden".split()
 )
 
+#: Comments, declarations, and tags; a tag with an open quote ends at the next bracket.
 _token = regex.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)"""
+    r"""((?:[^>"']|"[^"]*"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)""",
     regex.S,
 )
 _attribute = regex.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")

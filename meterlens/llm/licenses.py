@@ -159,9 +159,10 @@ class NoticeFinder:
     def judge(self, text: str | None) -> dict:
         words = plain_words(text)
         joined = b" ".join(words).decode()
-        places = []
-        for notice, start, stop, edits in self.find(joined):
-            word = joined.count(" ", 0, start)
+        places, word, upto = [], 0, 0
+        for notice, start, stop, edits in sorted(self.find(joined), key=lambda f: f[1]):
+            word += joined.count(" ", upto, start)
+            upto = start
             places.append(
                 {
                     "label": notice.label,

@@ -134,6 +134,12 @@ def test_base_places_equal_a_plain_loop(spark):
         assert got == sorted(base_places(text)), text
 
 
+def test_many_places_in_one_text():
+    found = licenses.finder(licenses.PHRASES + licenses.NOTICES).judge("cc by " * 50_000)
+    assert sum(p["base"] for p in found["places"]) == 50_000
+    assert found["places"][-1]["word"] == 99_998
+
+
 def test_notices_with_edits():
     found = licenses.finder(licenses.NOTICES).judge(
         "Some text. Licensed under teh Apache Licence, Version 2.0. Then released undr the MIT "
