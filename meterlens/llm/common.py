@@ -38,22 +38,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 class Memo(dict):
-    """Word -> row number in a table that ``make`` extends at a word's first sight."""
+    """Word -> what ``make`` gives for it, computed at first sight. At most ``limit`` words are
+    remembered: when half of that is reached, words not seen since the last time are forgotten."""
 
-    def __init__(self, make: Callable, limit: int = 1_000_000):
+    def __init__(self, make: Callable, limit: int = 200_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.before = make, limit, {}
 
     def __missing__(self, word):
-        self[word] = row = self.make(word)
-        return row
+        value = self.before.pop(word, None)
+        self[word] = value = self.make(word) if value is None else value
+        return value
 
-    def full(self) -> bool:
-        """Time to start anew, so that a worker's memory stays bounded."""
-        return len(self) > self.limit
+    def trim(self) -> None:
+        """To be called now and then, as lookups alone do not forget."""
+        if len(self) > self.limit // 2:
+            self.before = dict(self)
+            self.clear()
 
+    def forget(self) -> None:
+        self.before = {}
+        self.clear()
 
-def text_slices(column: pa.Array, most: int = 4_000_000) -> Iterator[list[str | None]]:
+
+def text_slices(column: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None]]:
     """The texts in lists of about ``most`` bytes; one text is never split."""
     part, size = [], 0
     for scalar in column:

@@ -39,6 +39,10 @@ MOST_LANGUAGES = 100
 UNSEEN = -7.0
 UNKNOWN = "und"
 
+#: Pieces of text that a worker remembers, and scores that it holds (also of pieces forgotten
+#: since).
+CHUNKS, SCORED = 600_000, 1_500_000
+
 PREDICTION = "lang string, score double"
 
 _letters = regex.compile(r"\p{L}+")
@@ -176,10 +180,11 @@ class _Scorer:
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        self.chunks = Memo(self._chunk, CHUNKS)
         self.clear()
 
     def clear(self) -> None:
-        self.chunks = Memo(self._chunk)
+        self.chunks.forget()
         self.sums = array("d")
         self.counts = array("q")
 
@@ -191,7 +196,8 @@ class _Scorer:
         return len(self.counts) - 1
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if self.chunks.full():
+        self.chunks.trim()
+        if len(self.counts) > SCORED:
             self.clear()
         rows = [
             np.fromiter(map(self.chunks.__getitem__, parts), np.int64, len(parts))

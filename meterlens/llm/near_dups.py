@@ -106,8 +106,7 @@ def signature(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _signed(texts: pa.Array) -> pa.Array:
     sizes, bands, bits = [], [], []
     for part in text_slices(texts):
-        if _word_hashes().full():
-            _word_hashes().clear()
+        _word_hashes().trim()
         for text in part:
             hashes = shingle_hashes(spaced_words(text))
             sizes.append(len(hashes))
@@ -170,8 +169,7 @@ def _hashes(texts: pa.Array) -> pa.Array:
     """Distinct shingles of each text as hashes."""
     rows = []
     for part in text_slices(texts):
-        if _word_hashes().full():
-            _word_hashes().clear()
+        _word_hashes().trim()
         rows += [shingle_hashes(spaced_words(t)).view(np.int64) for t in part]
     offsets = pa.array(np.append(0, np.cumsum([len(r) for r in rows])), pa.int32())
     return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *rows]))

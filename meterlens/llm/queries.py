@@ -159,12 +159,12 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text that they stand for."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs).select("doc_id", "ids"))
-    return coded.select(
+    ids = F.col("coded.ids")
+    return bpe.round_trip(docs).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        hex_digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
-        hex_digest(F.col("decoded")).alias("decoded_sha256"),
+        F.size(ids).cast("long").alias("n_tokens"),
+        hex_digest(F.array_join(ids.cast("array<string>"), " ")).alias("ids_sha256"),
+        hex_digest(F.col("coded.decoded")).alias("decoded_sha256"),
     )
 
 

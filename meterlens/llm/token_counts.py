@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from meterlens.llm.common import Memo, small_batches, text_slices
 from meterlens.llm.vocabulary import DEFAULT_VOCABULARY, WORD_END, vocabulary, words_of
 
+#: Words, pieces and pairs of tokens that a worker remembers of each.
+CACHED = 800_000
+
 PREFIX_TYPE = "ends array<int>, tokens array<int>"
 
 
@@ -30,8 +33,8 @@ class PrefixCounts:
     def __init__(self, path: str = DEFAULT_VOCABULARY):
         self.vocabulary = vocabulary(path)
         self._follows: dict[tuple[str, str], bool] = {}
-        self._pieces = Memo(lambda piece: self.piece(piece)[1][-1])
-        self.words = Memo(self.word)
+        self._pieces = Memo(lambda piece: self.piece(piece)[1][-1], CACHED)
+        self.words = Memo(self.word, CACHED)
 
     def follows(self, last: str, token: str) -> bool:
         """Whether the merges leave these two tokens as they are when one follows the other.
@@ -39,14 +42,12 @@ class PrefixCounts:
         pair = (last, token)
         found = self._follows.get(pair)
         if found is None:
-            symbols = list(last + token.removesuffix(WORD_END))
-            if token.endswith(WORD_END):
-                symbols[-1] += WORD_END
-            if len(self._follows) > 1_000_000:
+            ids, ending = self.vocabulary.ids, token.endswith(WORD_END)
+            together = self.vocabulary.encoded(last + token.removesuffix(WORD_END), ending)
+            if len(self._follows) > CACHED:
                 self._follows.clear()
-            found = self._follows[pair] = self.vocabulary.merged(symbols) == (
-                [last, token] if last else [token]
-            )
+            found = together == ([ids[last], ids[token]] if last else [ids[token]])
+            self._follows[pair] = found
         return found
 
     def piece(self, piece: str, every: bool = False) -> tuple[list[int], list[int]]:
@@ -89,10 +90,8 @@ class PrefixCounts:
         return ends, np.cumsum(counts)
 
     def tidy(self) -> None:
-        if self.words.full():
-            self.words.clear()
-        if self._pieces.full():
-            self._pieces.clear()
+        self.words.trim()
+        self._pieces.trim()
 
 
 @lru_cache(maxsize=2)

@@ -1,4 +1,4 @@
-"""The public BPE vocabulary with word ends: file, text splitting and merges."""
+"""The public BPE vocabulary with word ends: its file, how it splits texts, and its merges."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from functools import lru_cache
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -17,6 +18,8 @@ SPACE = " \t\n\r\x0b\x0c"
 #: Characters whose case, class and normal form need no Unicode tables newer than ours.
 UNUSUAL = regex.compile(r"[^\t\n\r -~¡-įı-ɏ]")
 WORD = regex.compile(f"[^{SPACE}]+")
+#: Marks that are a piece of their own behind letters.
+MARKS = ".,;:!?"
 
 
 def words_of(text: str) -> list[str]:
@@ -33,61 +36,60 @@ def byte_symbols() -> list[str]:
 
 
 class Vocabulary:
-    """Tokens, merge ranks and splitting rules read from a tokenizers file."""
+    """Tokens, merges and splitting rules read from a tokenizers file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.ranks = {tuple(pair): n for n, pair in enumerate(spec["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {n: t for t, n in self.ids.items()} | {n: t for t, n in self.special.items()}
         self.longest = max(len(t.removesuffix(WORD_END)) for t in self.ids)
         self._library = Tokenizer.from_file(path)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._piece = regex.compile(split)
+        self._special_starts = tuple({t[:2] for t in self.special})
+        merges = [tuple(pair) for pair in spec["model"]["merges"]]
+        #: The library's merges, for what ends a word and for what stands inside one.
+        self._ending = BPE(self.ids, merges, end_of_word_suffix=WORD_END, cache_capacity=0)
+        self._inside = BPE(self.ids, merges, cache_capacity=0)
         self._special = regex.compile(f"({'|'.join(map(regex.escape, self.special))})")
         self._symbols = byte_symbols()
 
     def parts(self, word: str) -> list[str | int]:
         """A word's pieces as strings of byte symbols, and the ids of special strings."""
+        if word.isascii():  # most words are letters, with a mark behind them at times
+            if word.isalpha():
+                return [word.lower()]
+            if word[-1] in MARKS and word[:-1].isalpha():
+                return [word[:-1].lower(), word[-1]]
+        for start in self._special_starts:
+            if start in word:
+                break
+        else:
+            return self._pieces(word)
         out: list[str | int] = []
         for n, part in enumerate(self._special.split(word)):
-            if n % 2:
-                out.append(self.special[part])
-            elif UNUSUAL.search(part):
-                normal = self._library.normalizer.normalize_str(part)
-                out += [p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
-            else:
-                out += [
-                    p if p.isascii() else "".join(self._symbols[b] for b in p.encode())
-                    for p in self._piece.findall(part.lower())
-                ]
+            out += [self.special[part]] if n % 2 else self._pieces(part)
         return out
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """Apply the merges by rank, leftmost first, until none is left."""
-        symbols, rank, none = list(symbols), self.ranks.get, len(self.ranks)
-        while len(symbols) > 1:
-            pairs = list(zip(symbols, symbols[1:], strict=False))
-            ranks = [rank(pair, none) for pair in pairs]
-            best = min(ranks)
-            if best == none:
-                break
-            n = ranks.index(best)
-            pair, both = pairs[n], "".join(pairs[n])
-            symbols[n : n + 2] = [both]
-            if ranks.count(best) > 1:
-                out, k = [], 0
-                while k < len(symbols):
-                    if k + 1 < len(symbols) and (symbols[k], symbols[k + 1]) == pair:
-                        out.append(both)
-                        k += 2
-                    else:
-                        out.append(symbols[k])
-                        k += 1
-                symbols = out
-        return symbols
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces of a text without white space or special strings."""
+        if text.isascii() and not UNUSUAL.search(text):
+            return self._piece.findall(text.lower())
+        if UNUSUAL.search(text):
+            normal = self._library.normalizer.normalize_str(text)
+            return [p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
+        symbols = self._symbols
+        return [
+            p if p.isascii() else "".join([symbols[b] for b in p.encode()])
+            for p in self._piece.findall(text.lower())
+        ]
+
+    def encoded(self, fragment: str, ending: bool) -> list[int]:
+        """Ids of byte symbols that are merged with nothing beside them."""
+        model = self._ending if ending else self._inside
+        return [token.id for token in model.tokenize(fragment)]
 
 
 @lru_cache(maxsize=2)

@@ -68,7 +68,7 @@ def test_no_token_spans_a_cut():
     encoder = FragmentEncoder()
     for word in ("qxzvb", "thntatly", "q"):
         fragments = encoder.cut(word)
-        assert "".join(fragments) == word + "</w>"
+        assert "".join(fragments) == word
         for left, right in zip(fragments, fragments[1:], strict=False):
             pair = left[-1] + right[0]
             assert not any(pair in token.removesuffix("</w>") for token in encoder.vocabulary.ids)
@@ -98,10 +98,16 @@ def test_columns_stay_and_nulls_have_no_tokens(spark):
     ]
 
 
+def test_decoding_ids_of_any_kind(spark):
+    rows = spark.createDataFrame([([320, 49407, 99999, None],), ([],), (None,)], "ids array<int>")
+    assert sorted(r.decoded for r in bpe.decode(rows).collect()) == ["", "", "a</w> <|endoftext|>"]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.with_prefix_counts(docs).count() == 0
     assert bpe.decode(bpe.encode(docs)).count() == 0
+    assert bpe.round_trip(docs).count() == 0
 
 
 def test_queries_over_documents(spark, sf_dir):
