@@ -7,8 +7,9 @@ letters; the first length of which any n-gram is known gives the score, as the m
 ones. A text's score is the mean over its words, and the language with the highest wins; of equal
 ones the first by name.
 
-The counts are taken over all training rows by Spark. The model keeps ``TOP_WORDS`` words and
-``TOP_GRAMS`` n-grams of each length and language, so it has a bounded size and can be broadcast.
+The counts are taken over all training rows by Spark. The model keeps at most ``TOP_WORDS`` words
+and ``TOP_GRAMS`` n-grams of each length and language, so it has a bounded size and can be
+broadcast.
 With more than ``MOST_LANGUAGES`` languages, those with the most words are learned.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing
@@ -17,6 +18,7 @@ was learned. Rows without a language teach nothing. Repeated rows count each.
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -41,7 +43,7 @@ UNKNOWN = "und"
 
 #: Pieces of text that a worker remembers, and scores that it holds (also of pieces forgotten
 #: since).
-CHUNKS, SCORED = 600_000, 1_500_000
+CHUNKS, SCORED = 1_000_000, 1_500_000
 
 PREDICTION = "lang string, score double"
 
@@ -50,7 +52,8 @@ _letters = regex.compile(r"\p{L}+")
 
 def words_in(chunk: str) -> list[str]:
     """Lower-case words of a piece of text; words are runs of letters."""
-    return _letters.findall(chunk.lower())
+    low = chunk.lower()
+    return [low] if low.isalpha() else _letters.findall(low)
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -99,17 +102,30 @@ class LanguageModel(NamedTuple):
         if known is not None:
             return known
         for size in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
-            found = [self.grams[g] for g in grams(word, size) if g in self.grams]
+            known = map(self.grams.get, grams(word, size))
+            found = [scores for scores in known if scores is not None]
+            if len(found) == 1:
+                return found[0]
             if found:
                 return [sum(scores) / len(found) for scores in zip(*found, strict=True)]
         return [UNSEEN] * len(self.languages)
 
 
 def _top(counts: DataFrame, most: int, *groups: str) -> DataFrame:
-    """The most frequent entries of each group; Spark cuts each task's share before it moves
-    rows, so no task gets all entries of a language."""
-    best = W.partitionBy(*groups).orderBy(F.desc("n"), "entry")
-    return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    """The most frequent entries of each group, at most so many; entries with equal counts are
+    all in or all out. How many entries have which count gives the least count to take, so
+    nothing is sorted and no task gets all entries of a language."""
+    upto = F.sum("entries").over(W.partitionBy(*groups).orderBy(F.desc("n")))
+    least = (
+        counts.groupBy(*groups, "n")
+        .agg(F.count("*").alias("entries"))
+        .withColumn("upto", upto)
+        .where(F.col("upto") <= most)
+        .groupBy(*groups)
+        .agg(F.min("n").alias("least"))
+    )
+    # One row for each of at most MOST_LANGUAGES languages and size of n-gram.
+    return counts.join(F.broadcast(least), list(groups)).where("n >= least").drop("least")
 
 
 def _gram_column(word: Column, size: int) -> Column:
@@ -190,8 +206,11 @@ class _Scorer:
 
     def _chunk(self, chunk: str) -> int:
         words = words_in(chunk)
-        scores = [self.model.word_scores(w) for w in words] or [[0.0] * len(self.model.languages)]
-        self.sums.extend(map(sum, zip(*scores, strict=True)))
+        if len(words) == 1:
+            self.sums.extend(self.model.word_scores(words[0]))
+        else:
+            scores = [self.model.word_scores(w) for w in words]
+            self.sums.extend(map(sum, zip(*scores or [[0.0] * len(self.model.languages)], strict=True)))
         self.counts.append(len(words))
         return len(self.counts) - 1
 
@@ -216,16 +235,26 @@ class _Scorer:
         return self.model.languages[best], share
 
 
+#: The scorer of the model that this worker used last, by the model's name.
+_scorers: dict[str, _Scorer] = {}
+
+
+def _scorer(name: str, model) -> _Scorer:
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = _Scorer(model.value)
+    return _scorers[name]
+
+
 def _predict_udf(model):
     """model: a broadcast language model."""
-    ready: list[_Scorer] = []
+    name = uuid.uuid4().hex
     kind = pa.struct({"lang": pa.string(), "score": pa.float64()})
 
     @F.arrow_udf(PREDICTION)
     def predict(texts: pa.Array) -> pa.Array:
-        if not ready:
-            ready.append(_Scorer(model.value))
-        found = [row for part in text_slices(texts) for row in ready[0].predict(part)]
+        scorer = _scorer(name, model)
+        found = [row for part in text_slices(texts) for row in scorer.predict(part)]
         return pa.array([{"lang": a, "score": b} for a, b in found], kind)
 
     return predict

@@ -61,6 +61,18 @@ def test_predictions(spark, model):
     assert {r.predicted.lang for r in language.with_language(docs, nothing).collect()} == {"und"}
 
 
+def test_top_entries(spark):
+    rows = [("a", f"w{n:02}", 100 - n // 2) for n in range(40)] + [("b", "x", 1), ("b", "y", 1)]
+    counts = spark.createDataFrame(rows, "lang string, entry string, n long")
+
+    def top(most):
+        return sorted((r.lang, r.entry) for r in language._top(counts, most, "lang").collect())
+
+    assert top(1) == []  # two entries share each count
+    assert top(5) == [("a", f"w{n:02}") for n in range(4)] + [("b", "x"), ("b", "y")]
+    assert len(top(1000)) == len(rows)
+
+
 def test_gram_column_equals_grams(spark):
     words = ["a", "ab", "katze", "é"]
     rows = spark.createDataFrame([(w,) for w in words], "w string")
@@ -110,6 +122,7 @@ def test_odd_pages():
     assert main_text("<p>a<br>b&nbsp;c &lt;d&gt;</p><p>e<b>f</b>g</p>") == "a b c <d>\nefg"
     assert main_text("<div><p>one<p>two<ul><li>x<li>y</ul></div") == "one\ntwo\nx\ny"
     assert main_text("<p>cut <b") == "cut"
+    assert main_text('<p title="a > b">quoted</p><p title="open>next</p>') == "quoted\nnext"
     assert main_text("<p>a</p><script>if (a < b) {'<p>no</p>'}") == "a"
     assert main_text("<p>" + "long " * 20_000) == ("long " * 20_000).strip()
 
