@@ -1,16 +1,16 @@
 """Language identification by words first, with backoff to shorter and shorter n-grams.
 
-A model holds, for every language, the logarithms of the relative frequencies of its most
-frequent words and character n-grams. A word that the model knows is scored by its own
-frequencies. For any other word the longest n-grams are tried, then shorter ones, down to single
-letters; the first length of which any n-gram is known gives the score, as the mean over the known
-ones. A text's score is the mean over its words, and the language with the highest wins; of equal
-ones the first by name.
-
-The counts are taken over all training rows by Spark. The model keeps at most ``TOP_WORDS`` words
-and ``TOP_GRAMS`` n-grams of each length and language, so it has a bounded size and can be
-broadcast.
-With more than ``MOST_LANGUAGES`` languages, those with the most words are learned.
+A model holds, for every language, the logarithms of the relative frequencies of all its words and
+character n-grams. A word that the model knows is scored by its own frequencies. For any other word
+the longest n-grams are tried, then shorter ones, down to single letters; the first length of which
+any n-gram is known gives the score, as the mean over the known ones. A text's score is the sum over
+its words, and the language with the highest wins; of equal ones the first by name.
+
+The counts are taken over all training rows by Spark and stay in stored tables, whole and for any
+number of languages. The words seen most often are broadcast with their scores in all languages, as
+many as ``COMMON_CELLS`` allows; texts are scored by these where they lie. Words of a text that are
+not among them are looked up in the tables by joins, each distinct word once. Which words are
+broadcast changes the cost, never a score: scores are whole billionths, so sums have no order.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing
 was learned. Rows without a language teach nothing. Repeated rows count each.
@@ -19,11 +19,9 @@ was learned. Rows without a language teach nothing. Repeated rows count each.
 from __future__ import annotations
 
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
-from typing import NamedTuple
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +30,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterlens.llm.common import Memo, small_batches, stored, text_slices
+from meterlens.llm.common import (
+    Memo,
+    fit_to_broadcast,
+    free_name,
+    small_batches,
+    stored,
+    text_slices,
+)
 
 LONGEST_GRAM = 4
-TOP_WORDS, TOP_GRAMS = 20_000, 5_000
-MOST_LANGUAGES = 100
+#: Scores (words times languages) that are broadcast; all others are joined.
+COMMON_CELLS = 400_000
+#: Scores of n-grams of one length up to which Spark may broadcast their table.
+GRAM_CELLS = 1_000_000
 #: Score (base 10 logarithm) of what a language does not know.
 UNSEEN = -7.0
 UNKNOWN = "und"
 
-#: Pieces of text that a worker remembers, and scores that it holds (also of pieces forgotten
-#: since).
-CHUNKS, SCORED = 1_000_000, 1_500_000
+#: A gain is how far a score lies above ``UNSEEN``, in parts of this size.
+PARTS = 1_000_000_000
+
+#: Pieces of text that a worker remembers.
+CHUNKS = 500_000
 
 PREDICTION = "lang string, score double"
+GAINS = "array<struct<place: int, gain: long>>"
+SCORED = "gains array<long>, words long, rest array<struct<word: string, n: long>>"
 
 _letters = regex.compile(r"\p{L}+")
 
@@ -90,12 +101,30 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(counts)
 
 
-class LanguageModel(NamedTuple):
-    """Languages, and scores of words and n-grams as one number per language."""
+class LanguageModel:
+    """Languages, and tables of words and n-grams (``entry``), each with its gain in every language
+    that has it (``gains``, by place among the languages)."""
+
+    def __init__(self, languages: list[str], word_table: DataFrame, gram_table: DataFrame):
+        self.languages, self.word_table, self.gram_table = languages, word_table, gram_table
+
+    def _scores(self, table: DataFrame) -> dict[str, list[float]]:
+        out: dict[str, list[float]] = {}
+        for r in table.select("entry", "gains").collect():
+            row = out[r["entry"]] = [UNSEEN] * len(self.languages)
+            for place, gain in r["gains"]:
+                row[place] = UNSEEN + gain / PARTS
+        return out
+
+    # Whole tables on the driver, to look at small models; predictions do not use them.
+
+    @cached_property
+    def words(self) -> dict[str, list[float]]:
+        return self._scores(self.word_table)
 
-    languages: list[str]
-    words: dict[str, list[float]]
-    grams: dict[str, list[float]]
+    @cached_property
+    def grams(self) -> dict[str, list[float]]:
+        return self._scores(self.gram_table)
 
     def word_scores(self, word: str) -> list[float]:
         known = self.words.get(word)
@@ -104,8 +133,6 @@ class LanguageModel(NamedTuple):
         for size in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
             known = map(self.grams.get, grams(word, size))
             found = [scores for scores in known if scores is not None]
-            if len(found) == 1:
-                return found[0]
             if found:
                 return [sum(scores) / len(found) for scores in zip(*found, strict=True)]
         return [UNSEEN] * len(self.languages)
@@ -124,7 +151,7 @@ def _top(counts: DataFrame, most: int, *groups: str) -> DataFrame:
         .groupBy(*groups)
         .agg(F.min("n").alias("least"))
     )
-    # One row for each of at most MOST_LANGUAGES languages and size of n-gram.
+    # One row for each group.
     return counts.join(F.broadcast(least), list(groups)).where("n >= least").drop("least")
 
 
@@ -139,13 +166,23 @@ def _gram_column(word: Column, size: int) -> Column:
     return F.filter(pieces, lambda p: F.length(p["entry"]) == size)
 
 
-def learn(
-    rows: DataFrame,
-    lang: str = "lang",
-    text: str = "text",
-    top_words: int = TOP_WORDS,
-    top_grams: int = TOP_GRAMS,
-) -> LanguageModel:
+def _with_gains(counts: DataFrame, places: DataFrame, *keys: str) -> DataFrame:
+    """One row per entry, with its gains by language and its count over all languages."""
+    totals = counts.groupBy("lang", *keys).agg(F.sum("n").alias("total")).join(places, "lang")
+    share = F.log10(F.col("n") / F.col("total"))
+    gain = F.round((F.greatest(share, F.lit(UNSEEN)) - UNSEEN) * PARTS).cast("long")
+    # One row for each language (and size of n-gram).
+    return (
+        counts.join(F.broadcast(totals), ["lang", *keys])
+        .groupBy(*keys, "entry")
+        .agg(
+            F.sum("n").alias("n"),
+            F.collect_list(F.struct("place", gain.alias("gain"))).cast(GAINS).alias("gains"),
+        )
+    )
+
+
+def learn(rows: DataFrame, lang: str = "lang", text: str = "text") -> LanguageModel:
     """A model from rows with a text and a language."""
     spark = rows.sparkSession
     small_batches(spark)
@@ -156,108 +193,142 @@ def learn(
         .agg(F.sum("n").alias("n")),
         "words",
     )
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    chosen = totals.orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in chosen)
-    words = words.where(F.col("lang").isin(languages))
+    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    places = spark.createDataFrame(
+        [(name, n) for n, name in enumerate(languages)], "lang string, place int"
+    )
     pieces = [_gram_column(F.col("entry"), size) for size in range(1, LONGEST_GRAM + 1)]
     counted = (
         words.select("lang", "n", F.explode(F.concat(*pieces)).alias("g"))
         .groupBy("lang", F.col("g.size").alias("size"), F.col("g.entry").alias("entry"))
         .agg(F.sum("n").alias("n"))
     )
-    counted = stored(counted, "grams")
-    gram_totals = {
-        (r["lang"], r["size"]): r["total"]
-        for r in counted.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()
-    }
-    word_totals = {r["lang"]: r["total"] for r in chosen}
-    place = {lang: n for n, lang in enumerate(languages)}
-
-    def scores(entries, total) -> dict[str, list[float]]:
-        out: dict[str, list[float]] = {}
-        for r in entries:
-            row = out.setdefault(r["entry"], [UNSEEN] * len(languages))
-            row[place[r["lang"]]] = max(UNSEEN, log10(r["n"] / total(r)))
-        return out
-
     return LanguageModel(
         languages,
-        scores(_top(words, top_words, "lang").collect(), lambda r: word_totals[r["lang"]]),
-        scores(
-            _top(counted, top_grams, "lang", "size").collect(),
-            lambda r: gram_totals[r["lang"], r["size"]],
-        ),
+        stored(_with_gains(words, places), "vocabulary"),
+        stored(_with_gains(stored(counted, "grams"), places, "size"), "gram_gains"),
     )
 
 
 class _Scorer:
-    """Scores of whole texts; each piece between white space is scored once per worker."""
+    """Gains of texts by the common words; pieces between white space are remembered."""
 
-    def __init__(self, model: LanguageModel):
-        self.model = model
+    def __init__(self, common: tuple[dict[str, int], np.ndarray]):
+        self.places, self.gains = common
         self.chunks = Memo(self._chunk, CHUNKS)
-        self.clear()
-
-    def clear(self) -> None:
-        self.chunks.forget()
-        self.sums = array("d")
-        self.counts = array("q")
-
-    def _chunk(self, chunk: str) -> int:
-        words = words_in(chunk)
-        if len(words) == 1:
-            self.sums.extend(self.model.word_scores(words[0]))
-        else:
-            scores = [self.model.word_scores(w) for w in words]
-            self.sums.extend(map(sum, zip(*scores or [[0.0] * len(self.model.languages)], strict=True)))
-        self.counts.append(len(words))
-        return len(self.counts) - 1
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        self.chunks.trim()
-        if len(self.counts) > SCORED:
-            self.clear()
-        rows = [
-            np.fromiter(map(self.chunks.__getitem__, parts), np.int64, len(parts))
-            for parts in ((t or "").split() for t in texts)
-        ]
-        counts = np.frombuffer(self.counts, np.int64)
-        sums = np.frombuffer(self.sums, np.float64).reshape(len(counts), len(self.model.languages))
-        return [self._decide(sums[r].sum(axis=0), int(counts[r].sum())) for r in rows]
-
-    def _decide(self, total: np.ndarray, words: int) -> tuple[str, float]:
-        if not words or not self.model.languages:
-            return UNKNOWN, 0.0
-        best = int(total.argmax())
-        # Probability of the best, were each word an independent draw from a language.
-        share = 1 / float(np.sum(10.0 ** np.maximum(total - total[best], -300)))
-        return self.model.languages[best], share
+
+    def _chunk(self, chunk: str) -> tuple[int | str, ...]:
+        """Places of common words, and other words as they are."""
+        return tuple(self.places.get(w, w) for w in words_in(chunk))
+
+    def score(self, text: str) -> tuple[list[int], int, list[tuple[str, int]]]:
+        """Gains of the common words, number of all words, and the other words with counts."""
+        at, times, rest = [], [], {}
+        for chunk, n in Counter(text.split()).items():
+            for word in self.chunks[chunk]:
+                if word.__class__ is int:
+                    at.append(word)
+                    times.append(n)
+                else:
+                    rest[word] = rest.get(word, 0) + n
+        gains = np.array(times, np.int64) @ self.gains[np.array(at, np.int64)]
+        return gains.tolist(), sum(times) + sum(rest.values()), list(rest.items())
 
 
 #: The scorer of the model that this worker used last, by the model's name.
 _scorers: dict[str, _Scorer] = {}
 
 
-def _scorer(name: str, model) -> _Scorer:
+def _scorer(name: str, common) -> _Scorer:
     if name not in _scorers:
         _scorers.clear()
-        _scorers[name] = _Scorer(model.value)
+        _scorers[name] = _Scorer(common.value)
     return _scorers[name]
 
 
-def _predict_udf(model):
-    """model: a broadcast language model."""
+def _score_udf(common):
+    """common: broadcast places of words, and their gains by place."""
     name = uuid.uuid4().hex
+    pair = pa.struct({"word": pa.string(), "n": pa.int64()})
+    kind = pa.struct({"gains": pa.list_(pa.int64()), "words": pa.int64(), "rest": pa.list_(pair)})
+
+    @F.arrow_udf(SCORED)
+    def score(texts: pa.Array) -> pa.Array:
+        scorer = _scorer(name, common)
+        parts = []
+        for part in text_slices(texts):
+            scorer.chunks.trim()
+            gains, words, rest = zip(*map(scorer.score, part), strict=True)
+            sizes = np.cumsum([0, *map(len, rest)])
+            pairs = [pa.array([p[n] for r in rest for p in r], pair[n].type) for n in (0, 1)]
+            pairs = pa.StructArray.from_arrays(pairs, fields=list(pair))
+            rest = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)
+            columns = [pa.array(gains, kind[0].type), pa.array(words, pa.int64()), rest]
+            parts.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return score
+
+
+def _common(model: LanguageModel) -> tuple[dict[str, int], np.ndarray]:
+    """The words seen most often, as many as may be broadcast, with their gains."""
+    words = model.word_table.withColumn("all", F.lit(0))
+    rows = _top(words, COMMON_CELLS // len(model.languages), "all").select("entry", "gains").collect()
+    gains = np.zeros((len(rows), len(model.languages)), np.int64)
+    for n, r in enumerate(rows):
+        for place, gain in r["gains"]:
+            gains[n, place] = gain
+    return {r["entry"]: n for n, r in enumerate(rows)}, gains
+
+
+def _gains_of(words: DataFrame, model: LanguageModel) -> DataFrame:
+    """Rows ``word, place, gain`` of distinct words, by their own counts or else by n-grams."""
+    table = model.word_table.select(F.col("entry").alias("word"), "gains")
+    looked = stored(words.join(table, "word", "left"), "looked")
+    out = looked.where("gains IS NOT NULL").select("word", F.inline("gains"))
+    left = looked.where("gains IS NULL").select("word")
+    for size in range(LONGEST_GRAM, 0, -1):
+        if left.isEmpty():
+            break
+        table = model.gram_table.where(F.col("size") == size).select("entry", "gains")
+        pieces = left.select("word", F.explode(_gram_column(F.col("word"), size)).alias("g"))
+        met = pieces.select("word", F.col("g.entry").alias("entry")).join(
+            fit_to_broadcast(table, GRAM_CELLS // len(model.languages)), "entry"
+        )
+        # A word has at most as many n-grams as letters, or one more.
+        found = stored(
+            met.groupBy("word").agg(
+                F.count("*").alias("met"), F.flatten(F.collect_list("gains")).alias("gains")
+            ),
+            "found",
+        )
+        summed = found.select("word", "met", F.inline("gains")).groupBy("word", "place")
+        mean = F.round(F.sum("gain") / F.first("met")).cast("long")
+        out = out.unionByName(summed.agg(mean.alias("gain")))
+        left = stored(left.join(found.select("word"), "word", "left_anti"), "left")
+    return out
+
+
+def _decide_udf(languages: list[str]):
     kind = pa.struct({"lang": pa.string(), "score": pa.float64()})
 
+    def decide(gains: list[int], words: int, more: list[dict] | None) -> dict:
+        if not words:
+            return {"lang": UNKNOWN, "score": 0.0}
+        total = np.array(gains, np.int64)
+        for m in more or ():
+            total[m["place"]] += m["gain"]
+        best = int(total.argmax())
+        # Probability of the best, were each word an independent draw from a language.
+        share = np.sum(10.0 ** np.maximum((total - total[best]) / PARTS, -300))
+        return {"lang": languages[best], "score": 1 / float(share)}
+
     @F.arrow_udf(PREDICTION)
-    def predict(texts: pa.Array) -> pa.Array:
-        scorer = _scorer(name, model)
-        found = [row for part in text_slices(texts) for row in scorer.predict(part)]
-        return pa.array([{"lang": a, "score": b} for a, b in found], kind)
+    def decided(gains: pa.Array, words: pa.Array, more: pa.Array) -> pa.Array:
+        columns = (c.to_pylist() for c in (gains, words, more))
+        return pa.array([decide(*row) for row in zip(*columns, strict=True)], kind)
 
-    return predict
+    return decided
 
 
 def with_language(
@@ -266,4 +337,32 @@ def with_language(
     """Add a struct of the predicted language and its score."""
     spark = docs.sparkSession
     small_batches(spark)
-    return docs.withColumn(into, _predict_udf(spark.sparkContext.broadcast(model))(F.col(text)))
+    unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    if not model.languages:
+        return docs.withColumn(into, unknown)
+    # Equal texts have equal predictions: a text is known by its hash, and scores are kept once.
+    digest = F.unhex(F.md5(F.col(text).cast("binary")))
+    score = _score_udf(spark.sparkContext.broadcast(_common(model)))
+    texts = docs.select(digest.alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
+    scored = texts.select("key", score(F.col("text")).alias("s")).select("key", "s.*")
+    scored = stored(scored.dropDuplicates(["key"]), "scored")
+    rest = scored.select("key", F.inline("rest"))
+    gains = _gains_of(rest.select("word").distinct(), model)
+    more = (
+        rest.join(gains, "word")
+        .groupBy("key", "place")
+        .agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
+        .groupBy("key")
+        .agg(F.collect_list(F.struct("place", "gain")).cast(GAINS).alias("more"))
+    )
+    decided = _decide_udf(model.languages)(F.col("gains"), F.col("words"), F.col("more"))
+    key, found = free_name("key", docs), free_name("found", docs)
+    predicted = stored(scored.join(more, "key", "left").select("key", decided.alias("found")), "decided")
+    predicted = predicted.toDF(key, found)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()]
+    # The longest side is the documents, and many may be equal: a split of skewed joins spreads them.
+    return (
+        docs.withColumn(key, digest)
+        .join(predicted, key, "left")
+        .select(*kept, F.coalesce(F.col(found), unknown).alias(into))
+    )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from math import log10
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +63,39 @@ def test_predictions(spark, model):
     assert {r.predicted.lang for r in language.with_language(docs, nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("cells", [0, 40, 400_000])
+def test_all_counts_of_all_languages_are_used(spark, monkeypatch, cells):
+    """Against a plain loop, whatever is broadcast: more languages than 100, and a word that is
+    rare in a large language but the commonest of a small one."""
+    monkeypatch.setattr(language, "COMMON_CELLS", cells)
+    rng = random.Random(3)
+    letters = "abcdefghijklmnop"
+    rows = [(f"l{n:03}", " ".join("".join(rng.choices(letters, k=4)) for _ in range(6))) for n in range(120)]
+    rows += [("big", " ".join(f"w{''.join(rng.choices(letters, k=6))}" for _ in range(25_000)))]
+    rows += [("big", "shared " * 3), ("small", "shared")]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    model = language.learn(frame)
+    assert len(model.languages) == 122
+    counts = {}
+    for lang, text in rows:
+        counts.setdefault(lang, Counter()).update(text.split())
+    assert len(model.words) == len(set().union(*counts.values()))
+    assert model.word_scores("shared")[model.languages.index("big")] == pytest.approx(
+        log10(3 / counts["big"].total()), abs=1e-8
+    )
+    texts = [text[:200] for _, text in rows] + ["shared", "abcd xyz", "shareds' unknown-ÄÖ qq", "ÄÖ", "a"]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts]], "text string")
+    got = {}
+    for r in language.with_language(docs, model).collect():
+        assert got.setdefault(r.text, r.predicted) == r.predicted
+    for text in texts:
+        sums = [sum(x) for x in zip(*map(model.word_scores, language.words_in(text)), strict=True)]
+        best = max(sums)
+        assert sums[model.languages.index(got[text].lang)] == pytest.approx(best, abs=1e-6)
+        share = 1 / sum(10 ** (x - best) for x in sums)
+        assert got[text].score == pytest.approx(share, rel=1e-4)
+
+
 def test_top_entries(spark):
     rows = [("a", f"w{n:02}", 100 - n // 2) for n in range(40)] + [("b", "x", 1), ("b", "y", 1)]
     counts = spark.createDataFrame(rows, "lang string, entry string, n long")
