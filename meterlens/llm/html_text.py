@@ -4,9 +4,10 @@ Every piece of text in a page hangs on a path of tags from the root. Pieces with
 are laid out alike, so content is chosen by path, not piece by piece: for each path the length of
 its text and its punctuation are summed and divided by the number of its pieces. Both ratios are
 smoothed along the page (a piece's value is averaged with its neighbours'), fused into one score,
-and paths whose score reaches a share of the page's spread are content. The deepest element that
-holds most of the content's text is the article; all its blocks belong to the text, also short
-ones such as headings, but not what is marked as something else by its tag, role or class.
+and paths whose score reaches a share of the page's spread are content. The element around all
+blocks on these paths, or the article or main element around that, is the article; all its blocks
+belong to the text, also short ones such as headings, but not what is marked as something else by
+its tag, role or class.
 
 A null or empty page, and one without content, has an empty text. Repeated rows are extracted
 each. Other columns are kept.
@@ -82,8 +83,8 @@ REACH = 2
 BELL = [exp(-(d * d) / 2.0) for d in range(-REACH, REACH + 1)]
 #: A path is content if its score is at least this share of the standard deviation.
 SPREAD = 0.5
-#: The article is the deepest element with more than this share of the content's text.
-MOST = 0.6
+#: Elements that may be the article; any other is a part of one, however long.
+WHOLE = frozenset(["", "html", "body", "main", "article", "div"])
 
 
 class _Element:
@@ -213,25 +214,23 @@ def content_paths(blocks: list[_Block]) -> set[str]:
 
 
 def article_of(blocks: list[_Block]) -> _Element:
-    """The deepest element that holds most of the content's text."""
+    """The element around all blocks on content paths."""
     paths = content_paths(blocks)
-    held: dict[_Element, int] = defaultdict(int)
-    depth: dict[_Element, int] = {}
-    total = 0
-    for b in blocks:
-        if b.element.path not in paths:
-            continue
-        total += len(b.text)
-        chain, element = [], b.element
-        if element.tag == "p" or regex.fullmatch("h[1-6]", element.tag):
-            element = element.parent  # one paragraph is never the whole article
+    common: list[_Element] | None = None
+    for element in dict.fromkeys(b.element for b in blocks if b.element.path in paths):
+        chain = []
         while element is not None:
             chain.append(element)
             element = element.parent
-        for n, element in enumerate(reversed(chain)):
-            held[element] += len(b.text)
-            depth[element] = n
-    return max((e for e, n in held.items() if n > MOST * total), key=lambda e: depth[e])
+        chain.reverse()
+        if common is None:
+            common = chain
+        same = (n for n, (a, b) in enumerate(zip(common, chain, strict=False)) if a is not b)
+        common = common[: next(same, min(len(common), len(chain)))]
+    for element in common:
+        if element.tag in ("article", "main"):
+            return element
+    return next(e for e in reversed(common) if e.tag in WHOLE)
 
 
 def main_text(page: str | None) -> str:

@@ -150,6 +150,19 @@ def test_articles_without_what_surrounds_them():
         assert main_text(html) == want
 
 
+def test_article_with_one_long_part():
+    lead, long = "Lead text, of some length. " * 12, "Body text, of more length. " * 30
+    parts = f"<h1>Title</h1><div class=lead>{lead}</div><div class=body>{long}</div>"
+    want = f"Title\n{lead.strip()}\n{long.strip()}"
+    assert main_text(f"<body><article>{parts}</article></body>") == want
+    assert main_text(f"<body><main><section>{parts}</section></main></body>") == want
+    for tag in ("section", "blockquote", "pre", "ul><li", "table><tr><td", "section><section"):
+        end = "".join(f"</{t}>" for t in reversed(tag.split("><")))
+        for around in ("article", "div"):
+            html = f"<{around}><h2>Title</h2><p>Short.</p><{tag}>{long}{end}<p>Last.</p></{around}>"
+            assert main_text(f"<body>{html}</body>") == f"Title\nShort.\n{long.strip()}\nLast."
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
     assert main_text("<nav>a</nav>") == ""
