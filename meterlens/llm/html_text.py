@@ -9,6 +9,9 @@ blocks on these paths, or the article or main element around that, is the articl
 belong to the text, also short ones such as headings, but not what is marked as something else by
 its tag, role or class.
 
+A class or id is a hint only: it does not mark an element that holds nearly all of the page's text,
+or the only article, main or first-level heading, or most text of a page without these.
+
 A null or empty page, and one without content, has an empty text. Repeated rows are extracted
 each. Other columns are kept.
 """
@@ -68,6 +71,9 @@ MARKS = frozenset(
     "related recommended pagination pager hidden".split()
 )
 
+#: Words in a class that make it speak of the layout, or of what is not there.
+LAYOUT = frozenset("has no non not with without overflow free less layout".split())
+
 #: Comments, declarations, and tags; a tag with an open quote ends at the next bracket.
 _token = regex.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)"""
@@ -85,13 +91,21 @@ BELL = [exp(-(d * d) / 2.0) for d in range(-REACH, REACH + 1)]
 SPREAD = 0.5
 #: Elements that may be the article; any other is a part of one, however long.
 WHOLE = frozenset(["", "html", "body", "main", "article", "div"])
+#: A class or id marks no element with more than the first share of the page's text; if there is no
+#: article, main or h1 elsewhere, with more than the second.
+NEARLY_ALL, HALF = 0.8, 0.5
+LANDMARKS = frozenset(["article", "main", "h1"])
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "skipped", "article")
+    __slots__ = ("tag", "parent", "path", "skipped", "article", "hints")
 
-    def __init__(self, tag: str, parent: _Element | None, skipped: bool):
+    def __init__(self, tag: str, parent: _Element | None, skipped: bool, hint: bool = False):
         self.tag, self.parent, self.skipped = tag, parent, skipped
+        #: Elements from the root to this one whose class or id marks them.
+        self.hints: tuple[_Element, ...] = parent.hints if parent else ()
+        if hint:
+            self.hints += (self,)
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.article = tag in ("article", "main") or bool(parent and parent.article)
 
@@ -105,46 +119,86 @@ class _Block:
         self.element, self.text = element, text
 
 
-def _marked(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is marked as not being main text."""
+def _marked(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is marked as not being main text, and whether its class or id hints so."""
     if tag in SKIPPED or tag == "header" and not inside:
-        return True
+        return True, False
     if tag in ("html", "body", "article", "main") or "=" not in attributes:
-        return False
+        return False, False
+    hint = False
     for name, *values in _attribute.findall(attributes):
         value = "".join(values).lower()
         name = name.lower()
         if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and not MARKS.isdisjoint(_mark.findall(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id"):
+            hint = hint or any(map(_hints, value.split()))
+    return False, hint
+
+
+def _hints(token: str) -> bool:
+    """Whether a class or id starts or ends with a word of ``MARKS`` and means just that."""
+    words = _mark.findall(token)
+    if not words or ":" in token or not LAYOUT.isdisjoint(words):
+        return False
+    return words[0] in MARKS or words[-1] in MARKS
+
+
+#: What stands between two block boundaries: pieces of text and their elements.
+_Line = list[tuple[_Element, str]]
+
+
+def _blocks(lines: list[_Line], marked: set[_Element]) -> list[_Block]:
+    """The blocks of lines, without what is in marked elements."""
+    out = []
+    for line in lines:
+        kept = [(e, t) for e, t in line if marked.isdisjoint(e.hints)] if marked else line
+        text = " ".join(character_references.unescape("".join(t for _, t in kept)).split())
+        if text:
+            owner = kept[0][0]
+            while owner.tag in INLINE and owner.parent:
+                owner = owner.parent
+            out.append(_Block(owner, text))
+    return out
+
+
+def _really_marked(lines: list[_Line], landmarks: list[_Element]) -> set[_Element]:
+    """The elements that are not main text, of those whose class or id hints so."""
+    held: dict[_Element, int] = defaultdict(int)
+    total = 0
+    for line in lines:
+        for element, text in line:
+            size = len(text.strip())
+            total += size
+            for hint in element.hints:
+                held[hint] += size
+    holding = {hint for e in landmarks for hint in e.hints}
+    nearest = {e.hints[-1] if e.hints else None for e in landmarks}
+    marked: set[_Element] = set()
+    for hint, size in held.items():
+        inside = hint in holding
+        elsewhere = not nearest.isdisjoint((None, *hint.hints[:-1]))
+        share = size / max(total, 1)
+        if share <= NEARLY_ALL and (elsewhere or not inside and share <= HALF):
+            marked.add(hint)
+    return marked
 
 
 def blocks_of(page: str) -> list[_Block]:
     """The blocks of a page in order, without what is marked as something else."""
     root = _Element("", None, False)
-    stack, out, line = [root], [], []
+    stack, lines, landmarks = [root], [[]], []
 
     def close(block: bool = True) -> None:
-        if block and line:
-            text = " ".join(character_references.unescape("".join(line)).split())
-            if text:
-                out.append(_Block(owner[0], text))
-            line.clear()
+        if block and lines[-1]:
+            lines.append([])
 
-    owner = [root]
     at, end = 0, len(page)
     while at < end:
         found = _token.search(page, at)
         start = found.start() if found else end
         if start > at and not stack[-1].skipped:
-            if not line:
-                top = stack[-1]
-                while top.tag in INLINE and top.parent:
-                    top = top.parent
-                owner[0] = top
-            line.append(page[at:start])
+            lines[-1].append((stack[-1], page[at:start]))
         if not found:
             break
         at = found.end()
@@ -160,8 +214,8 @@ def blocks_of(page: str) -> list[_Block]:
                 if tag in INLINE and stack[n].tag not in INLINE:
                     break  # an end tag of a line element closes no block
             continue
-        if tag == "br" and line:
-            line.append(" ")
+        if tag == "br" and lines[-1]:
+            lines[-1].append((stack[-1], " "))
         close(tag not in INLINE)
         for n in range(len(stack) - 1, 0, -1):
             if tag in CLOSED_BY.get(stack[n].tag, ()):
@@ -172,14 +226,16 @@ def blocks_of(page: str) -> list[_Block]:
         if tag in VOID or found[0].endswith("/>") and tag not in RAW:
             continue
         top = stack[-1]
-        element = _Element(tag, top, top.skipped or _marked(tag, found[2], top.article))
+        skipped, hint = _marked(tag, found[2], top.article)
+        element = _Element(tag, top, top.skipped or skipped, hint)
+        if tag in LANDMARKS and not element.skipped:
+            landmarks.append(element)
         if tag in RAW:
             stop = regex.compile(f"</{regex.escape(tag)}\\b", regex.I).search(page, at)
             at = stop.start() if stop else end
         if tag not in RAW or at < end:
             stack.append(element)
-    close()
-    return out
+    return _blocks(lines, _really_marked(lines, landmarks))
 
 
 def content_paths(blocks: list[_Block]) -> set[str]:

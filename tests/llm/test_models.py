@@ -163,6 +163,25 @@ def test_article_with_one_long_part():
             assert main_text(f"<body>{html}</body>") == f"Title\nShort.\n{long.strip()}\nLast."
 
 
+def test_classes_that_only_look_like_marks():
+    parts = "<h1>Title</h1>" + "<p>Some text, of some length, in the article.</p>" * 9
+    want = "\n".join(["Title", *["Some text, of some length, in the article."] * 9])
+    for name in (
+        "content has-sidebar", "no-sidebar", "overflow-hidden", "ad-free", "with-comments",
+        "post-share-wide", "md:hidden", "widget", "social notice",
+    ):
+        html = f"<div class='{name}'>{parts}</div><div class='sidebar-left'><p>Aside, as such.</p></div>"
+        assert main_text(f"<body>{html}</body>") == want, name
+        html = f"<div class='{name}'><article>{parts}</article></div>"
+        html += f"<div id='comments'>{'<article><p>A reply, to this.</p></article>' * 40}</div>"
+        if name not in ("widget", "social notice"):
+            assert main_text(f"<body>{html}</body>") == want, name
+    for name in ("ad", "ad-slot", "site-nav", "sidebar", "cookie-notice big", "related_posts"):
+        html = f"<div><h1>Title</h1><p>Text, here. <span class='{name}'>Not, this.</span> And here.</p>"
+        html += f"<div class='{name}'><p>Not, this either.</p></div><p>Other text, at the end.</p></div>"
+        assert main_text(html) == "Title\nText, here. And here.\nOther text, at the end.", name
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
     assert main_text("<nav>a</nav>") == ""
