@@ -74,7 +74,9 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         tokens.alias("n_tokens"),
         (tokens > TOKEN_LIMIT).alias("over_limit"),
-        token_counts.fitting_chars(F.col("prefixes"), TOKEN_LIMIT).alias("fitting_chars"),
+        token_counts.fitting_chars(F.col("prefixes"), TOKEN_LIMIT, F.col("text")).alias(
+            "fitting_chars"
+        ),
     )
 
 

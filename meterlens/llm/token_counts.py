@@ -3,7 +3,9 @@
 A word's encoding always starts with the encoding of one of its prefixes. So the encoding
 of a prefix is found from those of shorter ones: of all tokens that end it, exactly one
 follows the last token of what stands before it as the merges would have it. One stored
-token and count per prefix are enough, and no prefix is encoded from its start again.
+token and count per prefix are enough, and no prefix is encoded from its start again. The
+column holds the counts of prefixes that end with a word; prefixes that end inside a word are
+counted where a budget is asked for, in the one word that crosses it.
 
 Null and empty texts have no prefix and no tokens. Repeated rows are counted each. Other
 columns are kept as they are.
@@ -19,7 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.llm.common import Memo, small_batches, text_slices
-from meterlens.llm.vocabulary import DEFAULT_VOCABULARY, WORD_END, vocabulary, words_of
+from meterlens.llm.vocabulary import (
+    DEFAULT_VOCABULARY,
+    SPACE,
+    WORD_END,
+    vocabulary,
+    words_of,
+)
 
 #: Words, pieces and pairs of tokens that a worker remembers of each.
 CACHED = 800_000
@@ -80,6 +88,34 @@ class PrefixCounts:
         parts = self.vocabulary.parts(word)
         return sum(1 if isinstance(p, int) else self._pieces[p] for p in parts)
 
+    def longest(self, word: str, budget: int) -> int:
+        """Code points of the longest prefix of a word that has at most so many tokens. Counts may
+        fall as a prefix grows, so no prefix of the piece that crosses the budget is left out."""
+        parts, size = self.vocabulary.parts(word), {}
+        for c in set(word):
+            size[c] = sum(len(p) if isinstance(p, str) else 0 for p in self.vocabulary.parts(c))
+        ends = np.cumsum([0, *map(size.__getitem__, word)])
+        if any(isinstance(p, int) for p in parts) or ends[-1] != sum(map(len, parts)):
+            # Special strings, or code points that are joined with others: each prefix by itself.
+            return next((n for n in range(len(word), 0, -1) if self.word(word[:n]) <= budget), 0)
+        most = (budget + 1) * self.vocabulary.longest
+        left, base = budget, 0
+        for piece in parts:
+            # A prefix of so many symbols has more tokens than are left.
+            whole = self._pieces[piece] if len(piece) <= most else left + 1
+            if whole > left:
+                break
+            left, base = left - whole, base + len(piece)
+        else:
+            return len(word)
+        first, last = np.searchsorted(ends, [base, base + min(len(piece), most)], "right") - 1
+        if len(piece) <= 3:  # such as 'll, which is no piece when it is cut
+            fits = (n for n in range(last, first, -1) if self.word(word[:n]) <= budget)
+        else:
+            _, alone = self.piece(piece[:most], every=True)
+            fits = (n for n in range(last, first, -1) if alone[ends[n] - base] <= left)
+        return int(next(fits, first))
+
     def text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ends (in code points) of the prefixes that end with a word, and their tokens."""
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -135,7 +171,32 @@ def token_count(prefixes: Column) -> Column:
     return F.coalesce(F.try_element_at(prefixes["tokens"], F.lit(-1)), F.lit(0)).cast("long")
 
 
-def fitting_chars(prefixes: Column, budget: int) -> Column:
-    """Code points of the longest prefix ending with a word that has at most so many tokens."""
+def _longest_udf(path: str):
+    @F.arrow_udf("long")
+    def longest(words: pa.Array, budgets: pa.Array) -> pa.Array:
+        counter = _counts(path)
+        out = []
+        for scalar, budget in zip(words, budgets, strict=True):
+            text = scalar.as_py()
+            word = (text or "").lstrip(SPACE)
+            found = counter.longest(word, budget.as_py()) if word else 0
+            out.append(len(text) - len(word) + found if found else 0)
+        return pa.array(out, pa.int64())
+
+    return longest
+
+
+def fitting_chars(
+    prefixes: Column, budget: int, text: Column | None = None, path: str = DEFAULT_VOCABULARY
+) -> Column:
+    """Code points of the longest prefix that has at most so many tokens and ends with no white
+    space. Without the text, of the longest such prefix that ends with a word."""
     fitting = F.array_size(F.filter(prefixes["tokens"], lambda n: n <= budget))
-    return F.when(fitting > 0, F.element_at(prefixes["ends"], fitting)).otherwise(0).cast("long")
+    end = F.when(fitting > 0, F.element_at(prefixes["ends"], fitting)).otherwise(0)
+    if text is None:
+        return end.cast("long")
+    # The word that crosses the budget, with the blanks before it, and the tokens left for it.
+    used = F.when(fitting > 0, F.element_at(prefixes["tokens"], fitting)).otherwise(0)
+    until = F.try_element_at(prefixes["ends"], fitting + 1)
+    crossing = F.substring(text, end + 1, until - end)
+    return end.cast("long") + _longest_udf(path)(crossing, F.lit(budget) - used)

@@ -55,6 +55,34 @@ def test_every_prefix_of_a_word():
         assert alone == [len(ids(word[:n])) for n in range(len(word) + 1)]
 
 
+def test_budgets_inside_words(spark, texts):
+    rng = random.Random(6)
+    words = [
+        "文字列" * 12, "ภาษาไทย" * 8, "thntatlyunbelievable" * 3, "we'll've'RE!!", "a1b22,c;;d''ll",
+        "cafe\u0301s\u0301", "x<|endoftext|>yz", "İİΣΑΣ¼", "".join(rng.choices("aB9+/=", k=90)),
+    ]
+    cases = [*words, "one two " + words[0], "a\n  " + words[2] + " b", "", " ", *texts[7:60]]
+    docs = spark.createDataFrame([(t,) for t in cases] + [(None,)], "text string")
+    budgets = (0, 1, 2, 5, 11)
+    counted = token_counts.with_prefix_counts(docs)
+    fits = [token_counts.fitting_chars(F.col("prefixes"), b, F.col("text")) for b in budgets]
+    got = counted.select("text", F.array(*fits).alias("fits")).collect()
+    assert len(got) == len(cases) + 1
+    blank = " \t\n\r\x0b\x0c"
+    for r in got:
+        text = r.text or ""
+        ends = [n for n in range(1, len(text) + 1) if text[n - 1] not in blank]
+        counts = {n: len(ids(text[:n])) for n in ends}
+        want = [max((n for n in ends if counts[n] <= b), default=0) for b in budgets]
+        assert list(r.fits) == want, r.text
+
+
+def test_long_word_without_blanks():
+    text = "文字" * 5000
+    n = PrefixCounts().longest(text, 2048)
+    assert n > 0 and len(ids(text[:n])) <= 2048 < min(len(ids(text[: n + k])) for k in range(1, 30))
+
+
 def test_ids_are_the_library_s(texts):
     encoder = FragmentEncoder()
     flat, sizes = encoder.encode(texts)
