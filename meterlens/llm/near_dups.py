@@ -363,6 +363,10 @@ class NearDuplicates:
 
     def result(self) -> DataFrame:
         """doc_id, node, n_shingles, component_id (smallest doc_id) and kept for every row."""
+        return self.rooted().drop("root")
+
+    def rooted(self) -> DataFrame:
+        """The result with the root of each row's component (its own node if it has no other)."""
         joined = self.nodes.select("node", "doc_id").join(self.roots, "node")
         least = joined.groupBy("root").agg(F.min("doc_id").alias("least"))
         lone = F.when(F.col("n_shingles") > 0, F.coalesce("least", "one")).otherwise(F.col("doc_id"))
@@ -370,12 +374,12 @@ class NearDuplicates:
             self.nodes.select("node", F.col("doc_id").alias("one"))
             .join(self.roots, "node", "left")
             .join(least, "root", "left")
-            .select("node", "one", "least")
+            .select("node", "one", "least", F.coalesce("root", "node").alias("root"))
         )
         return (
             self.signed.select("doc_id", "node", "n_shingles")
             .join(ids, "node", "left")
-            .select("doc_id", "node", F.col("n_shingles").cast("long").alias("n_shingles"), lone.alias("component_id"))
+            .select("doc_id", "node", F.col("n_shingles").cast("long").alias("n_shingles"), lone.alias("component_id"), "root")
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
         )
 
@@ -388,13 +392,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, with its own columns. Rows of a kept document that is
     given several times are one document; documents without words stay as they are."""
-    result = stored(near_duplicates(docs, doc_id, text), "near_duplicates")
-    kept = stored(
+    result = stored(NearDuplicates(docs, doc_id, text).rooted(), "near_duplicates")
+    groups = stored(
         result.where("kept")
         .groupBy("doc_id", "node")
-        .agg(F.max("n_shingles").alias("n"), F.count("*").alias("rows")),
-        "kept",
+        .agg(F.max("n_shingles").alias("n"), F.count("*").alias("rows"), F.max("root").alias("root")),
+        "groups",
     )
+    # The smallest doc_id of a component, or none at all, may be that of several of its texts.
+    full = groups.where("n > 0")
+    least = full.groupBy("root").agg(F.min("node").alias("node")).select("root", "node")
+    chosen = full.join(least, ["root", "node"], "left_semi").select(groups.columns)
+    kept = stored(chosen.unionByName(groups.where("n IS NULL OR n <= 0")), "kept")
     node, key, rows = (free_name(n, docs) for n in ("kept_node", "kept_id", "kept_rows"))
     stay = fit_to_broadcast(
         kept.select(

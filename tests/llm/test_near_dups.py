@@ -146,3 +146,15 @@ def test_components_of_long_chains_and_hubs(spark):
     want = group_of(links, {n for link in links for n in link if link[0] != link[1]})
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.root for r in got} == want
+
+
+def test_one_text_stays_of_equal_or_missing_ids(spark):
+    words = [f"w{n}" for n in range(200)]
+    near, other = " ".join(words), " ".join([*words[:199], "end"])
+    for least in (1, None):
+        rows = [(least, near, "a"), (least, other, "b"), (least, "some other text", "c"), (least, "", "d")]
+        if least:
+            rows += [(7, near, "e"), (None, other, "f")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+        tags = sorted(r.tag for r in drop_near_duplicates(docs).collect())
+        assert tags in (["a", "c", "d"], ["b", "c", "d"])
