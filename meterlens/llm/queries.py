@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlens.llm import (
+    alignment,
     bpe,
+    conversations,
     decontamination,
     html_text,
     language,
     licenses,
     near_dups,
+    ngram_join,
     quality,
     secret_scan,
     sharding,
@@ -170,6 +173,46 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by the similarity of four-word shingles."""
+    return ngram_join.similar(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
+def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers cut every document, and which ids go together."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.with_alignment(docs, digest=True, keep=["doc_id"]).select(
+        "doc_id",
+        "n_a",
+        "n_b",
+        "n_groups",
+        "n_links",
+        "n_best",
+        "count_sum",
+        F.col("groups").alias("groups_sha256"),
+        "n_shared",
+    )
+
+
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, repair and digest of every damaged conversation; those of which nothing is left
+    have zeros, no audit and the digest of nothing."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.Conversations(conversations.damaged(rows)).result()
+    every = rows.select("conv_id").distinct()
+    nothing = {"audit": F.lit(""), "digest": hex_digest(F.lit(""))}
+    columns = [
+        F.coalesce(c, nothing.get(c, F.lit(0).cast("long"))).alias(
+            "repaired_sha256" if c == "digest" else c
+        )
+        for c in conversations.RESULT
+    ]
+    same = F.col("conv_id").eqNullSafe(F.col("conv"))
+    return every.join(found, same, "left").select("conv_id", *columns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": secret_scans,
@@ -182,6 +225,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scans": license_notices,
         "op9_minhash_near_dedup": near_duplicates,
         "op10_bpe": bpe_round_trip,
+        "op11_ngram_jaccard_join": similar_documents,
+        "op12_tokenizer_alignment": aligned_tokens,
+        "op13_conversation_repair": repaired_conversations,
     }
 
 
