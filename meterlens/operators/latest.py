@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from meterlens.functions.buckets import bucket_label, second_of_day
 from meterlens.plans.modes import Mode, in_window
 from meterlens.schema import RAW_LIMIT
 
+# The day in the path of a file.
+DAY_FOLDER = re.compile(r"/dt=(\d{4}-\d{2}-\d{2})/")
+
 # Rows of one device that a task of the first ranking step gets, about.
 ROWS_PER_SLOT = 1_000_000
 
@@ -69,19 +74,29 @@ def _since_cutoff(df: DataFrame, n: int, order: str) -> DataFrame:
         .groupBy(F.col("no_device").alias("_device"))
         .agg(F.min("_bucket").alias("_from"))
     )
-    if order == "latest" and "dt" in df.columns:
-        # One row per device, so the cutoffs can be constants, and older days are not read.
-        found = {r["_device"]: r["_from"] for r in cutoff.collect()}
-        if not found:
-            return df.limit(0)
-        since = F.lit(False)
-        for device, day in found.items():
-            since |= (F.col("no_device") == device) & (F.col("dt") >= F.lit(day))
-        return df.where((F.col("dt") >= F.lit(min(found.values()))) & since)
     since = (F.col("no_device") == F.col("_device")) & (F.col("_bucket") >= F.col("_from"))
     return rows.join(F.broadcast(cutoff), since, "left_semi")
 
 
+def _newest_days(df: DataFrame, n: int, devices: tuple[int, ...]) -> DataFrame | None:
+    """Rows since the day from which on every device has at least ``n``. The days are walked from the
+    newest on, twice as many at each step, so at most twice what is needed is counted, and all
+    days only if some device has fewer rows. None if the folders of the table do not tell its days."""
+    found = {DAY_FOLDER.search(path) for path in df.inputFiles()}
+    days = sorted({m[1] for m in found if m}, reverse=True)
+    if not days or None in found:
+        return None
+    step = 1
+    while True:
+        since = F.col("dt") >= F.lit(days[min(step, len(days)) - 1]).cast("date")
+        if step >= len(days):
+            return df
+        counts = df.where(since).groupBy("no_device").count().collect()
+        if sum(r["count"] >= n for r in counts) == len(set(devices)):
+            return df.where(since)
+        step *= 2
+
+
 def latest_per_device(
     df: DataFrame,
     n: int | None = RAW_LIMIT,
@@ -94,8 +109,8 @@ def latest_per_device(
     ``order="label"`` ranks by time of day over all days, ``order="latest"`` by
     the full timestamp. A count per device and hour of day (or day) first leaves out
     the rows that cannot be among the top ``n``; it is one aggregation, and what it
-    hands on is a row per device. With ``order="latest"`` on a table with days this count
-    runs at once and the ranking reads the newest days only. The rest is ranked in two steps, whatever ``n`` is:
+    hands on is a row per device. With ``order="latest"`` on a table with days the newest
+    days are counted at once, as many as it takes, and no others are read. The rest is ranked in two steps, whatever ``n`` is:
     within (device, slot of input partitions), then over the survivors of each device,
     so a device that holds most of the table is ranked by many tasks.
     """
@@ -109,7 +124,8 @@ def latest_per_device(
     if n is None:
         return candidates.drop("dt")
     if devices is not None:
-        candidates = _since_cutoff(candidates, n, order)
+        newest = _newest_days(candidates, n, devices) if day else None
+        candidates = _since_cutoff(candidates, n, order) if newest is None else newest
     # About as many slots as the rows that n leaves over need; a row stays with its input task.
     slots = max(64, -(-n * 64 // ROWS_PER_SLOT))
     placed = candidates.select(*kept, (F.spark_partition_id() % slots).alias("_slot"))

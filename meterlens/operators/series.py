@@ -51,7 +51,7 @@ def series(
     mode = resolve_mode(start, end, as_of)
     if m.live_device is not None:
         df = df.where(F.col("no_device") == m.live_device)
-    check_zone(df, tz)
+    check_zone(df, tz, mode)
     name = m.column if tz is not None else m.live_name
     result = bucketed(df, mode, {name: measure(df, "max", m.column)}, tz)
     return result.orderBy("date" if mode.kind == "range" else "time_label")

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +40,12 @@ from meterlens.schema import (
 )
 from meterlens.sources.scratch import scratch_dir
 from meterlens.sources.tables import (
+    block,
     compact,
     create_tables,
     json_rows,
     read_table,
+    remove,
     table_path,
     write_readings,
 )
@@ -266,11 +269,16 @@ def _sampled(spark: SparkSession, sf: str, every: str) -> DataFrame:
 
 
 def _ingested(
-    spark: SparkSession, sf: str, parts: list[DataFrame], topic: str, **sampling
+    spark: SparkSession,
+    sf: str,
+    parts: list[DataFrame],
+    topic: str,
+    root: str | None = None,
+    **sampling,
 ) -> DataFrame:
     """Land the parts one after the other, run the stream to the end after each, and read both
     tables back."""
-    root = scratch_dir(spark, "ingest")
+    root = root or scratch_dir(spark, "ingest")
     _run_stream(spark, root, parts, topic, **sampling)
     power = read_table(spark, f"{root}/tables", "power_meter").withColumn("kind", F.lit("power"))
     temp = read_table(spark, f"{root}/tables", "temp_control").withColumn("kind", F.lit("temp"))
@@ -304,6 +312,29 @@ def _unreadable(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{root}/tables/unreadable").select("topic", "seq", "payload")
 
 
+def _late_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The later half of each day, then one day compacted, then the earlier half, which replaces rows
+    of the compacted day."""
+    root = scratch_dir(spark, "ingest")
+    later, earlier = _late_half_first(spark, sf)
+    # Slots are days, so that day's rows are all written again.
+    _run_stream(spark, root, [later], TOPIC_PME5, every="1 hour")
+    for table in ("power_meter", "temp_control"):
+        compact(spark, f"{root}/tables", table, fx.DAY)
+    return _ingested(spark, sf, [earlier], TOPIC_PME5, root, every="1 hour")
+
+
+def _failed_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream whose first batch fails for want of a place to write, started again."""
+    root = scratch_dir(spark, "ingest")
+    block(spark, f"{root}/tables/_staged")
+    try:
+        _run_stream(spark, root, [messages(spark, sf)], TOPIC_PME5, every="1 hour")
+    except StreamingQueryException:
+        remove(spark, [f"{root}/tables/_staged"])
+    return _ingested(spark, sf, [messages(spark, sf).limit(0)], TOPIC_PME5, root, every="1 hour")
+
+
 def _late_half_first(spark: SparkSession, sf: str) -> list[DataFrame]:
     """All messages in two files, the later half of the day first."""
     rows, late = messages(spark, sf), F.hour("ts") >= 12
@@ -326,6 +357,8 @@ def _ingest_queries() -> dict[str, Query]:
         "ingest_stream_late": lambda spark, sf: _ingested(
             spark, sf, _late_half_first(spark, sf), TOPIC_PME5, every="1 hour"
         ),
+        "ingest_stream_late_compacted": _late_compacted,
+        "ingest_stream_failed_batch": _failed_batch,
         "ingest_stream_unreadable": _unreadable,
         "ingest_stream_device_list": lambda spark, sf: _ingested(
             spark, sf, [device_list_messages(spark, sf)], TOPIC_DEVICE_LIST
@@ -383,8 +416,7 @@ def _table_queries() -> dict[str, Query]:
     def merged(spark, sf):
         root = _written(spark, sf)
         tables = [read_table(spark, root, t, window) for t in ("power_meter", "temp_control")]
-        # Averages of stored doubles differ in the last digit with the order of the sum.
-        return history(*tables, *fx.RANGE).withColumn("value", F.round("value", 6))
+        return history(*tables, *fx.RANGE)
 
     def clock(spark, sf):
         label = bucket(F.col("timestamp"), "second", "+05:30").alias("label")
@@ -394,6 +426,14 @@ def _table_queries() -> dict[str, Query]:
         rows = short_view(spark, sf, "power").where(F.col("timestamp") < F.lit(Mode.today().lo))
         return rows.groupBy("no_device").agg(F.count("*").alias("n"))
 
+    def before_moved_today(spark, sf):
+        """The readings moved so that a day in their midst is today."""
+        rows = short_view(spark, sf, "power")
+        shift = F.make_dt_interval(days=F.datediff(F.current_date(), F.lit(fx.AS_OF)))
+        moved = rows.withColumn("timestamp", F.col("timestamp") + shift)
+        moved = moved.where(F.col("timestamp") < F.lit(Mode.today().lo))
+        return moved.groupBy("no_device").agg(F.count("*").alias("n"))
+
     def arrays(spark, sf):
         row = summary(long_view(spark, sf, "power"), MODES["year"], POWER_DEVICES, arrays=True)
         return row.select(
@@ -411,6 +451,7 @@ def _table_queries() -> dict[str, Query]:
         "table_history_range": merged,
         "bucket_second_in_zone": clock,
         "readings_before_today": before_today,
+        "readings_before_moved_today": before_moved_today,
         "summary_watt_year_arrays": arrays,
         "json_rows": lambda spark, sf: json_rows(
             latest_per_device(short_view(spark, sf, "power"), columns=["kw"]).select("no_device", "id")

@@ -481,6 +481,8 @@ kept AS (
         "ingest_stream": both(pme5_power("kept"), pme5_temp("kept"), kept),
         "ingest_stream_device_list": both(list_power, list_temp),
         "ingest_stream_late": both(pme5_power("kept"), pme5_temp("kept"), kept_hour),
+        "ingest_stream_late_compacted": both(pme5_power("kept"), pme5_temp("kept"), kept_hour),
+        "ingest_stream_failed_batch": both(pme5_power("kept"), pme5_temp("kept"), kept_hour),
         "ingest_stream_spacing": both(pme5_power("kept"), pme5_temp("kept"), spaced(600, "0")),
         "ingest_stream_spacing_keys": both(
             pme5_power("kept"), pme5_temp("kept"), spaced(3600, "event_id % 16")
@@ -515,9 +517,7 @@ def _stored(direct: dict[str, str]) -> dict[str, str]:
         "table_series_volt_range": direct["series_volt_range"],
         "table_registered_volt_range": direct["series_volt_range"],
         "table_series_volt_day": direct["series_volt_day"],
-        "table_history_range": (
-            f"SELECT series, date, time_label, round(value, 6) AS value FROM ({direct['history_range']})"
-        ),
+        "table_history_range": direct["history_range"],
         "bucket_second_in_zone": (
             f"{_views('tc')} SELECT "
             f"{_label(SECOND_FMT, 'timestamp + INTERVAL 330 MINUTE')} AS label, count(*) AS n "
@@ -527,6 +527,11 @@ def _stored(direct: dict[str, str]) -> dict[str, str]:
             f"{_views('pm')} SELECT no_device, count(*) AS n FROM pm "
             f"WHERE timestamp < current_date GROUP BY 1"
         ),
+        "readings_before_moved_today": (
+            f"{_views('pm')} SELECT no_device, count(*) AS n FROM pm "
+            f"WHERE timestamp + to_days(CAST(current_date - DATE '{fx.AS_OF}' AS INTEGER)) < current_date "
+            "GROUP BY 1"
+        ),
         "summary_watt_year_arrays": (
             f"SELECT CAST(3 AS BIGINT) AS n, * FROM ({direct['summary_watt_year_all']})"
         ),

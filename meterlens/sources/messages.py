@@ -26,10 +26,18 @@ def stream_messages(
     topic: str | None = None,
     fmt: str = "parquet",
     max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: int | None = None,
+    archive_dir: str | None = None,
 ) -> DataFrame:
-    """New files of the landing folder; ``max_files_per_trigger`` bounds a backfill's batches."""
+    """New files of the landing folder. ``max_bytes_per_trigger``, or else ``max_files_per_trigger``,
+    bounds a batch; at least one file is in it. Files that were read are moved below ``archive_dir``,
+    which must not lie in the landing folder."""
     reader = spark.readStream.schema(MESSAGE_SCHEMA).format(fmt).options(**_options(fmt))
-    if max_files_per_trigger is not None:
+    if max_bytes_per_trigger is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    elif max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if archive_dir is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     messages = reader.load(path)
     return messages if topic is None else messages.where(F.col("topic") == topic)

@@ -23,7 +23,15 @@ from meterlens.operators.decode import (
 )
 from meterlens.schema import TOPIC_DEVICE_LIST, TOPIC_PME5
 from meterlens.sources.messages import stream_messages
-from meterlens.sources.tables import exists, partition_path, remove, table_path, write_readings
+from meterlens.sources.tables import (
+    Unit,
+    exists,
+    move_folder,
+    names_in,
+    remove,
+    table_path,
+    write_readings,
+)
 from meterlens.streaming.sample import sample_latest
 from meterlens.streaming.spacing import LATE, OPEN, WRITTEN, messages_of, space, ticks
 
@@ -56,19 +64,26 @@ def _query_id(messages: DataFrame) -> str:
 
 
 class Writer:
-    """Batch writers for ``foreachBatch``. Both tables are written under the same keys, made of
-    the query's id and what the batch covers, so a batch repeated after a failure between two
-    writes replaces its own rows and no other query's."""
+    """Batch writers for ``foreachBatch``. What a batch writes to both tables is one unit: readers see
+    all of it or nothing. Its folders have keys made of the query's id and of what they cover, so a
+    batch repeated after a failure replaces its own rows and no other query's."""
 
     def __init__(self, out_dir: str, checkpoint: str, topic: str):
         self.out_dir, self.work = out_dir, f"{checkpoint.rstrip('/')}/work"
         self.parse, self.valid, self.unreadable, self.power_of, self.temp_of = _decoder(topic)
 
     def _tables(self):
-        return (
-            (table_path(self.out_dir, "power_meter"), self.power_of),
-            (table_path(self.out_dir, "temp_control"), self.temp_of),
-        )
+        return (("power_meter", self.power_of), ("temp_control", self.temp_of))
+
+    def _unit(self, spark: SparkSession, query: str, number: int) -> Unit | None:
+        """The unit of a batch, or None if the batch has been written already; a unit that counts,
+        but was not put in place, is."""
+        unit = Unit(spark, self.out_dir, f"{query}-{number}")
+        if unit.committed:
+            unit.publish()
+            return None
+        unit.begin()
+        return unit
 
     def _staged(self, spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that is made once, also if the batch is repeated."""
@@ -96,48 +111,56 @@ class Writer:
 
     def every_message(self, messages: DataFrame, number: int) -> None:
         """Each message gives its rows."""
-        batch = f"{_query_id(messages)}-{number}"
+        query = _query_id(messages)
+        unit = self._unit(messages.sparkSession, query, number)
+        if unit is None:
+            return
         # Each task writes a short time range: few files per day, narrow statistics in each,
         # and a day with most of the rows is still split. One shuffle serves both tables.
         ranges = messages.select("message", "seq", "ts").repartitionByRange("ts", "seq").persist()
         try:
-            for path, rows_of in self._tables():
-                write_readings(rows_of(ranges), path, batch)
+            for table, rows_of in self._tables():
+                write_readings(rows_of(ranges), unit.table(table), f"{query}-{number}")
         finally:
             ranges.unpersist()
+        unit.commit()
 
     def latest(
         self, every: str, keys: tuple[str, ...], slots: str
     ) -> Callable[[DataFrame, int], None]:
         """The latest message of each key and interval, at once and however late others come.
 
-        What was kept of the touched slots (days or hours) is read again, merged with the batch,
-        and written in its place, to the kept messages and to both tables."""
+        The slots (days or hours) that a batch touches are found first. What was kept of these, and
+        of no others, is read again, merged with the batch, and written in its place, to the kept
+        messages and to both tables."""
 
         def write(messages: DataFrame, number: int) -> None:
             spark, query = messages.sparkSession, _query_id(messages)
-            kept = f"{self.work}/kept"
+            unit = self._unit(spark, query, number)
+            if unit is None:
+                return
+            kept = f"{self.work}/{KEPT}"
             slot = F.date_format(F.date_trunc(slots, "window_start"), "yyyyMMddHH").alias("slot")
 
+            def sampled(rows: DataFrame) -> DataFrame:
+                return sample_latest(rows, every, keys).select("*", slot)
+
+            new = self._staged(spark, f"new-{number}", lambda: sampled(messages.drop("payload")))
+            touched = [r["slot"] for r in new.select("slot").distinct().collect()]
+
             def merged() -> DataFrame:
-                new = sample_latest(messages.drop("payload"), every, keys).select("*", slot)
-                if not exists(spark, kept):
-                    return new
-                old = spark.read.schema(new.schema).parquet(kept)
-                touched = new.select("slot").distinct()
-                rows = new.unionByName(old.join(touched, "slot", "left_semi"))
-                return sample_latest(rows.drop("window_start", "slot"), every, keys).select("*", slot)
+                old = _kept_slots(spark, self.work, touched, new)
+                return new if old is None else sampled(new.unionByName(old).drop("window_start", "slot"))
 
             rows = self._staged(spark, f"merged-{number}", merged)
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
                 "slot"
             ).parquet(kept)
-            touched = [r["slot"] for r in rows.select("slot").distinct().collect()]
-            width = timedelta(seconds=_seconds(spark, every))
-            for path, rows_of in self._tables():
+            width, gone = timedelta(seconds=_seconds(spark, every)), []
+            for table, rows_of in self._tables():
                 readings = rows_of(rows, keep=("slot",))
                 named = readings.withColumn("batch", F.concat(F.lit(f"{query}-"), "slot"))
-                write_readings(named.drop("slot"), path)
+                write_readings(named.drop("slot"), unit.table(table))
                 # A slot whose rows have all been replaced by messages without such readings.
                 there = {
                     (r["day"], r["slot"])
@@ -145,16 +168,14 @@ class Writer:
                     .distinct()
                     .collect()
                 }
-                remove(
-                    spark,
-                    [
-                        partition_path(path, day, f"{query}-{slot_}")
-                        for slot_ in touched
-                        for day in _days(slot_, width)
-                        if (day, slot_) not in there
-                    ],
-                )
-            remove(spark, [f"{self.work}/merged-{number - 1}"])
+                gone += [
+                    (table, day, f"{query}-{slot_}")
+                    for slot_ in touched
+                    for day in _days(slot_, width)
+                    if (day, slot_) not in there
+                ]
+            unit.commit(gone)
+            remove(spark, [f"{self.work}/{n}-{number - 1}" for n in ("new", "merged")])
 
         return write
 
@@ -165,30 +186,73 @@ class Writer:
 
         def write(messages: DataFrame, number: int) -> None:
             spark, query = messages.sparkSession, _query_id(messages)
+            unit = self._unit(spark, query, number)
+            if unit is None:
+                return
             before = f"{self.work}/step-{number - 1}"
             state = None
             if number and exists(spark, before):
                 state = spark.read.parquet(before).where(F.col("kind") == OPEN)
+            segments = f"{self.work}/segments-{number}"
             step = self._staged(
-                spark, f"step-{number}", lambda: space(ticks(messages, keys), state, min_gap_seconds)
+                spark,
+                f"step-{number}",
+                lambda: space(ticks(messages, keys), state, min_gap_seconds, work=segments),
             )
             late = messages_of(step.where(F.col("kind") == LATE))
             late.write.mode("overwrite").parquet(f"{self.out_dir}/late/batch={query}-{number}")
-            for kind, batch in ((WRITTEN, f"{query}-{number}"), (OPEN, f"{query}-open")):
-                parsed = self.valid(self.parse(messages_of(step.where(F.col("kind") == kind))))
-                for path, rows_of in self._tables():
-                    readings = rows_of(parsed)
-                    write_readings(readings, path, batch)
-                    if kind == OPEN and state is not None:
-                        days = readings.select(F.to_date("timestamp").alias("day")).distinct()
-                        was = state.select(F.to_date(F.timestamp_micros("micros")).alias("day"))
-                        gone = was.distinct().join(days, "day", "left_anti").collect()
-                        remove(spark, [partition_path(path, r["day"], batch) for r in gone])
-            remove(spark, [f"{self.work}/step-{number - 2}"])
+            named = F.when(F.col("kind") == OPEN, f"{query}-open").otherwise(f"{query}-{number}")
+            chosen = step.where(F.col("kind") != LATE)
+            rows = chosen.select("topic", "payload", F.timestamp_micros("micros").alias("ts"), "seq", named.alias("batch"))
+            parsed, gone = self.valid(self.parse(rows)), []
+            for table, rows_of in self._tables():
+                readings = rows_of(parsed, keep=("batch",))
+                write_readings(readings, unit.table(table))
+                if state is not None:
+                    opened = readings.where(F.col("batch") == f"{query}-open")
+                    days = opened.select(F.to_date("timestamp").alias("day")).distinct()
+                    was = state.select(F.to_date(F.timestamp_micros("micros")).alias("day"))
+                    left = was.distinct().join(days, "day", "left_anti").collect()
+                    gone += [(table, r["day"], f"{query}-open") for r in left]
+            unit.commit(gone)
+            remove(spark, [f"{self.work}/step-{number - 2}", segments])
 
         return write
 
 
+#: Folders with the messages kept of each slot, and with those of slots that were closed.
+KEPT, CLOSED = "kept", "closed"
+
+
+def _kept_slots(
+    spark: SparkSession, work: str, slots: list[str], like: DataFrame
+) -> DataFrame | None:
+    """What was kept of some slots; no other folder is read."""
+    here = set(names_in(spark, f"{work}/{KEPT}", "slot="))
+    rows = None
+    for name, wanted in (
+        (KEPT, [s for s in slots if s in here]),
+        (CLOSED, [s for s in slots if s not in here and exists(spark, f"{work}/{CLOSED}/slot={s}")]),
+    ):
+        if wanted:
+            folders = [f"{work}/{name}/slot={s}" for s in sorted(wanted)]
+            reader = spark.read.schema(like.schema).option("basePath", f"{work}/{name}")
+            found = reader.parquet(*folders).select(like.columns)
+            rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
+def close_slots(spark: SparkSession, checkpoint: str, before: date) -> int:
+    """Put the messages kept of the slots before a day aside, so that the folder of open ones stays
+    short; how many slots were. A message that comes for such a slot later finds them there."""
+    work, moved = f"{checkpoint.rstrip('/')}/work", 0
+    for slot in names_in(spark, f"{work}/{KEPT}", "slot="):
+        if slot < before.strftime("%Y%m%d"):
+            move_folder(spark, f"{work}/{KEPT}/slot={slot}", f"{work}/{CLOSED}/slot={slot}")
+            moved += 1
+    return moved
+
+
 def _seconds(spark: SparkSession, every: str) -> int:
     length = spark.range(1).select(F.expr(f"INTERVAL '{every}'").cast("interval day to second"))
     return int(length.first()[0].total_seconds())
@@ -214,6 +278,8 @@ def ingest(
     fmt: str = "parquet",
     max_files_per_trigger: int | None = FILES_PER_BATCH,
     keep_unreadable: bool = False,
+    max_bytes_per_trigger: int | None = None,
+    archive_dir: str | None = None,
 ) -> StreamingQuery:
     """Decode a topic of a landing folder into the tables under ``out_dir``.
 
@@ -224,6 +290,9 @@ def ingest(
     message, and none is dropped for coming late: an interval's message is replaced when a
     later one turns up, in whichever batch. A failed batch is repeated from the checkpoint.
 
+    ``max_bytes_per_trigger`` bounds a batch by bytes instead of files; files that have been
+    read are moved to ``archive_dir`` if given, so that the landing folder stays short.
+
     With ``every``, a batch rewrites the ``slots`` that it touches: days, or "hour" where a day's
     intervals of all keys are too many to be written again with each batch.
     """
@@ -232,7 +301,9 @@ def ingest(
     if slots not in ("day", "hour"):
         raise ValueError(f"slots must be 'day' or 'hour', got {slots!r}")
     writer = Writer(out_dir, checkpoint, topic)
-    messages = stream_messages(spark, source_dir, topic, fmt, max_files_per_trigger)
+    messages = stream_messages(
+        spark, source_dir, topic, fmt, max_files_per_trigger, max_bytes_per_trigger, archive_dir
+    )
     readings = writer.parse(messages)
     if every is not None:
         _seconds(spark, every)

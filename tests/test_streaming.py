@@ -2,19 +2,28 @@ from __future__ import annotations
 
 import json
 import random
-from datetime import datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from meterlens import sample_latest
+from meterlens import Mode, sample_latest
 from meterlens.operators.decode import decode_pme5
 from meterlens.schema import MESSAGE_SCHEMA, TOPIC_DEVICE_LIST, TOPIC_PME5
 from meterlens.sources.messages import read_messages
 from meterlens.sources.scratch import scratch_dir
-from meterlens.sources.tables import create_tables, json_rows, read_table
+from meterlens.sources.tables import (
+    Unit,
+    batch_folders,
+    compact,
+    create_tables,
+    exists,
+    json_rows,
+    names_in,
+    read_table,
+)
 from meterlens.streaming.ingest import ingest, quarantine
-from meterlens.streaming.spacing import sample_spacing
+from meterlens.streaming.spacing import chosen, sample_spacing, space, ticks
 
 T0 = datetime(2024, 1, 1, 23, 58)
 ONCE = {"availableNow": True}
@@ -278,3 +287,173 @@ def test_unreadable_messages_of_the_same_parse(spark, tmp_path):
         )
         assert sorted(r.seq for r in spark.read.parquet(f"{out}/unreadable").collect()) == bad
     assert written(spark, f"{tmp_path}/1/out") == latest_per_interval(rows, 10)
+
+
+def test_a_late_message_after_compaction(spark, tmp_path):
+    """Rows of the compacted batch go when their slot is written again, also if nothing is left."""
+    rows = [message(TOPIC_PME5, s, s) for s in range(100, 105)]
+    out = run_parts(spark, tmp_path, [rows], every="1 second")
+    day = T0.date()
+    compact(spark, out, "power_meter", day)
+    assert written(spark, out) == [100, 101, 102, 103, 104]
+    out = run_parts(spark, tmp_path, [[message(TOPIC_PME5, 102.5, 200)]], every="1 second")
+    assert written(spark, out) == [100, 101, 103, 104, 200]
+    # A second slot of that day: nothing of it was compacted.
+    late = Mode.day(day)
+    assert sorted(r.id for r in read_table(spark, out, "power_meter", late).collect()) == [100, 101, 103, 104, 200]
+    compact(spark, out, "power_meter", day)
+    assert written(spark, out) == [100, 101, 103, 104, 200]
+    assert not exists(spark, f"{out}/_late/power_meter/dt={day}")
+
+
+def test_a_compacted_temperature_goes_with_its_message(spark, tmp_path):
+    temp = {"PME5": [{"server_name": "E5CC", "name": "T", "data": "[0,25]"}]}
+    first = [message(TOPIC_PME5, 1, 1, json.dumps(temp))]
+    out = run_parts(spark, tmp_path, [first], every="10 seconds")
+    for table in ("power_meter", "temp_control"):
+        compact(spark, out, table, T0.date())
+    assert written(spark, out, "temp_control") == [1]
+    out = run_parts(spark, tmp_path, [[message(TOPIC_PME5, 3, 3)]], every="10 seconds")
+    assert written(spark, out) == [3] and written(spark, out, "temp_control") == []
+    create_tables(spark, out, [T0.date()])
+    try:
+        assert spark.table("power_meter").count() == 1 and spark.table("temp_control").count() == 0
+    finally:
+        for table in ("power_meter", "temp_control"):
+            spark.sql(f"DROP TABLE {table}")
+
+
+def test_both_tables_of_a_batch_or_neither(spark, tmp_path, monkeypatch):
+    """A failure between the two writes shows nothing of the batch; one after the commit all of it."""
+    import meterlens.streaming.ingest as module
+
+    temp = {"server_name": "E5CC", "name": "T", "data": "[0,25]"}
+
+    def sent(*numbers):
+        return [message(TOPIC_PME5, s, s, json.dumps({"PME5": [temp]})) for s in numbers]
+
+    def both():
+        return [written(spark, out, t) for t in ("power_meter", "temp_control")]
+
+    out = run_parts(spark, tmp_path, [sent(1, 2)])
+    write, publish, calls = module.write_readings, Unit.publish, []
+
+    def failing(df, path, batch):
+        calls.append(path)
+        if len(calls) == 2:
+            raise RuntimeError("disk full")
+        write(df, path, batch)
+
+    monkeypatch.setattr(module, "write_readings", failing)
+    with pytest.raises(Exception, match="disk full"):
+        run_parts(spark, tmp_path, [sent(3, 4)])
+    assert both() == [[1, 2], [1, 2]]
+
+    def stopped(unit):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(Unit, "publish", stopped)
+    with pytest.raises(Exception, match="stopped"):
+        run_parts(spark, tmp_path, [])
+    assert both() == [[1, 2, 3, 4], [1, 2, 3, 4]]
+    monkeypatch.setattr(Unit, "publish", publish)
+    run_parts(spark, tmp_path, [])
+    assert both() == [[1, 2, 3, 4], [1, 2, 3, 4]]
+    assert names_in(spark, f"{out}/_staged") == []
+
+
+def latest_per_hour(rows):
+    best = {}
+    for _, _, ts, seq in rows:
+        slot = ts.replace(minute=0, second=0, microsecond=0)
+        best[slot] = max(best.get(slot, (ts, seq)), (ts, seq))
+    return sorted(seq for _, seq in best.values())
+
+
+def test_a_batch_reads_its_own_slots(spark, tmp_path, monkeypatch):
+    import meterlens.streaming.ingest as module
+
+    rows = [message(TOPIC_PME5, 3600 * n, n) for n in range(50)]
+    out = run_parts(spark, tmp_path, [rows], every="1 hour", slots="hour")
+    kept, read = module._kept_slots, []
+
+    def seen(spark, work, slots, like):
+        found = kept(spark, work, slots, like)
+        read.extend(found.inputFiles())
+        return found
+
+    monkeypatch.setattr(module, "_kept_slots", seen)
+    run_parts(spark, tmp_path, [[message(TOPIC_PME5, 3600 * 20 + 1, 100)]], every="1 hour", slots="hour")
+    assert len({path.split("slot=")[1][:10] for path in read}) == 1
+    assert written(spark, out) == [n for n in range(50) if n != 20] + [100]
+    # Closed slots are found by a message that comes for them, and by no other.
+    checkpoint = f"{tmp_path}/checkpoint"
+    assert module.close_slots(spark, checkpoint, date(2024, 1, 3)) == 25
+    late = [message(TOPIC_PME5, 3600 * 10 - 60, 300), message(TOPIC_PME5, 3600 * 12, 301)]
+    run_parts(spark, tmp_path, [late], every="1 hour", slots="hour")
+    assert written(spark, out) == latest_per_hour(rows + [message(TOPIC_PME5, 3600 * 20 + 1, 100), *late])
+
+
+def test_batches_bounded_by_bytes_and_archived(spark, tmp_path):
+    source, out, checkpoint, archive = (f"{tmp_path}/{n}" for n in ("in", "out", "check", "old"))
+    large = [message(TOPIC_PME5, n, n) for n in range(5000)]
+    spark.createDataFrame(large, MESSAGE_SCHEMA).coalesce(1).write.parquet(source)
+    for n in range(6):
+        small = [message(TOPIC_PME5, 6000 + n, 6000 + n)]
+        spark.createDataFrame(small, MESSAGE_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    options = {"max_bytes_per_trigger": 20_000, "archive_dir": archive}
+    query = ingest(spark, source, out, checkpoint, trigger=ONCE, **options)
+    query.awaitTermination()
+    batches = {batch for _, batch in batch_folders(spark, f"{out}/power_meter")}
+    assert len(batches) >= 2
+    assert read_table(spark, out, "power_meter").count() == 5006
+    # Files of a batch are moved when a later batch has begun.
+    ingest(spark, source, out, checkpoint, trigger=ONCE, **options).awaitTermination()
+    left = [n for n in names_in(spark, source, "part-")]
+    assert len(left) < 7
+
+
+def test_one_key_is_spaced_by_many_tasks(spark, tmp_path, request):
+    """Dense and sparse stretches of one key, cut into short segments."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is tiny
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    rng = random.Random(8)
+    for gap in (1, 7, 40):
+        at, times = 0, []
+        for _ in range(3000):
+            at += rng.choice((1, 1, 1, 2, 3, gap, gap + 1, 3 * gap, 200))
+            times.append(at)
+        table = spark.createDataFrame([("k", t, None) for t in times], "key string, tick long, last long")
+        work = f"{tmp_path}/{gap}"
+        got = chosen(table.repartition(7), gap, 50, work).collect()
+        want = spaced([("k", "", T0 + timedelta(seconds=t - 1), t) for t in times], gap)
+        assert sorted((r.due, r.tick) for r in got) == want
+        segments = spark.read.parquet(work).select("part", "ticks").collect()
+        assert len({r.part for r in segments}) >= 4
+        assert max(len(r.ticks) for r in segments) <= max(50, 4 * gap)
+        assert sum(r.kind == "open" for r in got) == 1
+
+
+def test_spacing_over_steps_in_short_segments(spark):
+    """State of the step before, messages before it, and of its second."""
+    rng = random.Random(9)
+    rows = traffic(400, seed=12, bad=False)
+    rows = [(t, p, ts, seq) for t, p, ts, seq in rows]
+    keys = ("topic", "seq % 3")
+    frame = spark.createDataFrame(rows, MESSAGE_SCHEMA)
+    cut = [0, 130, 131, 300, 400]
+    state, found = None, []
+    for begin, end in zip(cut, cut[1:], strict=False):
+        part = spark.createDataFrame(rng.sample(rows[begin:end], end - begin), MESSAGE_SCHEMA)
+        step = space(ticks(part, keys), state, 10, 5).collect()
+        found += [(r.due, r.seq) for r in step if r.kind == "written"]
+        assert not [r for r in step if r.kind == "late"]
+        state = spark.createDataFrame(
+            [r for r in step if r.kind == "open"], space(ticks(frame, keys), None, 10).schema
+        )
+    found += [(r.due, r.seq) for r in state.collect()]
+    base = int(T0.replace(tzinfo=UTC).timestamp())
+    want = []
+    for k in range(3):
+        want += spaced([r for r in rows if r[3] % 3 == k], 10)
+    assert sorted((due - base, seq) for due, seq in found) == sorted(want)
