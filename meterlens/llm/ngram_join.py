@@ -13,8 +13,8 @@ share is an entry of the matrix times its transpose. Only a few blocks of that p
 * The rows that have a column among their first ones are a bucket. A bucket is never expanded into its
   pairs. Each row is first held against the smallest row of its buckets, one row of the product for
   a block of rows; the links found make components.
-* Buckets that still hold several components are cut into blocks of bounded size, and every two
-  blocks of a bucket meet in a task, which accumulates the overlaps of rows of different components
+* Buckets that still hold several components, or all of those whose components meet, are cut into
+  blocks of bounded size, and every two blocks meet in a task, which accumulates the overlaps of rows of different components
   column by column, discards what is below the bound that follows from the sizes, and hands on the
   links that join two components, fewer than there are rows.
 
@@ -318,7 +318,9 @@ class NgramJoin:
         return self._grouped(placed, sets, star_links)
 
     def _blocks(self, members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between components within buckets. Of buckets with the same rows one is enough."""
+        """Links between components within buckets. Of buckets with the same rows one is enough; and
+        components that meet in some bucket form a group, whose rows are compared at once where
+        that moves fewer columns than going through its buckets."""
         placed = members.join(roots, "node", "left").select(
             "key", "node", "n", F.coalesce("root", "node").alias("root")
         )
@@ -333,14 +335,37 @@ class NgramJoin:
                 same.alias("same"),
             )
             .where("least < most")
-            .groupBy("rows", "columns", "same")
+            .groupBy("rows", "columns", "same", "least")
             .agg(F.min("key").alias("key"))
-            .select("key", F.ceil(F.col("columns") / self.block_columns).cast("int").alias("blocks"))
+            .select("key", "least", "columns", self._in_blocks("columns").alias("blocks"))
         )
+        mixed = stored(mixed, "buckets")
         rows = stored(placed.join(mixed, "key"), "mixed")
+        meeting = components(rows.select(F.col("root").alias("a"), F.col("least").alias("b")))
+        groups = stored(meeting.toDF("root", "group"), "groups")
+        by_bucket = (
+            mixed.join(groups, F.col("least") == F.col("root"))
+            .groupBy("group")
+            .agg(F.sum(F.col("columns") * F.col("blocks")).alias("moved"))
+        )
+        once = rows.select("node", "n", "root").distinct().join(groups, "root")
+        sizes = once.groupBy("group").agg(F.sum("n").alias("columns"))
+        blocks = self._in_blocks("columns").alias("group_blocks")
+        chosen = (
+            sizes.join(by_bucket, "group")
+            .select("group", blocks, (F.col("columns") * blocks <= F.col("moved")).alias("whole"))
+        )
+        chosen = stored(groups.join(chosen, "group"), "chosen")
+        whole = once.drop("group").join(chosen.where("whole"), "root").select(
+            F.col("group").alias("key"), "node", "root", F.col("group_blocks").alias("blocks")
+        )
+        single = rows.join(chosen.where("NOT whole").select("root"), "root").select(
+            "key", "node", "root", "blocks"
+        )
+        every = whole.unionByName(single)
         own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
         met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        paired = rows.select("key", "node", "root", own.alias("own"), met.alias("met")).select(
+        paired = every.select("key", "node", "root", own.alias("own"), met.alias("met")).select(
             "key",
             F.least("own", "met").alias("first"),
             F.greatest("own", "met").alias("second"),
@@ -350,6 +375,9 @@ class NgramJoin:
         )
         return self._grouped(paired, sets, block_links)
 
+    def _in_blocks(self, columns: str) -> Column:
+        return F.ceil(F.col(columns) / self.block_columns).cast("int")
+
     @staticmethod
     def _grouped(placed: DataFrame, sets: DataFrame, step) -> DataFrame:
         names = ["key", "first", "second", "own", "node", "root", "columns"]
