@@ -138,3 +138,27 @@ def latest_per_device(
         .where(F.col("_rank") <= n)
         .drop("_slot", "_rank")
     )
+
+
+def daily_tops(df: DataFrame, n: int = RAW_LIMIT) -> DataFrame:
+    """The readings (with their ``dt``) that are among the top ``n`` of their device and day by time of
+    day. On them :func:`latest_per_device` with ``order="label"`` and up to ``n``
+    rows gives the same as on all readings, as do the comparisons of "today"; so they can be
+    kept beside a table, by :func:`meterlens.plans.rollup.merge_rollup`, and are a small part of it.
+
+    They are ranked in two steps like there: a device and day that holds most of the table is
+    ranked by many tasks. Without ids, readings of one second are told apart by their values."""
+    day = F.col("dt") if "dt" in df.columns else F.to_date("timestamp")
+    values = [c for c in df.columns if c not in ("id", "no_device", "timestamp", "dt")]
+    keys = _newest_first(df, "label", values)
+    slots = max(64, -(-n * 64 // ROWS_PER_SLOT))
+    placed = df.withColumn("dt", day).withColumn("_slot", F.spark_partition_id() % slots)
+    by_slot = Window.partitionBy("no_device", "dt", "_slot").orderBy(*keys)
+    by_day = Window.partitionBy("no_device", "dt").orderBy(*keys)
+    return (
+        placed.withColumn("_rank", F.row_number().over(by_slot))
+        .where(F.col("_rank") <= n)
+        .withColumn("_rank", F.row_number().over(by_day))
+        .where(F.col("_rank") <= n)
+        .drop("_slot", "_rank")
+    )

@@ -21,13 +21,13 @@ from meterlens.operators.cost import (
 )
 from meterlens.operators.decode import decode_device_list, decode_pme5, parse_pme5, valid_pme5
 from meterlens.operators.history import history
-from meterlens.operators.latest import latest_per_device
+from meterlens.operators.latest import daily_tops, latest_per_device
 from meterlens.operators.series import series
 from meterlens.operators.summary import dashboard, series_and_summary, summary
 from meterlens.operators.totals import phases, total
 from meterlens.plans import fixtures as fx
 from meterlens.plans.modes import Mode
-from meterlens.plans.rollup import hourly_rollup, read_rollup, write_rollup
+from meterlens.plans.rollup import hourly_rollup, quarter_rollup, read_rollup, write_rollup
 from meterlens.schema import (
     METRICS,
     POWER_DEVICES,
@@ -212,16 +212,40 @@ def _rollup_queries() -> dict[str, Query]:
 
     built: dict[tuple[str, str, str], str] = {}
 
-    def rollup(spark: SparkSession, sf: str, table: str = "power") -> DataFrame:
-        """The stored rollup; it is built by the first report that asks for it."""
-        key = (spark.sparkContext.applicationId, sf, table)
+    def rollup(
+        spark: SparkSession, sf: str, table: str = "power", view=long_view, make=hourly_rollup
+    ) -> DataFrame:
+        """What is stored beside the readings; it is built by the first report that asks for it."""
+        key = (spark.sparkContext.applicationId, sf, table, make.__name__)
         if key not in built:
             path = scratch_dir(spark, "rollup")
-            write_rollup(hourly_rollup(long_view(spark, sf, table)), path)
+            write_rollup(make(view(spark, sf, table)), path)
             built[key] = path
         return read_rollup(spark, built[key])
 
+    def kept_up(spark: SparkSession, sf: str) -> DataFrame:
+        """The rollup that an ingest keeps up while late messages replace rows of days it has."""
+        root = scratch_dir(spark, "ingest")
+        kept = {f"{root}/hourly": hourly_rollup}
+        parts = _late_half_first(spark, sf)
+        _run_stream(spark, root, parts, TOPIC_PME5, every="2 hours", kept_up=kept)
+        rows = read_rollup(spark, f"{root}/hourly/temp_control").drop("dt")
+        return _with_time_text(rows, "timestamp")
+
+    tops = {
+        f"tops_compare_{name}_today": (
+            lambda spark, sf, name=name, m=m: compare_metric(
+                rollup(spark, sf, m.table, short_view, daily_tops), name, MODES["today"]
+            )
+        )
+        for name, m in METRICS.items()
+    }
     return {
+        **tops,
+        "rollup_kept_up_temp": kept_up,
+        "rollup_series_volt_quarter_zone": lambda spark, sf: series(
+            rollup(spark, sf, "power", short_view, quarter_rollup), "volt", *fx.RANGE, tz="+05:30"
+        ),
         "rollup_temp_hourly": lambda spark, sf: _with_time_text(
             hourly_rollup(short_view(spark, sf, "temp"))
             .drop("dt")

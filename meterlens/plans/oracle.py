@@ -501,6 +501,21 @@ def _rollups(direct: dict[str, str]) -> dict[str, str]:
         "cost_day_all",
     )
     sql = {f"rollup_{name}": direct[name] for name in names}
+    for name in ("volt", "current", "watt", "kva", "freq", "temp"):
+        sql[f"tops_compare_{name}_today"] = direct[f"compare_{name}_today"]
+    zone = "(timestamp + INTERVAL 330 MINUTE)"
+    sql["rollup_series_volt_quarter_zone"] = (
+        f"{_views('pm')} SELECT {_label(DAY_FMT, zone)} AS date, {_agg('max', 'volt1')} AS volt1 "
+        f"FROM pm WHERE {_between(fx.RANGE, zone)} GROUP BY 1"
+    )
+    sql["rollup_kept_up_temp"] = (
+        "SELECT CAST(1 AS INTEGER) AS no_device, CAST(date_trunc('hour', ts) AS VARCHAR) AS timestamp, "
+        "CAST(SUM(temp) AS DOUBLE) AS temp_sum, COUNT(temp) AS temp_count, MAX(temp) AS temp_max FROM "
+        "(SELECT e.ts, CAST(rtrim(CAST(20 + event_id % 15 AS VARCHAR), '0') AS DOUBLE) AS temp FROM "
+        "(SELECT time_bucket(INTERVAL '2 hours', ts, TIMESTAMP '1970-01-01') AS w, "
+        "arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE event_id % 50 <> 0 GROUP BY 1) "
+        "JOIN events e USING (event_id)) GROUP BY 2"
+    )
     hour = "CAST(date_trunc('hour', timestamp) AS VARCHAR)"
     sql["rollup_temp_hourly"] = (
         f"{_views('tc')} SELECT no_device, {hour} AS timestamp, {_agg('sum', 'temp')} AS temp_sum, "

@@ -133,6 +133,19 @@ class Unit:
     def table(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def days(self, gone: Iterable[tuple[str, date | str, str]] = ()) -> dict[str, set[date]]:
+        """The days that the unit changes, by table."""
+        out = {}
+        for table in TABLES:
+            days = {day for day, _ in batch_folders(self.spark, self.table(table))}
+            days |= {str(day) for t, day, _ in gone if t == table}
+            out[table] = {date.fromisoformat(d) for d in days if d[0] != "_"}
+        return out
+
+    def gone(self) -> list[tuple[str, str, str]]:
+        """Batches without rows of a committed unit."""
+        return json.loads(_read_text(self.spark, self.marker))["gone"]
+
     def commit(
         self, gone: Iterable[tuple[str, date | str, str]] = (), merged: dict[str, list[str]] | None = None
     ) -> None:

@@ -21,6 +21,8 @@ from meterlens.operators.decode import (
     valid_device_list,
     valid_pme5,
 )
+from meterlens.plans.modes import Mode
+from meterlens.plans.rollup import merge_rollup
 from meterlens.schema import TOPIC_DEVICE_LIST, TOPIC_PME5
 from meterlens.sources.messages import stream_messages
 from meterlens.sources.tables import (
@@ -28,6 +30,7 @@ from meterlens.sources.tables import (
     exists,
     move_folder,
     names_in,
+    read_table,
     remove,
     table_path,
     write_readings,
@@ -63,13 +66,18 @@ def _query_id(messages: DataFrame) -> str:
     return messages.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
+#: Folders, and what of the readings is kept there day by day.
+Kept = dict[str, Callable[[DataFrame], DataFrame]]
+
+
 class Writer:
     """Batch writers for ``foreachBatch``. What a batch writes to both tables is one unit: readers see
     all of it or nothing. Its folders have keys made of the query's id and of what they cover, so a
     batch repeated after a failure replaces its own rows and no other query's."""
 
-    def __init__(self, out_dir: str, checkpoint: str, topic: str):
+    def __init__(self, out_dir: str, checkpoint: str, topic: str, kept_up: Kept | None = None):
         self.out_dir, self.work = out_dir, f"{checkpoint.rstrip('/')}/work"
+        self.kept_up = kept_up or {}
         self.parse, self.valid, self.unreadable, self.power_of, self.temp_of = _decoder(topic)
 
     def _tables(self):
@@ -80,11 +88,27 @@ class Writer:
         but was not put in place, is."""
         unit = Unit(spark, self.out_dir, f"{query}-{number}")
         if unit.committed:
+            days = unit.days(unit.gone())
             unit.publish()
+            self._keep_up(spark, days)
             return None
         unit.begin()
         return unit
 
+    def _commit(self, unit: Unit, gone: list[tuple[str, date, str]] | tuple = ()) -> None:
+        days = unit.days(gone)
+        unit.commit(gone)
+        self._keep_up(unit.spark, days)
+
+    def _keep_up(self, spark: SparkSession, days: dict[str, set[date]]) -> None:
+        """Compute the changed days of what is kept beside the tables anew, from these days only."""
+        for folder, make in self.kept_up.items():
+            for table, changed in days.items():
+                if changed:
+                    window = Mode.range(min(changed), max(changed))
+                    readings = read_table(spark, self.out_dir, table, window)
+                    merge_rollup(spark, readings, table_path(folder, table), changed, make)
+
     def _staged(self, spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that is made once, also if the batch is repeated."""
         path = f"{self.work}/{name}"
@@ -123,7 +147,7 @@ class Writer:
                 write_readings(rows_of(ranges), unit.table(table), f"{query}-{number}")
         finally:
             ranges.unpersist()
-        unit.commit()
+        self._commit(unit)
 
     def latest(
         self, every: str, keys: tuple[str, ...], slots: str
@@ -174,7 +198,7 @@ class Writer:
                     for day in _days(slot_, width)
                     if (day, slot_) not in there
                 ]
-            unit.commit(gone)
+            self._commit(unit, gone)
             remove(spark, [f"{self.work}/{n}-{number - 1}" for n in ("new", "merged")])
 
         return write
@@ -214,7 +238,7 @@ class Writer:
                     was = state.select(F.to_date(F.timestamp_micros("micros")).alias("day"))
                     left = was.distinct().join(days, "day", "left_anti").collect()
                     gone += [(table, r["day"], f"{query}-open") for r in left]
-            unit.commit(gone)
+            self._commit(unit, gone)
             remove(spark, [f"{self.work}/step-{number - 2}", segments])
 
         return write
@@ -280,6 +304,7 @@ def ingest(
     keep_unreadable: bool = False,
     max_bytes_per_trigger: int | None = None,
     archive_dir: str | None = None,
+    kept_up: Kept | None = None,
 ) -> StreamingQuery:
     """Decode a topic of a landing folder into the tables under ``out_dir``.
 
@@ -293,6 +318,9 @@ def ingest(
     ``max_bytes_per_trigger`` bounds a batch by bytes instead of files; files that have been
     read are moved to ``archive_dir`` if given, so that the landing folder stays short.
 
+    ``kept_up`` maps folders to functions of readings, such as ``hourly_rollup`` or ``daily_tops``; with
+    each batch the changed days of what they give are computed anew there, for both tables.
+
     With ``every``, a batch rewrites the ``slots`` that it touches: days, or "hour" where a day's
     intervals of all keys are too many to be written again with each batch.
     """
@@ -300,7 +328,7 @@ def ingest(
         raise ValueError("give either every or min_gap_seconds")
     if slots not in ("day", "hour"):
         raise ValueError(f"slots must be 'day' or 'hour', got {slots!r}")
-    writer = Writer(out_dir, checkpoint, topic)
+    writer = Writer(out_dir, checkpoint, topic, kept_up)
     messages = stream_messages(
         spark, source_dir, topic, fmt, max_files_per_trigger, max_bytes_per_trigger, archive_dir
     )

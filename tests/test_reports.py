@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Window
@@ -21,7 +23,16 @@ from meterlens import (
     summary,
     total,
 )
-from meterlens.plans.rollup import hourly_rollup, read_rollup, refresh_rollup, write_rollup
+from meterlens.functions.measures import exact_sum
+from meterlens.operators.latest import daily_tops
+from meterlens.plans.rollup import (
+    hourly_rollup,
+    merge_rollup,
+    quarter_rollup,
+    read_rollup,
+    refresh_rollup,
+    write_rollup,
+)
 from meterlens.schema import POWER_SCHEMA, TEMP_SCHEMA
 
 START, DAYS = date(2023, 1, 1), 400
@@ -271,3 +282,61 @@ def test_bad_arguments(power):
         total(power, "speed", RANGE)
     with pytest.raises(ValueError):
         latest_per_device(power, order="newest")
+
+
+def test_quarters_fit_any_zone_and_hours_are_refused_in_time(spark, tmp_path):
+    """Lord Howe shifts by half an hour in summer only, so a window decides."""
+    rows = [
+        (1, 1, float(n), datetime(2024, 7, 1) + timedelta(minutes=20 * n)) for n in range(3 * 24 * 4)
+    ]
+    temp = spark.createDataFrame(rows, TEMP_SCHEMA)
+    window = (date(2024, 7, 1), date(2024, 7, 4))
+    for zone in ("Australia/Lord_Howe", "+05:30", "Asia/Kathmandu", "America/St_Johns", "+07:00"):
+        want = rows_of(series(temp, "temp", *window, tz=zone))
+        assert rows_of(series(quarter_rollup(temp), "temp", *window, tz=zone)) == want
+        if zone == "+07:00":
+            assert rows_of(series(hourly_rollup(temp), "temp", *window, tz=zone)) == want
+        else:
+            with pytest.raises(ValueError, match="quarter_rollup"):
+                series(hourly_rollup(temp), "temp", *window, tz=zone)
+    summer = (date(2024, 1, 1), date(2024, 1, 4))
+    assert series(hourly_rollup(temp), "temp", *summer, tz="Australia/Lord_Howe").count() == 0
+
+
+def test_days_are_merged_into_a_rollup(spark, power, tmp_path):
+    path = f"{tmp_path}/hourly"
+    day = F.to_date("timestamp")
+    days = sorted(r[0] for r in power.select(day).distinct().collect() if r[0])
+    old = power.where(day != days[3]).withColumn("kw", F.when(day != days[5], F.col("kw")))
+    write_rollup(hourly_rollup(old), path)
+    for _ in range(2):
+        merge_rollup(spark, power, path, [days[3], days[5]])
+    columns = hourly_rollup(power).columns
+    assert rows_of(read_rollup(spark, path).select(columns)) == rows_of(hourly_rollup(power))
+    merge_rollup(spark, power.where(day != days[0]), path, days[:1])
+    assert read_rollup(spark, path).where(F.col("dt") == days[0]).count() == 0
+
+
+def test_tops_of_days_give_the_same_comparisons(spark, power):
+    tops = daily_tops(power, 5)
+    for n in (1, 5):
+        for order in ("label",):
+            want = rows_of(latest_per_device(power, n, order))
+            assert rows_of(latest_per_device(tops.drop("dt"), n, order)) == want
+    assert daily_tops(power, 1).count() < power.count()
+    assert daily_tops(power.limit(0)).count() == 0
+
+
+def test_sums_of_doubles_do_not_depend_on_the_order(spark):
+    rng = random.Random(3)
+    values = [round(rng.uniform(-1e5, 1e5), rng.choice((1, 2, 6))) for _ in range(3000)]
+    want = float(sum(Decimal(repr(v)) for v in values))
+    for seed in range(3):
+        rng.shuffle(values)
+        rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(5 + seed)
+        assert rows.agg(exact_sum(F.col("v"))).first()[0] == want
+    odd = spark.createDataFrame([(1e300,), (1.5,), (float("inf"),)], "v double")
+    assert odd.agg(exact_sum(F.col("v"))).first()[0] == float("inf")
+    assert math.isnan(spark.sql("SELECT double('nan') AS v").agg(exact_sum(F.col("v"))).first()[0])
+    none = spark.createDataFrame([(None,)], "v double")
+    assert none.agg(exact_sum(F.col("v"))).first()[0] is None
