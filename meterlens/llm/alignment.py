@@ -51,6 +51,8 @@ COMMON_PAIRS = 1_000_000
 WORDS, WORD_CHARS = 600_000, 16_000_000
 #: Bytes of tokens in one row block of a product.
 PRODUCT_BYTES = 4_000_000
+#: Characters of words that are encoded as one text.
+JOINED_CHARS = 4_000
 #: Ids of the second tokenizer are below this.
 WIDTH = 1 << 32
 
@@ -143,26 +145,72 @@ class Tokenizers:
             raw = bytes([int(piece[3:5], 16)]) if self.second.is_byte(n) else piece.replace("▁", " ").encode()
             self.bytes_b.append(raw)
         self.sizes = [np.array([len(x) for x in table]) for table in (self.bytes_a, self.bytes_b)]
+        #: Ids of both kinds as text with each sign that may stand behind them.
+        self.signed = [f"{n}{c}" for t in self.sizes for n in range(len(t)) for c in (",", "|", ";", "")]
 
     def encode(self, words: list[str]) -> Tokens:
-        spaced = [f" {w}" for w in words]
-        a = [e.ids for e in self.first.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.second.encode(words, num_threads=1) if words else []
-        sound = np.zeros(len(words), bool)
-        for n, word in enumerate(spaced):
-            raw = word.encode()
-            sound[n] = raw == b"".join([self.bytes_a[x] for x in a[n]]) and raw == b"".join(
-                [self.bytes_b[x] for x in b[n]]
-            )
-            if not sound[n]:
-                a[n], b[n] = [], []
-        counts = [np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b)]
+        """Tokens of words as ``words_of`` gives them, in their order. Words are joined again by
+        blanks, where both tokenizers cut, and many are encoded at once."""
+        plain = [n for n, word in enumerate(words) if word and not word[-1].isspace()]
+        parts, part, size = [], [], 0
+        for n in plain:
+            part.append(n)
+            size += len(words[n])
+            if size > JOINED_CHARS:
+                parts.append(part)
+                part, size = [], 0
+        single = set(range(len(words))).difference(plain)
+        parts += [part] if part else []
+        parts += [[n] for n in sorted(single)]
+        order, found = [], []
+        joined = [" ".join([words[n] for n in part]) for part in parts]
+        for part, text, tokens in zip(parts, joined, self._encoded(joined), strict=True):
+            sizes = np.array([len(words[n].encode()) + 1 for n in part])
+            if tokens is not None:
+                order += part
+                found.append(self._split(tokens, sizes))
+                continue
+            # Something in it does not give its bytes back: each word by itself.
+            alone = [words[n] for n in part]
+            for n, one, own in zip(part, self._encoded(alone), sizes, strict=True):
+                order.append(n)
+                if one is None:
+                    found.append((np.zeros((2, 1), np.int64), [], [], np.zeros(1, bool)))
+                else:
+                    found.append(self._split(one, np.array([own])))
+        counts = np.concatenate([np.zeros((2, 0), np.int64), *[f[0] for f in found]], axis=1)
+        ids = [np.fromiter(chain.from_iterable(f[k] for f in found), np.int64) for k in (1, 2)]
+        sound = np.concatenate([np.zeros(0, bool), *[f[3] for f in found]])
+        # Back to the order of the words.
+        back = np.argsort(np.array(order, np.int64), kind="stable")
         ids = [
-            np.fromiter(chain.from_iterable(x), np.int64, n.sum())
-            for x, n in zip((a, b), counts, strict=True)
+            x[_picked(np.append(0, np.cumsum(n)), back)[0]] for x, n in zip(ids, counts, strict=True)
         ]
         lengths = [table[x] for table, x in zip(self.sizes, ids, strict=True)]
-        return Tokens(tuple(counts), tuple(ids), tuple(lengths), sound)
+        return Tokens((counts[0][back], counts[1][back]), tuple(ids), tuple(lengths), sound[back])
+
+    def _encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of both kinds of whole texts; None if they don't give a text's bytes back."""
+        spaced = [f" {t}" for t in texts]
+        a = self.first.encode_batch_fast(spaced, add_special_tokens=False)
+        b = self.second.encode(texts, num_threads=1) if texts else []
+        out = []
+        for text, x, y in zip(spaced, a, b, strict=True):
+            raw, ids = text.encode(), x.ids
+            same = raw == b"".join([self.bytes_a[n] for n in ids]) == b"".join(
+                [self.bytes_b[n] for n in y]
+            )
+            out.append((ids, y) if same else None)
+        return out
+
+    def _split(self, tokens, sizes: np.ndarray) -> tuple:
+        """How many of the tokens of joined words each word has, by their bytes."""
+        ends = np.cumsum(sizes)
+        counts = []
+        for table, ids in zip(self.sizes, tokens, strict=True):
+            upto = np.searchsorted(np.cumsum(table[ids]), ends) + 1
+            counts.append(np.diff(np.append(0, upto)))
+        return np.array(counts), *tokens, np.ones(len(sizes), bool)
 
 
 def overlaps(tokens: Tokens) -> list[np.ndarray]:
@@ -244,27 +292,28 @@ class Words:
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(links))
         self.keys = np.concatenate([self.keys, keys])
         if self.pairs is not None:
-            self.groups += self._texts(tokens, many, groups)
+            self.groups += self._texts(tokens, in_a, in_b, of_group)
             count, best, known = self.pairs.look(keys)
             gains = np.stack([_sums(best, links), _sums(count, links)], axis=1)
             self.gains = np.concatenate([self.gains, gains])
             self.rare_starts = np.append(self.rare_starts, self.rare_starts[-1] + np.cumsum(_sums(~known, links)))
             self.rare = np.concatenate([self.rare, keys[~known]])
 
-    @staticmethod
-    def _texts(tokens: Tokens, many: list[np.ndarray], groups: np.ndarray) -> list[str]:
-        """The groups of each word as text."""
-        a, b = ([str(n) for n in x.tolist()] for x in tokens.ids)
-        parts, i, j = [], 0, 0
-        for n, m in zip(many[0].tolist(), many[1].tolist(), strict=True):
-            parts.append(f"{','.join(a[i : i + n])}|{','.join(b[j : j + m])}")
-            i += n
-            j += m
-        out, at = [], 0
-        for n in groups.tolist():
-            out.append(";".join(parts[at : at + n]))
-            at += n
-        return out
+    def _texts(self, tokens: Tokens, in_a: np.ndarray, in_b: np.ndarray, of_group: np.ndarray) -> list[str]:
+        """The groups of each word as text: ids in the order of their groups, each with the sign that
+        stands behind it."""
+        kind = np.repeat([0, 1], [len(in_a), len(in_b)])
+        group = np.concatenate([in_a, in_b])
+        order = np.argsort(group * 2 + kind, kind="stable")
+        group, kind = group[order], kind[order]
+        ids = np.concatenate([tokens.ids[0], tokens.ids[1] + len(self.tokenizers.bytes_a)])[order]
+        ends = np.append(group[1:] != group[:-1], True)
+        last = np.append(of_group[group[1:]] != of_group[group[:-1]], True)
+        turns = np.append(kind[1:] != kind[:-1], True)
+        sign = np.where(last, 3, np.where(ends, 2, np.where(turns, 1, 0)))
+        pieces = list(map(self.tokenizers.signed.__getitem__, (ids * 4 + sign).tolist()))
+        sizes = (tokens.counts[0] + tokens.counts[1]).cumsum().tolist()
+        return ["".join(pieces[i:j]) for i, j in zip([0, *sizes], sizes, strict=False)]
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all words of the texts, and how many each text has."""
