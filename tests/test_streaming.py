@@ -278,6 +278,16 @@ def test_scratch_is_the_shared_folder_if_there_is_one(spark):
     assert first.startswith(f"{shared}/x-") and first != second
 
 
+def test_scratch_folders_are_cleared(spark, monkeypatch):
+    from meterlens.sources import scratch
+
+    monkeypatch.setattr(scratch, "_named", {})  # not those of other tests
+    folders = [scratch_dir(spark, "x") for _ in range(2)]
+    spark.range(3).write.parquet(folders[0])
+    assert scratch.clear_scratch(spark) == 2 and scratch.clear_scratch(spark) == 0
+    assert not any(exists(spark, f) for f in folders)
+
+
 def test_unreadable_messages_of_the_same_parse(spark, tmp_path):
     rows = traffic()
     bad = sorted(r[3] for r in rows if r[1] == "{")
