@@ -202,21 +202,107 @@ def test_verdicts_agree_with_labels(spark, sf_dir):
     assert right >= 0.97 * len(judged)
 
 
-def test_estimation_finds_accuracies():
-    """Rules that vote at random with known accuracies."""
-    rng = random.Random(6)
-    true = [0.95, 0.8, 0.7, 0.85]
+def votes_at_random(seed, rules, share, many=20_000):
+    """Patterns of rules with known accuracies on good and on bad documents."""
+    rng = random.Random(seed)
     seen = Counter()
-    for _ in range(20_000):
-        kind = rng.choice((quality.GOOD, quality.BAD))
-        seen[
-            tuple(
-                quality.SILENT if rng.random() < 0.2 else kind if rng.random() < a else -kind
-                for a in true
-            )
-        ] += 1
-    found = quality.estimate(sorted(seen.items()), 4)
-    assert all(abs(a - b) < 0.03 for a, b in zip(found.accuracies, true, strict=True))
+    for _ in range(many):
+        good = rng.random() < share
+        vote = []
+        for on_good, on_bad in rules:
+            right = rng.random() < (on_good if good else on_bad)
+            kind = quality.GOOD if right == good else quality.BAD
+            vote.append(quality.SILENT if rng.random() < 0.2 else kind)
+        seen[tuple(vote)] += 1
+    return seen
+
+
+def test_estimation_finds_accuracies():
+    true = [(0.99, 0.7), (0.98, 0.5), (0.99, 0.8), (0.97, 0.6)]
+    found = quality.estimate(sorted(votes_at_random(6, true, 0.8).items()), 4)
+    assert all(abs(a - t[0]) < 0.02 for a, t in zip(found.on_good, true, strict=True))
+    assert all(abs(b - t[1]) < 0.06 for b, t in zip(found.on_bad, true, strict=True))
+    assert abs(found.share - 0.8) < 0.03
+
+
+def slow_estimate(rows, rules):
+    """The same estimation, one document at a time, with products instead of logarithms."""
+
+    def bounded(x):
+        return min(quality.MOST, max(1 - quality.MOST, x))
+
+    def good_of(row):
+        ways = [share, 1 - share]
+        for vote, g, b in zip(row, on_good, on_bad, strict=True):
+            if vote:
+                ways[0] *= g if vote == quality.GOOD else 1 - g
+                ways[1] *= 1 - b if vote == quality.GOOD else b
+        return ways[0] / sum(ways)
+
+    on_good, on_bad = [quality.RIGHT_ON_GOOD] * rules, [quality.RIGHT_ON_BAD] * rules
+    share = quality.START_SHARE
+    rows = [r for r in rows if any(r)]
+    belief = quality.FEW_VOTES + quality.BELIEF * len(rows)
+    for _ in range(400):
+        good = [good_of(r) for r in rows]
+        new_good, new_bad = [], []
+        for k in range(rules):
+            said = [(r[k], g) for r, g in zip(rows, good, strict=True) if r[k]]
+            right = sum(g for v, g in said if v == quality.GOOD)
+            new_good.append(bounded((quality.RIGHT_ON_GOOD * belief + right) / (belief + sum(g for _, g in said))))
+            right = sum(1 - g for v, g in said if v == quality.BAD)
+            few = quality.FEW_VOTES
+            new_bad.append(bounded((quality.RIGHT_ON_BAD * few + right) / (few + sum(1 - g for _, g in said))))
+        share = bounded((quality.START_SHARE * quality.FEW_VOTES + sum(good)) / (quality.FEW_VOTES + len(rows)))
+        on_good, on_bad = new_good, new_bad
+    return on_good, on_bad, share, good_of
+
+
+def test_posterior_equals_a_slow_estimation(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cast = quality.votes(quality.counts(F.col("text")))
+    rows = {r.doc_id: tuple(r.v) for r in docs.select("doc_id", cast.alias("v")).collect()}
+    *_, good_of = slow_estimate(list(rows.values()), len(quality.RULES))
+    for r in quality_rules(spark, sf_dir).collect():
+        assert abs(r.probability - good_of(rows[r.doc_id])) < 1e-6
+
+
+def test_estimated_accuracies_decide():
+    """The first rule accuses a third of the good documents, the last one hardly tells good from bad:
+    neither a vote of the one against a document nor one of the other for it decides. With the
+    accuracies believed before the estimation both do."""
+    rules = [(0.65, 0.7), (0.99, 0.9), (0.99, 0.9), (0.99, 0.9), (0.6, 0.3)]
+    model = quality.estimate(sorted(votes_at_random(3, rules, 0.45).items()), 5)
+    constant = quality.VoteModel(
+        (quality.RIGHT_ON_GOOD,) * 5, (quality.RIGHT_ON_BAD,) * 5, quality.START_SHARE
+    )
+    accused, praised = (-1, 0, 0, 1, 0), (0, 0, 0, 0, 1)
+    assert model.probability(accused) > 0.5 > constant.probability(accused)
+    assert model.probability(praised) < 0.5 < constant.probability(praised)
+
+
+def test_a_common_habit_is_no_fault(spark):
+    """A third of the sound documents have signs in them, which one rule accuses; they are kept."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 7))) for _ in range(3000)]
+    rows = []
+    for n in range(300):
+        signs = " & co" if n % 3 == 0 else ""
+        lines = [f"{' '.join(rng.choices(words, k=9)).capitalize()}{signs}." for _ in range(12)]
+        rows.append((n, "\n".join(lines)))
+    for n in range(300, 340):
+        rows.append((n, " ".join(f"{w.upper()}!!###" for w in rng.choices(words, k=90))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cast = quality.votes(quality.counts(F.col("text")))
+    accused = {r.doc_id for r in docs.select("doc_id", cast.alias("v")).collect() if quality.BAD in r.v}
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert accused == {*range(0, 300, 3), *range(300, 340)} and kept == set(range(300))
+
+
+def test_the_counting_is_planned_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = quality.keep_good(docs)._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 20_000 and plan.count("regexp_extract_all") == 1
 
 
 def test_quality_keeps_columns_and_takes_empty_tables(spark):

@@ -36,7 +36,7 @@ def test_same_as_sql(spark, sf_dir, name):
 def test_all_are_registered():
     assert set(llm.queries()) | {"pipeline"} <= set(queries())
     assert set(SQL) <= set(oracle_sql())
-    assert [name.split("_")[0] for name in llm.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in llm.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_stages(spark, sf_dir):
