@@ -81,6 +81,11 @@ class NoticeFinder:
             regex.compile(f"(?e)(?:{regex.escape(x.wording, literal_spaces=True)}){{e<={x.edits}}}")
             for x in notices
         ]
+        # (?b): the fewest edits that make all of a place the wording.
+        self.whole = [
+            regex.compile(f"(?b)(?:{regex.escape(x.wording, literal_spaces=True)}){{e<={x.edits}}}")
+            for x in notices
+        ]
 
     @staticmethod
     def split(notice: Notice) -> list[tuple[int, str]]:
@@ -113,48 +118,50 @@ class NoticeFinder:
 
     def find(self, text: str) -> list[tuple[Notice, int, int, int]]:
         """(notice, start, end, edits) in a text of words with one blank between them; a place
-        begins and ends with whole words."""
+        begins and ends with whole words, and its edits are those of all its letters."""
         out = []
         for n, spans in self.windows(text).items():
             notice, seen = self.notices[n], set()
             for begin, end in spans:
-                if not notice.edits:
-                    matches = ((m, 0) for m in self._exact(notice.wording, text, begin, end))
-                else:
-                    matches = (
-                        (m.start(), sum(m.fuzzy_counts), m.end())
-                        for m in self.patterns[n].finditer(text, begin, end, overlapped=False)
-                    )
-                for match in matches:
-                    start, edits = match[0], match[1]
-                    stop = match[2] if len(match) > 2 else start + len(notice.wording)
-                    place = self._words(text, start, stop, exact=not edits)
-                    if place and place not in seen:
-                        seen.add(place)
+                search = self._fuzzy if notice.edits else self._exact
+                for *place, edits in search(n, text, begin, end):
+                    if tuple(place) not in seen:
+                        seen.add(tuple(place))
                         out.append((notice, *place, edits))
         return out
 
-    @staticmethod
-    def _exact(wording: str, text: str, begin: int, end: int):
-        """All places of a phrase, also those that overlap."""
+    def _exact(self, n: int, text: str, begin: int, end: int):
+        """All places of a phrase that stand for themselves, also those that overlap."""
+        wording = self.notices[n].wording
         at = text.find(wording, begin, end)
         while at >= 0:
-            yield at
+            stop = at + len(wording)
+            if (at == 0 or text[at - 1] == " ") and (stop == len(text) or text[stop] == " "):
+                yield at, stop, 0
             at = text.find(wording, at + 1, end)
 
-    @staticmethod
-    def _words(text: str, start: int, stop: int, exact: bool) -> tuple[int, int] | None:
-        """The place if it stands for itself; with edits it is widened to whole words."""
-        alone = (start == 0 or text[start - 1] == " ") and (stop == len(text) or text[stop] == " ")
-        if exact:
-            return (start, stop) if alone else None
-        while start < stop and text[start] == " ":
-            start += 1
-        while stop > start and text[stop - 1] == " ":
-            stop -= 1
-        left = text.rfind(" ", 0, start) + 1
-        right = text.find(" ", stop)
-        return left, len(text) if right < 0 else right
+    def _fuzzy(self, n: int, text: str, begin: int, end: int):
+        """Places of a notice within its bound. A match is widened to whole words, and letters that
+        this adds are edits too; where they are too many, the search goes on from the next word."""
+        at = begin
+        while match := self.patterns[n].search(text, at, end):
+            start, stop = match.span()
+            while start < stop and text[start] == " ":
+                start += 1
+            while stop > start and text[stop - 1] == " ":
+                stop -= 1
+            start, stop = text.rfind(" ", 0, start) + 1, text.find(" ", stop)
+            stop = len(text) if stop < 0 else stop
+            whole = None
+            if stop - start <= len(self.notices[n].wording) + self.notices[n].edits:
+                whole = self.whole[n].fullmatch(text, start, stop)
+            if whole:
+                yield start, stop, sum(whole.fuzzy_counts)
+                at = max(match.end(), at + 1)
+            else:
+                at = text.find(" ", match.start() + 1, end)
+                if at < 0:
+                    return
 
     def judge(self, text: str | None) -> dict:
         words = plain_words(text)
