@@ -3,11 +3,11 @@
 Each task sorts the suffixes of its share of the training words (a shard) and looks up every
 suffix of the test items by binary search. A test suffix that agrees with training suffixes in
 a whole window marks their words as hit; matches that go on in the next suffix are joined to
-the longest verbatim match. Words that no test item has cannot be in a match, so only runs of
+the longest verbatim match. Windows that several items have are looked up once. Words that no test item has cannot be in a match, so only runs of
 test words at least one window long enter the suffix array.
 
-The test items go to the tasks in blocks of bounded size, one broadcast after the other; a
-document keeps the hits of all blocks. Null and empty texts have no words and no hits, items
+The test items go to the tasks in blocks of bounded size, one pass over the texts for each; the hits
+of all blocks are joined by document. Null and empty texts have no words and no hits, items
 without words have no windows, and repeated rows are judged each. Other columns are kept.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.llm.common import free_name, hex_digest, small_batches, text_slices
+from meterlens.llm.common import free_name, hex_digest, small_batches, stored, text_slices
 from meterlens.llm.words import plain_words
 
 WINDOW = 13
@@ -33,29 +33,56 @@ MATCH_TYPE = (
 
 
 class Suffixes:
-    """The test items of a block, ready to be looked up in suffix arrays."""
+    """The test items of a block, ready to be looked up in suffix arrays. Their words lie one after
+    the other, each item behind a gap; equal windows are looked up once, and know all their places."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         same: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for name, text in items:
             if words := tuple(plain_words(text)):
                 same[words].add(name)
+        self.window = window
         self.names = [sorted(names) for names in same.values()]
         self.codes: dict[bytes, int] = {}
-        flat, owner, offset, width = [], [], [], []
-        for n, words in enumerate(same):
-            codes = [self.codes.setdefault(w, len(self.codes) + 1) for w in words]
-            size = min(window, len(codes))
-            starts = range(len(codes) - size + 1)
-            flat += [codes[s : s + size] + [0] * (window - size) for s in starts]
-            owner += [n] * len(starts)
-            offset += starts
-            width += [size] * len(starts)
-        self.tests = np.array(flat, np.int64).reshape(-1, window)
-        self.owner, self.offset = np.array(owner, np.int64), np.array(offset, np.int64)
-        self.width = np.array(width, np.int64)
-        self.shortest = int(self.width.min()) if width else 0
-        self.window = window
+        sizes = np.fromiter(map(len, same), np.int64, len(same))
+        begins = np.cumsum(sizes + 1) - sizes
+        self.words = np.zeros(int((sizes + 1).sum()) + window + 1, np.int32)
+        for begin, size, words in zip(begins, sizes, same, strict=True):
+            coded = (self.codes.setdefault(w, len(self.codes) + 1) for w in words)
+            self.words[begin : begin + size] = np.fromiter(coded, np.int32, size)
+        widths = np.minimum(sizes, window)
+        many = sizes - widths + 1
+        before = np.cumsum(many) - many
+        places = np.arange(many.sum()) + np.repeat(begins - before, many)
+        width = np.repeat(widths, many)
+        owner = np.repeat(np.arange(len(same)), many)
+        self.shortest = int(widths.min()) if len(widths) else 0
+        # Equal windows: the same ranks of their first words, and the same width.
+        rank = _ranks(self.words, window)[places] if len(places) else places
+        short = np.flatnonzero(width < window)
+        if len(short):
+            # A short item is one window; it ends with a gap, so no longer one is equal to it.
+            rank = rank * 2
+            rank[short] += 1
+        _, first, self.kind = np.unique(rank, return_index=True, return_inverse=True)
+        #: One place of each distinct window, and its width.
+        self.tests, self.width = places[first], width[first]
+        order = np.argsort(self.kind, kind="stable")
+        #: All places of each, one after the other.
+        self.places = places[order]
+        self.starts = np.append(0, np.cumsum(np.bincount(self.kind, minlength=len(first))))
+        owners = owner[order]
+        # Windows of the same items have one list of them.
+        lists: dict[bytes, int] = {}
+        self.owners: list[np.ndarray] = []
+        self.of_kind = np.zeros(len(first), np.int64)
+        for n in range(len(first)):
+            mine = np.unique(owners[self.starts[n] : self.starts[n + 1]])
+            key = mine.tobytes()
+            if key not in lists:
+                lists[key] = len(self.owners)
+                self.owners.append(mine)
+            self.of_kind[n] = lists[key]
 
     def _runs(self, codes: np.ndarray) -> np.ndarray:
         """Where runs of test words are long enough for a window."""
@@ -69,8 +96,8 @@ class Suffixes:
         return np.flatnonzero(np.cumsum(marks[:-1]))
 
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``codes`` (0 for words without a code) where windows begin, and the test
-        suffix of each."""
+        """Places in ``codes`` (0 for words without a code) where windows begin, and the distinct
+        window of each."""
         none = np.zeros(0, np.int64)
         places = self._runs(codes) if len(self.tests) else none
         if not len(places):
@@ -78,38 +105,35 @@ class Suffixes:
         # What lies in the array: the kept words with a gap after each run.
         gaps = np.append(np.diff(places) > 1, True)
         at = np.arange(len(places)) + np.cumsum(gaps) - gaps
-        shard = np.zeros(at[-1] + 1 + self.window, np.int64)
+        shard = np.zeros(at[-1] + 1 + self.window, np.int32)
         shard[at] = codes[places]
-        order = at[self._sorted(shard)[at].argsort(kind="stable")]
-        low = self._bound(shard, order, after=False)
-        high = self._bound(shard, order, after=True)
-        many = high - low
-        tests = np.repeat(np.arange(len(many)), many)
-        rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        order = at[_ranks(shard, self.window)[at].argsort(kind="stable")]
         back = np.zeros(len(shard), np.int64)
         back[at] = places
-        return back[order[rows]], tests
-
-    def _sorted(self, shard: np.ndarray) -> np.ndarray:
-        """Ranks of the suffixes by their first words, a window at least, by doubling."""
-        rank, size = shard, 1
-        while size < self.window:
-            key = rank * (int(rank.max()) + 1) + np.append(rank[size:], np.zeros(size, np.int64))
-            rank = np.unique(key, return_inverse=True)[1]
-            size *= 2
-        return rank
-
-    def _bound(self, shard: np.ndarray, order: np.ndarray, after: bool) -> np.ndarray:
-        """Binary search of all test suffixes at once: the first suffix of the shard that is
+        found, tests = [none], [none]
+        for begin in range(0, len(self.tests), LOOKED_UP):
+            some = slice(begin, begin + LOOKED_UP)
+            low = self._bound(shard, order, some, after=False)
+            many = self._bound(shard, order, some, after=True) - low
+            hit = np.flatnonzero(many)
+            many, low = many[hit], low[hit]
+            rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            found.append(back[order[rows + np.repeat(low, many)]])
+            tests.append(np.repeat(hit + begin, many))
+        return np.concatenate(found), np.concatenate(tests)
+
+    def _bound(self, shard: np.ndarray, order: np.ndarray, some: slice, after: bool) -> np.ndarray:
+        """Binary search of several test suffixes at once: the first suffix of the shard that is
         not before a window, or that is after all that begin with it."""
-        low = np.zeros(len(self.tests), np.int64)
-        high = np.full(len(self.tests), len(order), np.int64)
         steps = np.arange(self.window)
-        inside = steps < self.width[:, None]
+        tests = self.words[self.tests[some][:, None] + steps]
+        inside = steps < self.width[some][:, None]
+        low = np.zeros(len(tests), np.int64)
+        high = np.full(len(tests), len(order), np.int64)
         for _ in range(len(order).bit_length()):
             open_ = np.flatnonzero(low < high)
             middle = (low[open_] + high[open_]) // 2
-            differ = shard[order[middle][:, None] + steps] - self.tests[open_]
+            differ = shard[order[middle][:, None] + steps] - tests[open_]
             differ[~inside[open_]] = 0
             first = (differ != 0).argmax(axis=1)
             sign = differ[np.arange(len(open_)), first]
@@ -118,39 +142,75 @@ class Suffixes:
             high[open_[~right]] = middle[~right]
         return low
 
+    def _longest(self, places: np.ndarray, kinds: np.ndarray) -> int:
+        """Words of the longest match of one text (places ascending): windows that begin next to one
+        another in the text and in an item go on."""
+        best, before, seen, length = 0, -2, None, None
+        short = self.width[kinds] < self.window
+        if short.any():  # a whole short item
+            best = int(self.width[kinds[short]].max())
+        places, kinds = places[~short], kinds[~short]
+        turns = np.flatnonzero(np.append(True, np.diff(places) != 0)) if len(places) else places
+        for begin, end in zip(turns, [*turns[1:], len(places)], strict=False):
+            place = int(places[begin])
+            # Windows that differ only behind their last word stand at one place.
+            here = np.sort(
+                np.concatenate([self.places[self.starts[k] : self.starts[k + 1]] for k in kinds[begin:end]])
+            )
+            now = np.full(len(here), self.window, np.int64)
+            if place == before + 1:
+                at = np.searchsorted(seen, here - 1)
+                at[at == len(seen)] = 0
+                on = seen[at] == here - 1
+                now[on] = length[at[on]] + 1
+            best = max(best, int(now.max()))
+            before, seen, length = place, here, now
+        return best
+
     def judge(self, texts: list[str | None]) -> list[dict]:
         """Hits of each text."""
         get = self.codes.get
         lists = [plain_words(t) for t in texts]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         starts = np.append(0, np.cumsum(sizes + 1))  # a gap after each text
-        codes = np.zeros(starts[-1], np.int64)
+        codes = np.zeros(starts[-1], np.int32)
         for start, size, words in zip(starts, sizes, lists, strict=False):
-            codes[start : start + size] = np.fromiter((get(w, 0) for w in words), np.int64, size)
+            codes[start : start + size] = np.fromiter((get(w, 0) for w in words), np.int32, size)
         out = [{"n_words": int(n), "spans": [], "items": [], "longest": 0} for n in sizes]
-        places, tests = self.find(codes)
+        places, kinds = self.find(codes)
         if not len(places):
             return out
-        owner, width = self.owner[tests], self.width[tests]
-        # Windows on one diagonal that begin next to one another are one longer match.
-        order = np.lexsort((places, places - self.offset[tests], owner))
-        places, owner, width = places[order], owner[order], width[order]
-        along = places - self.offset[tests][order]
-        new = (np.diff(places) != 1) | (np.diff(along) != 0) | (np.diff(owner) != 0)
-        first = np.flatnonzero(np.append(True, new))
-        begin, end = places[first], (places + width)[np.append(first[1:] - 1, len(places) - 1)]
-        doc = np.searchsorted(starts, begin, "right") - 1
-        for d, n, b, e in zip(doc, owner[first], begin - starts[doc], end - starts[doc], strict=False):
-            out[d]["spans"].append((int(b), int(e)))
-            out[d]["items"] += self.names[n]
-        for d in np.unique(doc):
-            found = out[d]
-            found["longest"] = max(e - b for b, e in found["spans"])
-            found["items"] = sorted(set(found["items"]))
-            found["spans"] = [{"start": b, "end": e} for b, e in joined(found["spans"])]
+        order = np.lexsort((kinds, places))
+        places, kinds = places[order], kinds[order]
+        ends = places + self.width[kinds]
+        doc = np.searchsorted(starts, places, "right") - 1
+        turns = np.flatnonzero(np.append(True, np.diff(doc) != 0))
+        for begin, end in zip(turns, [*turns[1:], len(doc)], strict=True):
+            found, start = out[doc[begin]], starts[doc[begin]]
+            pairs = zip((places[begin:end] - start).tolist(), (ends[begin:end] - start).tolist(), strict=True)
+            found["spans"] = [{"start": b, "end": e} for b, e in joined(list(pairs))]
+            found["longest"] = self._longest(places[begin:end], kinds[begin:end])
+            owners = np.unique(
+                np.concatenate([self.owners[n] for n in np.unique(self.of_kind[kinds[begin:end]])])
+            )
+            found["items"] = sorted({name for n in owners for name in self.names[n]})
         return out
 
 
+#: Test suffixes that are looked up at once.
+LOOKED_UP = 100_000
+
+
+def _ranks(words: np.ndarray, window: int) -> np.ndarray:
+    """Ranks of the suffixes by their first words, a window at least, by doubling."""
+    rank, size = words.astype(np.int64), 1
+    while size < window:
+        key = rank * (int(rank.max()) + 1) + np.append(rank[size:], np.zeros(min(size, len(rank)), np.int64))
+        rank = np.unique(key, return_inverse=True)[1]
+        size *= 2
+    return rank
+
+
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans as few that do not touch."""
     out: list[tuple[int, int]] = []
@@ -184,19 +244,10 @@ def _match_udf(items, window: int):
     return match
 
 
-def _blocks(tests: DataFrame, item: str, text: str, most: int) -> list:
-    """The test items as broadcasts of at most about ``most`` bytes (one item is not split)."""
-    spark = tests.sparkSession
-    named = tests.select(
+def _named(tests: DataFrame, item: str, text: str) -> DataFrame:
+    return tests.select(
         F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text")
     ).where("length(text) > 0")
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-size // most)
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(count)) if count > 1 else F.lit(0)
-    return [
-        spark.sparkContext.broadcast([tuple(r) for r in named.where(part == n).collect()])
-        for n in range(count)
-    ]
 
 
 def with_matches(
@@ -211,25 +262,48 @@ def with_matches(
 ) -> DataFrame:
     """Add a struct: number of words, hit word spans (joined, end exclusive), ids of the test
     items with windows in the text, and the words of the longest verbatim match."""
-    small_batches(docs.sparkSession)
-    parts, out = [], docs
-    for block in _blocks(tests, item, item_text, block_bytes) or [_empty(docs)]:
-        parts.append(free_name("matches_part", out))
-        out = out.withColumn(parts[-1], _match_udf(block, window)(F.col(text)))
-    return out.withColumn(into, _together([F.col(p) for p in parts])).drop(
-        *[p for p in parts if p != into]
-    )
-
-
-def _empty(docs: DataFrame):
-    return docs.sparkSession.sparkContext.broadcast([])
-
+    spark = docs.sparkSession
+    small_batches(spark)
+    named = _named(tests, item, item_text)
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, -(-size // block_bytes))
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(count)) if count > 1 else F.lit(0)
 
-def _together(parts: list[Column]) -> Column:
-    """The matches of all blocks as one."""
-    if len(parts) == 1:
-        return parts[0]
-    spans = F.array_sort(F.flatten(F.array(*[p["spans"] for p in parts])))
+    def block(n: int):
+        """One block of test items, of about ``block_bytes`` (one item is not split)."""
+        return spark.sparkContext.broadcast([tuple(r) for r in named.where(part == n).collect()])
+
+    if count == 1:
+        return docs.withColumn(into, _match_udf(block(0), window)(F.col(text)))
+    # One pass for each block: only what it hits is written, and its broadcast is given back.
+    row, found = free_name("row", docs), free_name("found", docs)
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    parts = []
+    for n in range(count):
+        items = block(n)
+        matched = rows.select(row, _match_udf(items, window)(F.col(text)).alias(found))
+        hits = matched if n == 0 else matched.where(F.size(F.col(found)["spans"]) > 0)
+        parts.append(stored(hits, "hits"))
+        items.destroy()
+    # At most as many rows as blocks for each document; the first block has them all.
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    merged = every.groupBy(row).agg(F.collect_list(found).alias(found))
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    return rows.join(merged, row).select(*[F.col(f"`{c}`") for c in kept], _together(F.col(found)).alias(into))
+
+
+def _together(parts: Column) -> Column:
+    """The matches of several blocks as one."""
+
+    def all_of(name: str) -> Column:
+        return F.flatten(F.transform(parts, lambda p: p[name]))
+
+    def most(name: str) -> Column:
+        return F.array_max(F.transform(parts, lambda p: p[name])).alias(name)
+
+    spans = F.array_sort(all_of("spans"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
     def join(done: Column, span: Column) -> Column:
@@ -243,12 +317,10 @@ def _together(parts: list[Column]) -> Column:
         )
 
     return F.struct(
-        parts[0]["n_words"].alias("n_words"),
+        most("n_words"),
         F.aggregate(spans, empty, join).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[p["items"] for p in parts])))).alias(
-            "items"
-        ),
-        F.greatest(*[p["longest"] for p in parts]).alias("longest"),
+        F.array_sort(F.array_distinct(all_of("items"))).alias("items"),
+        most("longest"),
     )
 
 

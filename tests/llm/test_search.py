@@ -160,6 +160,62 @@ def test_pieces_cover_each_notice():
         assert "".join(p for _, p in pieces) == notice.wording
 
 
+def distance(a, b):
+    """Levenshtein distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_notices_inside_longer_words():
+    finder = licenses.finder(licenses.NOTICES)
+
+    def found(text):
+        return [(p["label"], p["word"], p["end_word"], p["edits"]) for p in finder.judge(text)["places"]]
+
+    assert found("x sublicensed under a creative commons attribution y") == [("cc-by", 1, 7, 3)]
+    assert found("Mozilla public licenses") == [("mpl", 0, 3, 1)]
+    assert found("all rights reserved2024") == []  # four letters more than two edits
+    assert found("all rights reservedxy, all rights reserved") == [
+        ("proprietary", 0, 3, 2), ("proprietary", 3, 6, 0),
+    ]
+
+
+def test_labels_equal_a_levenshtein_loop():
+    """A notice is found if and only if some words of the text are within its bound."""
+    rng = random.Random(17)
+    notices = [n for n in licenses.NOTICES if len(n.wording) < 40]
+    finder = licenses.finder(tuple(notices))
+    for _ in range(250):
+        notice, text = rng.choice(notices), []
+        for _ in range(rng.randint(1, 2)):
+            letters = list(notice.wording)
+            for _ in range(rng.randint(0, notice.edits + 1)):
+                at = rng.randrange(len(letters))
+                letters[at] = rng.choice(["", letters[at] + rng.choice("abc1 "), rng.choice("abc1 ")])
+            text += [rng.choice(["", "x ", "the "]), "".join(letters), rng.choice(["", " of it", "s", "2024"]), " "]
+        text = "".join(text)
+        own = words(text)
+        want = set()
+        for n in notices:
+            size = n.wording.count(" ") + 1
+            spans = (
+                " ".join(own[i:j])
+                for i in range(len(own))
+                for j in range(i + 1, min(len(own), i + size + n.edits) + 1)
+            )
+            if any(distance(s, n.wording) <= n.edits for s in spans):
+                want.add(n.label)
+        places = finder.judge(text)["places"]
+        assert {p["label"] for p in places} == want, text
+        for p in places:
+            span = " ".join(own[p["word"] : p["end_word"]])
+            assert p["edits"] == min(distance(span, n.wording) for n in notices if n.label == p["label"])
+
+
 def test_license_query(spark, sf_dir):
     docs = {
         r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
@@ -181,3 +237,69 @@ def test_license_columns_stay(spark):
     got = licenses.with_notices(docs).select("places", F.size("notices.places").alias("n")).collect()
     assert sorted(r.n for r in got) == [0, 1] and {r.places for r in got} == {"n"}
     assert licenses.with_notices(docs.limit(0)).count() == 0
+
+
+def longest_by_loops(text, items):
+    """Words of the longest run that a text and an item share, of at least a window."""
+    own, best = words(text), 0
+    for item in items:
+        theirs = words(item)
+        if theirs and len(theirs) < decontamination.WINDOW:
+            n = len(theirs)
+            if any(own[k : k + n] == theirs for k in range(len(own) - n + 1)):
+                best = max(best, n)
+        for i in range(len(own)):
+            for j in range(len(theirs)):
+                n = 0
+                while i + n < len(own) and j + n < len(theirs) and own[i + n] == theirs[j + n]:
+                    n += 1
+                if n >= decontamination.WINDOW:
+                    best = max(best, n)
+    return best
+
+
+def test_longest_match_of_items_with_shared_parts():
+    rng = random.Random(31)
+    vocabulary = [f"w{n}" for n in range(30)]
+    opening = rng.choices(vocabulary, k=20)
+    for _ in range(25):
+        items = [" ".join(opening + rng.choices(vocabulary, k=rng.randint(0, 8))) for _ in range(6)]
+        items += [" ".join(rng.choices(vocabulary, k=4))]
+        text = rng.choices(vocabulary, k=10)
+        for _ in range(3):
+            part = rng.choice(items).split()
+            begin = rng.randrange(len(part))
+            text += part[begin : begin + rng.randint(5, 30)] + rng.choices(vocabulary, k=rng.randint(0, 3))
+        text = " ".join(text)
+        found = Suffixes([(str(n), t) for n, t in enumerate(items)]).judge([text])[0]
+        assert found["longest"] == longest_by_loops(text, items)
+
+
+def test_a_common_opening_is_looked_up_once():
+    """A thousand items with one opening, and texts that have it: memory by distinct windows."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    opening = " ".join(f"o{n}" for n in range(30))
+    items = [(f"i{n:04}", f"{opening} {' '.join(f'x{rng.randrange(10**6)}' for _ in range(20))}") for n in range(1000)]
+    suffixes = Suffixes(items)
+    texts = [f"some text {n} {opening} and more of it" for n in range(300)]
+    tracemalloc.start()
+    found = suffixes.judge(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(f["longest"] == 30 and len(f["items"]) == 1000 for f in found)
+    assert peak < 100e6
+
+
+def test_blocks_of_items_one_pass_each(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{n}" for n in range(60)]
+    items = [(n, " ".join(rng.choices(vocabulary, k=rng.choice([3, 14, 40])))) for n in range(40)]
+    rows = [(n, " ".join(rng.choices(vocabulary, k=20)) + " " + rng.choice(items)[1], n) for n in range(60)]
+    docs = spark.createDataFrame([*rows, (None, None, 0), (1, "", 1)], "doc_id long, text string, row int")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    one = with_matches(docs, tests)
+    many = with_matches(docs, tests, block_bytes=900)
+    assert many.columns == one.columns
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
