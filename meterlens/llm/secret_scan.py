@@ -15,7 +15,7 @@ given several times is several versions of its path, and each gets the findings.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -95,9 +95,58 @@ def spans(text: Column, rule: Rule, order: int = 0) -> Column:
         found = F.when(m["measured"] >= rule.least, F.concat(done["found"], F.array(span)))
         return F.struct(end.alias("at"), found.otherwise(done["found"]).alias("found"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(NO_SPANS).alias("found"))
-    found = F.aggregate(sizes, zero, step, lambda done: done["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(NO_SPANS))
+    def placed(group: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast(NO_SPANS).alias("found"))
+        return F.aggregate(group, zero, step, lambda done: done["found"])
+
+    def width(group: Column) -> Column:
+        sizes = F.transform(group, lambda m: (m["before"] + m["size"]).cast("long"))
+        return F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    found = _by_groups(sizes, width, lambda a, x: a + x, placed)
+    return F.when(text.rlike(rule.pattern), F.flatten(found)).otherwise(F.array().cast(NO_SPANS))
+
+
+#: Findings of a text that are placed one after the other; what is gathered is copied with each, so
+#: groups of findings are placed by themselves.
+GROUP = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _by_groups(
+    items: Column,
+    measure: Callable[[Column], Column],
+    add: Callable[[Column, Column], Column],
+    make: Callable[[Column, Column], Column],
+) -> Column:
+    """What ``make`` gives for each group of consecutive items and the position before it. Positions
+    begin with 0; ``add`` moves one by the ``measure`` of a group."""
+
+    def grouped(every: Column) -> Column:
+        last = F.floor((F.array_size(every) - 1) / GROUP).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda n: F.slice(every, n * GROUP + 1, F.lit(GROUP)),
+        )
+
+    def positions(groups: Column) -> Column:
+        zero = F.array(F.lit(0).cast("long"))
+        return F.aggregate(
+            F.transform(groups, measure),
+            zero,
+            lambda done, x: F.concat(done, F.array(add(F.element_at(done, -1), x))),
+        )
+
+    return _let(
+        _let(items, grouped),
+        lambda groups: F.zip_with(
+            groups, F.slice(positions(groups), F.lit(1), F.array_size(groups)), make
+        ),
+    )
 
 
 def blob_of(text: Column) -> Column:
@@ -219,23 +268,35 @@ def span_digest(found: Column) -> Column:
 
 
 def masked(text: Column, found: Column) -> Column:
-    """The text with every span, or run of overlapping spans, replaced by ``MASK``."""
-
-    def step(done: Column, s: Column) -> Column:
-        start, end = s["start"].cast("int"), s["end"].cast("int")
-        new = F.concat(
-            done["text"], F.substr(text, done["at"] + 1, start - done["at"]), F.lit(MASK)
-        )
-        inside = (done["at"] > 0) & (start < done["at"])
-        return F.struct(
-            F.when(inside, done["text"]).otherwise(new).alias("text"),
-            F.greatest(done["at"], end).alias("at"),
-        )
-
-    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    return F.aggregate(
-        found, zero, step, lambda done: F.concat(done["text"], F.substr(text, done["at"] + 1))
-    )
+    """The text with every span, or run of overlapping spans, replaced by ``MASK``. The spans are
+    in the order of their starts; groups of them are masked in the stretch of text that they take."""
+
+    def reach(group: Column) -> Column:
+        return F.array_max(F.transform(group, lambda s: s["end"]))
+
+    def stretch(group: Column, before: Column) -> Column:
+        upto = F.greatest(before, reach(group))
+        part = F.substr(text, (before + 1).cast("int"), (upto - before).cast("int"))
+        return _let(part, lambda own: hidden(own, group, before))
+
+    def hidden(own: Column, group: Column, before: Column) -> Column:
+        def step(done: Column, s: Column) -> Column:
+            skipped = F.substr(
+                own, (done["at"] - before + 1).cast("int"), (s["start"] - done["at"]).cast("int")
+            )
+            new = F.concat(done["text"], skipped, F.lit(MASK))
+            inside = (done["at"] > 0) & (s["start"] < done["at"])
+            return F.struct(
+                F.when(inside, done["text"]).otherwise(new).alias("text"),
+                F.greatest(done["at"], s["end"]).alias("at"),
+            )
+
+        zero = F.struct(F.lit("").alias("text"), before.alias("at"))
+        return F.aggregate(group, zero, step, lambda done: done["text"])
+
+    parts = _by_groups(found, reach, lambda a, x: F.greatest(a, F.coalesce(x, a)), stretch)
+    rest = F.substr(text, (F.coalesce(reach(found), F.lit(0)) + 1).cast("int"))
+    return F.concat(F.array_join(parts, ""), rest)
 
 
 def mask_secrets(
