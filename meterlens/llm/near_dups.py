@@ -50,8 +50,9 @@ LANES = 64 // BITS
 #: estimate under the similarity of a link.
 LEAST_ESTIMATE = 0.55
 
-#: Texts of a bucket that are compared in one task; larger buckets are cut into blocks.
-BLOCK_TEXTS = 1024
+#: Texts of a bucket that are compared in one task, and their shingles together; larger buckets are
+#: cut into blocks. The bits that a task keeps are at most one for each pair of a text and a shingle.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 400_000
 
 _random = np.random.default_rng(9)
 _ODD32 = (_random.integers(0, 2**31, MINIMA, dtype=np.uint32) * 2 + 1).astype(np.uint32)
@@ -261,6 +262,7 @@ class NearDuplicates:
             .groupBy("node")
             .agg(
                 F.min("doc_id").alias("doc_id"),
+                F.first("n_shingles").alias("n"),
                 F.first("bands").alias("bands"),
                 F.first("bits").alias("bits"),
             ),
@@ -270,7 +272,7 @@ class NearDuplicates:
 
     def _roots(self) -> DataFrame:
         """(node, root) of the nodes that are linked with another."""
-        rows = self.nodes.select("node", F.explode("bands").alias("key"))
+        rows = self.nodes.select("node", "n", F.explode("bands").alias("key"))
         buckets = (
             rows.groupBy("key")
             .agg(F.min("node").alias("center"), F.max("node").alias("most"))
@@ -306,14 +308,22 @@ class NearDuplicates:
         key, first and second block, own block, node, root, hashes. Every two blocks of a bucket
         are together once, in rows that follow each other."""
         placed = members.join(roots, "node", "left").select(
-            "key", "node", F.coalesce("root", "node").alias("root")
+            "key", "node", "n", F.coalesce("root", "node").alias("root")
+        )
+        blocks = F.greatest(
+            F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)
         )
         # The smallest text of a bucket has been held against all others, so two are done.
         mixed = (
             placed.groupBy("key")
-            .agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
-            .where("least < most AND n > 2")
-            .select("key", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("blocks"))
+            .agg(
+                F.min("root").alias("least"),
+                F.max("root").alias("most"),
+                F.count("*").alias("texts"),
+                F.sum("n").alias("shingles"),
+            )
+            .where("least < most AND texts > 2")
+            .select("key", blocks.cast("int").alias("blocks"))
         )
         rows = stored(placed.join(mixed, "key"), "mixed")
         texts = self._texts(rows.select("node").distinct())
