@@ -10,7 +10,8 @@ The counts are taken over all training rows by Spark and stay in stored tables,
 number of languages. The words seen most often are broadcast with their scores in all languages, as
 many as ``COMMON_CELLS`` allows; texts are scored by these where they lie. Words of a text that are
 not among them are looked up in the tables by joins, each distinct word once. Which words are
-broadcast changes the cost, never a score: scores are whole billionths, so sums have no order.
+broadcast changes the cost, never a score: scores are whole billionths, so sums have no order. A word
+that is looked up goes with its text as a 64-bit hash; the word itself is handed on once a task.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing
 was learned. Rows without a language teach nothing. Repeated rows count each.
@@ -26,9 +27,11 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterlens.llm.common import (
     Memo,
@@ -41,7 +44,7 @@ from meterlens.llm.common import (
 
 LONGEST_GRAM = 4
 #: Scores (words times languages) that are broadcast; all others are joined.
-COMMON_CELLS = 400_000
+COMMON_CELLS = 1_000_000
 #: Scores of n-grams of one length up to which Spark may broadcast their table.
 GRAM_CELLS = 1_000_000
 #: Score (base 10 logarithm) of what a language does not know.
@@ -56,7 +59,10 @@ CHUNKS = 500_000
 
 PREDICTION = "lang string, score double"
 GAINS = "array<struct<place: int, gain: long>>"
-SCORED = "gains array<long>, words long, rest array<struct<word: string, n: long>>"
+SCORED = (
+    "gains array<long>, words long, rest array<struct<w: long, n: int>>, "
+    "new array<struct<w: long, word: string>>"
+)
 
 _letters = regex.compile(r"\p{L}+")
 
@@ -101,6 +107,28 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(counts)
 
 
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams of words by language and size, summed as far as a task's memory allows."""
+
+    def rows(counts: dict[tuple[str, int], Counter]) -> pa.RecordBatch:
+        flat = [(lang, size, g, n) for (lang, size), c in counts.items() for g, n in c.items()]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
+        columns = [pa.array([r[k] for r in flat], kind) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "entry", "n"])
+
+    counts: dict[tuple[str, int], Counter] = {}
+    for batch in batches:
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for size in range(1, LONGEST_GRAM + 1):
+                own = counts.setdefault((lang, size), Counter())
+                for g in grams(word, size):
+                    own[g] += n
+        if sum(map(len, counts.values())) > 500_000:
+            yield rows(counts)
+            counts = {}
+    yield rows(counts)
+
+
 class LanguageModel:
     """Languages, and tables of words and n-grams (``entry``), each with its gain in every language
     that has it (``gains``, by place among the languages)."""
@@ -197,10 +225,10 @@ def learn(rows: DataFrame, lang: str = "lang", text: str = "text") -> LanguageMo
     places = spark.createDataFrame(
         [(name, n) for n, name in enumerate(languages)], "lang string, place int"
     )
-    pieces = [_gram_column(F.col("entry"), size) for size in range(1, LONGEST_GRAM + 1)]
     counted = (
-        words.select("lang", "n", F.explode(F.concat(*pieces)).alias("g"))
-        .groupBy("lang", F.col("g.size").alias("size"), F.col("g.entry").alias("entry"))
+        words.select("lang", "entry", "n")
+        .mapInArrow(_gram_counts, "lang string, size int, entry string, n long")
+        .groupBy("lang", "size", "entry")
         .agg(F.sum("n").alias("n"))
     )
     return LanguageModel(
@@ -217,14 +245,16 @@ class _Scorer:
         self.places, self.gains = common
         self.chunks = Memo(self._chunk, CHUNKS)
 
-    def _chunk(self, chunk: str) -> tuple[int | str, ...]:
-        """Places of common words, and other words as they are."""
-        return tuple(self.places.get(w, w) for w in words_in(chunk))
+    def _chunk(self, chunk: str) -> tuple[int | tuple[int, str], ...]:
+        """Places of common words, and other words as they are, with their hashes."""
+        return tuple(
+            place if (place := self.places.get(w)) is not None else (_hash(w), w) for w in words_in(chunk)
+        )
 
-    def score(self, text: str) -> tuple[list[int], int, list[tuple[str, int]]]:
+    def score(self, text: str | None) -> tuple[list[int], int, dict[tuple[int, str], int]]:
         """Gains of the common words, number of all words, and the other words with counts."""
         at, times, rest = [], [], {}
-        for chunk, n in Counter(text.split()).items():
+        for chunk, n in Counter(text.split() if text else ()).items():
             for word in self.chunks[chunk]:
                 if word.__class__ is int:
                     at.append(word)
@@ -232,7 +262,12 @@ class _Scorer:
                 else:
                     rest[word] = rest.get(word, 0) + n
         gains = np.array(times, np.int64) @ self.gains[np.array(at, np.int64)]
-        return gains.tolist(), sum(times) + sum(rest.values()), list(rest.items())
+        return gains.tolist(), sum(times) + sum(rest.values()), rest
+
+
+def _hash(word: str) -> int:
+    """64 bits, signed."""
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
 #: The scorer of the model that this worker used last, by the model's name.
@@ -246,78 +281,108 @@ def _scorer(name: str, common) -> _Scorer:
     return _scorers[name]
 
 
-def _score_udf(common):
-    """common: broadcast places of words, and their gains by place."""
+#: Words that a task remembers to have handed on.
+GIVEN = 1_000_000
+
+
+def _score(common):
+    """common: broadcast places of words, and their gains by place. The last column is the text;
+    those before it are kept. A word that is not common is named by its hash; the word itself is
+    handed on with the first text of the task that has it."""
     name = uuid.uuid4().hex
-    pair = pa.struct({"word": pa.string(), "n": pa.int64()})
-    kind = pa.struct({"gains": pa.list_(pa.int64()), "words": pa.int64(), "rest": pa.list_(pair)})
-
-    @F.arrow_udf(SCORED)
-    def score(texts: pa.Array) -> pa.Array:
-        scorer = _scorer(name, common)
-        parts = []
-        for part in text_slices(texts):
-            scorer.chunks.trim()
-            gains, words, rest = zip(*map(scorer.score, part), strict=True)
-            sizes = np.cumsum([0, *map(len, rest)])
-            pairs = [pa.array([p[n] for r in rest for p in r], pair[n].type) for n in (0, 1)]
-            pairs = pa.StructArray.from_arrays(pairs, fields=list(pair))
-            rest = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)
-            columns = [pa.array(gains, kind[0].type), pa.array(words, pa.int64()), rest]
-            parts.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
-        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    def pairs(rows: list[list[tuple]], kinds: list[pa.Field]) -> pa.Array:
+        sizes = np.cumsum([0, *map(len, rows)])
+        flat = [pa.array([p[n] for r in rows for p in r], kind.type) for n, kind in enumerate(kinds)]
+        return pa.ListArray.from_arrays(
+            pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(flat, fields=kinds)
+        )
+
+    w, n = pa.field("w", pa.int64()), pa.field("n", pa.int32())
+    word = pa.field("word", pa.string())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, given = _scorer(name, common), set()
+        for batch in batches:
+            gains, words, rest, new = [], [], [], []
+            for part in text_slices(batch.columns[-1]):
+                scorer.chunks.trim()
+                if len(given) > GIVEN:
+                    given.clear()
+                for text in part:
+                    gain, count, others = scorer.score(text)
+                    gains.append(gain)
+                    words.append(count)
+                    rest.append([(key[0], times) for key, times in others.items()])
+                    new.append(fresh := [key for key in others if key[0] not in given])
+                    given.update(key[0] for key in fresh)
+            columns = [
+                pa.array(gains, pa.list_(pa.int64())),
+                pa.array(words, pa.int64()),
+                pairs(rest, [w, n]),
+                pairs(new, [w, word]),
+            ]
+            kept = batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *columns], [*kept, "gains", "words", "rest", "new"]
+            )
 
     return score
 
 
 def _common(model: LanguageModel) -> tuple[dict[str, int], np.ndarray]:
     """The words seen most often, as many as may be broadcast, with their gains."""
-    words = model.word_table.withColumn("all", F.lit(0))
-    rows = _top(words, COMMON_CELLS // len(model.languages), "all").select("entry", "gains").collect()
-    gains = np.zeros((len(rows), len(model.languages)), np.int64)
-    for n, r in enumerate(rows):
-        for place, gain in r["gains"]:
-            gains[n, place] = gain
-    return {r["entry"]: n for n, r in enumerate(rows)}, gains
+    count = len(model.languages)
+    words = _top(model.word_table.withColumn("all", F.lit(0)), COMMON_CELLS // count, "all")
+    table = _dense(words, count, "word").toArrow()
+    gains = np.stack([table[f"g{n}"].to_numpy() for n in range(count)], axis=1)
+    return {word: n for n, word in enumerate(table["word"].to_pylist())}, gains
+
+
+def _dense(table: DataFrame, languages: int, key: str) -> DataFrame:
+    """The gains of a table's entries as one column per language, 0 where it has none."""
+
+    def gain(place: int) -> Column:
+        own = F.filter("gains", lambda g: g["place"] == place)
+        return F.coalesce(F.get(own, F.lit(0))["gain"], F.lit(0).cast("long")).alias(f"g{place}")
+
+    return table.select(F.col("entry").alias(key), *map(gain, range(languages)))
 
 
 def _gains_of(words: DataFrame, model: LanguageModel) -> DataFrame:
-    """Rows ``word, place, gain`` of distinct words, by their own counts or else by n-grams."""
-    table = model.word_table.select(F.col("entry").alias("word"), "gains")
+    """Gains (g0, g1, ...) of distinct words (w, word), by their own counts or else by n-grams."""
+    count = len(model.languages)
+    names = [f"g{n}" for n in range(count)]
+    table = _dense(model.word_table, count, "word")
     looked = stored(words.join(table, "word", "left"), "looked")
-    out = looked.where("gains IS NOT NULL").select("word", F.inline("gains"))
-    left = looked.where("gains IS NULL").select("word")
+    out = looked.where("g0 IS NOT NULL").select("w", *names)
+    left = looked.where("g0 IS NULL").select("w", "word")
     for size in range(LONGEST_GRAM, 0, -1):
         if left.isEmpty():
             break
-        table = model.gram_table.where(F.col("size") == size).select("entry", "gains")
-        pieces = left.select("word", F.explode(_gram_column(F.col("word"), size)).alias("g"))
-        met = pieces.select("word", F.col("g.entry").alias("entry")).join(
-            fit_to_broadcast(table, GRAM_CELLS // len(model.languages)), "entry"
+        grams_of = stored(
+            _dense(model.gram_table.where(F.col("size") == size), count, "entry"), "dense"
         )
-        # A word has at most as many n-grams as letters, or one more.
-        found = stored(
-            met.groupBy("word").agg(
-                F.count("*").alias("met"), F.flatten(F.collect_list("gains")).alias("gains")
-            ),
-            "found",
+        pieces = left.select("w", F.explode(_gram_column(F.col("word"), size)).alias("g"))
+        met = pieces.select("w", F.col("g.entry").alias("entry")).join(
+            fit_to_broadcast(grams_of, GRAM_CELLS // count), "entry"
         )
-        summed = found.select("word", "met", F.inline("gains")).groupBy("word", "place")
-        mean = F.round(F.sum("gain") / F.first("met")).cast("long")
-        out = out.unionByName(summed.agg(mean.alias("gain")))
-        left = stored(left.join(found.select("word"), "word", "left_anti"), "left")
+        mean = [F.round(F.sum(g) / F.count("*")).cast("long").alias(g) for g in names]
+        found = stored(met.groupBy("w").agg(*mean), "found")
+        out = out.unionByName(found)
+        left = stored(left.join(found.select("w"), "w", "left_anti"), "left")
     return out
 
 
 def _decide_udf(languages: list[str]):
     kind = pa.struct({"lang": pa.string(), "score": pa.float64()})
 
-    def decide(gains: list[int], words: int, more: list[dict] | None) -> dict:
+    def decide(gains: list[int], words: int, more: list[int] | None) -> dict:
         if not words:
             return {"lang": UNKNOWN, "score": 0.0}
         total = np.array(gains, np.int64)
-        for m in more or ():
-            total[m["place"]] += m["gain"]
+        if more is not None:
+            total += np.array(more, np.int64)
         best = int(total.argmax())
         # Probability of the best, were each word an independent draw from a language.
         share = np.sum(10.0 ** np.maximum((total - total[best]) / PARTS, -300))
@@ -332,37 +397,42 @@ def _decide_udf(languages: list[str]):
 
 
 def with_language(
-    docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "predicted"
+    docs: DataFrame,
+    model: LanguageModel,
+    text: str = "text",
+    into: str = "predicted",
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Add a struct of the predicted language and its score."""
+    """Add a struct of the predicted language and its score. ``keep`` names the columns to keep; all
+    by default."""
     spark = docs.sparkSession
     small_batches(spark)
-    unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    columns = [c for c in (docs.columns if keep is None else keep) if c.lower() != into.lower()]
+    kept = [F.col(f"`{c}`") for c in columns]
     if not model.languages:
-        return docs.withColumn(into, unknown)
-    # Equal texts have equal predictions: a text is known by its hash, and scores are kept once.
-    digest = F.unhex(F.md5(F.col(text).cast("binary")))
-    score = _score_udf(spark.sparkContext.broadcast(_common(model)))
-    texts = docs.select(digest.alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
-    scored = texts.select("key", score(F.col("text")).alias("s")).select("key", "s.*")
-    scored = stored(scored.dropDuplicates(["key"]), "scored")
-    rest = scored.select("key", F.inline("rest"))
-    gains = _gains_of(rest.select("word").distinct(), model)
+        unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+        return docs.select(*kept, unknown.alias(into))
+    rows = docs.select(
+        *[c.alias(f"kept{n}") for n, c in enumerate(kept)], F.col(text).alias("text")
+    )
+    schema = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string(SCORED).fields])
+    step = _score(spark.sparkContext.broadcast(_common(model)))
+    # The ids of rows are written with them, so they stay the same.
+    scored = stored(
+        rows.mapInArrow(step, schema).withColumn("row", F.monotonically_increasing_id()), "scored"
+    )
+    words = scored.select(F.inline("new")).groupBy("w").agg(F.first("word").alias("word"))
+    names = [f"g{n}" for n in range(len(model.languages))]
+    sums = [F.sum(F.col("n") * F.col(g)) for g in names]
     more = (
-        rest.join(gains, "word")
-        .groupBy("key", "place")
-        .agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("place", "gain")).cast(GAINS).alias("more"))
+        scored.select("row", F.inline("rest"))
+        .join(stored(_gains_of(words, model), "gains"), "w")
+        .groupBy("row")
+        .agg(F.array(*sums).alias("more"))
     )
     decided = _decide_udf(model.languages)(F.col("gains"), F.col("words"), F.col("more"))
-    key, found = free_name("key", docs), free_name("found", docs)
-    predicted = stored(scored.join(more, "key", "left").select("key", decided.alias("found")), "decided")
-    predicted = predicted.toDF(key, found)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()]
-    # The longest side is the documents, and many may be equal: a split of skewed joins spreads them.
     return (
-        docs.withColumn(key, digest)
-        .join(predicted, key, "left")
-        .select(*kept, F.coalesce(F.col(found), unknown).alias(into))
+        scored.drop("rest", "new")
+        .join(more, "row", "left")
+        .select(*[F.col(f"kept{n}").alias(c) for n, c in enumerate(columns)], decided.alias(into))
     )

@@ -127,7 +127,8 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     held_out = F.coalesce(fold == HELD_OUT_FOLD, F.lit(False))
     model = language.learn(docs.where(~held_out))
-    return language.with_language(docs.select("doc_id", "text"), model).select(
+    found = language.with_language(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select(
         "doc_id",
         held_out.alias("held_out"),
         F.col("predicted.lang").alias("lang_pred"),

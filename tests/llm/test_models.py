@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 from collections import Counter
 from math import log10
 
@@ -182,6 +183,107 @@ def test_classes_that_only_look_like_marks():
         assert main_text(html) == "Title\nText, here. And here.\nOther text, at the end.", name
 
 
+def flat(*around, after=""):
+    """A page without article, main, or other tags that tell its parts."""
+    story = "".join(f"<p>Sentence {n}, of the story, is here. It goes on, for a while.</p>" for n in range(12))
+    want = [f"Sentence {n}, of the story, is here. It goes on, for a while." for n in range(12)]
+    html = f"<body>{''.join(around)}<h1>Headline</h1>{story}{after}</body>"
+    return html, "\n".join(["Headline", *want])
+
+
+def test_flat_pages():
+    """What the tags don't tell, names, paths and links do."""
+    links = "".join(f"<li><a href='/{n}'>Place {n}</a></li>" for n in range(9))
+    before = [
+        '<div id="header"><p>The Daily Site, since 1900.</p></div>',
+        '<div class="masthead">The Daily Site</div>',
+        '<div class="top-menu-bar"><a href="/">Home</a> <a href="/x">About, and more</a></div>',
+        f"<ul>{links}</ul>",
+        "<div class='x1'><p>Edition of today</p></div>",
+        "<div><div>Weather</div><div>Sport</div></div>",
+    ]
+    owner = "Copyright 2024 The Daily Site, its owners, and all who write for it, in all lands. " * 3
+    after = [
+        f"<p>{owner}</p>",
+        f"<div class='feedback'>{'<p>A reader writes, at some length, that it is so. Is it?</p>' * 6}</div>",
+        f"<div class='x9'><ul>{links}</ul></div>",
+        f"<table><tr><td>{links}</td></tr></table>",
+    ]
+    for part in before:
+        html, want = flat(part)
+        assert main_text(html) == want, part
+    for part in after:
+        html, want = flat(after=part)
+        assert main_text(html) == want, part
+    html, want = flat(*before, after="".join(after))
+    assert main_text(html) == want
+
+
+def test_names_inside_an_article():
+    text = "<p>Some text, of some length, in the article. More of it.</p>" * 6
+    want = ["Some text, of some length, in the article. More of it."] * 6
+    for name in ("alert", "related-work", "social-history", "notice"):
+        html = f"<body><article>{text}<div class='{name}'>Mind this, please.</div></article></body>"
+        assert main_text(html) == "\n".join([*want, "Mind this, please."]), name
+    for name in ("related_posts", "share", "social-links", "comments", "ad"):
+        html = f"<body><article>{text}<div class='{name}'>Not this, please.</div></article></body>"
+        assert main_text(html) == "\n".join(want), name
+
+
+def test_thresholds_decide(monkeypatch):
+    """With all paths, or the best one only, the flat page gives another text."""
+    box = "<div class='x1'><p>Edition of today</p></div>"
+    html, want = flat(box, after="<div class='y'><p>A last part, in a box of its own. It is as long as others.</p></div>")
+    want += "\nA last part, in a box of its own. It is as long as others."
+    assert main_text(html) == want
+    monkeypatch.setattr(html_text, "SPREAD", 0.0)
+    assert "Edition of today" in main_text(html)
+    monkeypatch.setattr(html_text, "SPREAD", 1e9)
+    assert "A last part" not in main_text(html)
+
+
+def slow_content_paths(blocks):
+    """Ratios by plain loops over pieces."""
+    kinds = {}
+    for b in blocks:
+        kinds.setdefault(b.element.path, []).append(b)
+
+    def ratio(b, measure):
+        group = kinds[b.element.path]
+        return sum(map(measure, group)) / len(group)
+
+    def smooth(n, measure):
+        total = weight = 0
+        for k, other in enumerate(blocks):
+            if abs(k - n) <= html_text.REACH:
+                w = 2.718281828459045 ** (-((k - n) ** 2) / 2)
+                total += w * ratio(other, measure)
+                weight += w
+        return total / weight
+
+    def points(b):
+        return sum(unicodedata.category(c)[0] == "P" for c in b.text)
+
+    scores = {}
+    for path, group in kinds.items():
+        at = [n for n, b in enumerate(blocks) if b.element.path == path]
+        fused = [smooth(n, lambda b: len(b.text)) * (1 + smooth(n, points)) for n in at]
+        linked = sum(len(b.text) * b.linked for b in group) / sum(len(b.text) for b in group)
+        scores[path] = sum(fused) / len(fused) * (1 - linked)
+    every = [scores[b.element.path] for b in blocks]
+    mean = sum(every) / len(every)
+    spread = (sum((x - mean) ** 2 for x in every) / len(every)) ** 0.5
+    least = min(html_text.SPREAD * spread, max(scores.values()))
+    return {p for p, x in scores.items() if x >= least - 1e-9}
+
+
+def test_content_paths_equal_plain_loops():
+    rng = random.Random(21)
+    for _ in range(40):
+        blocks = html_text.blocks_of(page(rng)[0])
+        assert html_text.content_paths(blocks) == slow_content_paths(blocks)
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
     assert main_text("<nav>a</nav>") == ""
