@@ -36,7 +36,7 @@ from meterlens.sources.tables import (
     write_readings,
 )
 from meterlens.streaming.sample import sample_latest
-from meterlens.streaming.spacing import LATE, OPEN, WRITTEN, messages_of, space, ticks
+from meterlens.streaming.spacing import LATE, OPEN, messages_of, space, ticks
 
 DECODERS = {
     TOPIC_PME5: (parse_pme5, valid_pme5, unreadable_pme5, pme5_power, pme5_temp),

@@ -5,7 +5,6 @@ import random
 from datetime import UTC, date, datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from meterlens import Mode, sample_latest
 from meterlens.operators.decode import decode_pme5
