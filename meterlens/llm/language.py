@@ -36,7 +36,6 @@ from pyspark.sql import types as T
 from meterlens.llm.common import (
     Memo,
     fit_to_broadcast,
-    free_name,
     small_batches,
     stored,
     text_slices,
