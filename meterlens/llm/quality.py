@@ -126,8 +126,8 @@ def counts(text: Column) -> Column:
             "n_capitals": F.length(F.regexp_replace(whole, "[^A-Z]+", "")),
             "n_exclamations": _count(whole, "!"),
             "n_distinct_words": x["words"]["distinct"],
-            "n_letters": F.length(F.regexp_replace(whole, r"\P{L}+", "")),
-            "n_plain": _count(whole, r"(?<![^\x20\x09-\x0D])\p{L}+[.,;:!?]?(?![^\x20\x09-\x0D])"),
+            "n_letters": F.length(whole) - F.length(F.regexp_replace(whole, r"\p{L}+", "")),
+            "n_plain": _count(whole, r"(?<![^\x20\x09-\x0D])\p{L}++[.,;:!?]?+(?![^\x20\x09-\x0D])"),
             "n_ends": _count(whole, r"[.!?]+(?=[\x20\x09-\x0D]|\z)"),
         }
         return F.struct(*[c.cast("long").alias(name) for name, c in named_counts.items()])
