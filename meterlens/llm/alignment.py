@@ -9,6 +9,7 @@ the links of tokens in the same group.
 Neither tokenizer merges over a blank that follows something else, so texts are cut there into
 words. A word's tokens, links and groups are found once in a worker for as long as it remembers the
 word, with the matrices of many words as blocks of one; a text's results are sums over its words.
+A worker's tasks share what it remembers; when there is no more room, the words met most often stay.
 
 How often two ids are linked is counted over the whole table, pre-summed in each task. The pairs that
 are linked most often are broadcast, at most ``COMMON_PAIRS``; a text's links of other pairs are
@@ -27,7 +28,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -57,7 +58,8 @@ JOINED_CHARS = 4_000
 WIDTH = 1 << 32
 
 _cut = regex.compile(r"(?<=\S) (?!\Z)")
-_odd = regex.compile(r"\A |\s | \Z")
+#: White space other than the blank, which has no more than this in Unicode.
+_WHITE = [c for c in map(chr, range(0x3001)) if c != " " and regex.match(r"\s", c)]
 
 
 class Csr(NamedTuple):
@@ -165,7 +167,8 @@ class Tokenizers:
         order, found = [], []
         joined = [" ".join([words[n] for n in part]) for part in parts]
         for part, text, tokens in zip(parts, joined, self._encoded(joined), strict=True):
-            sizes = np.array([len(words[n].encode()) + 1 for n in part])
+            one_byte = text.isascii()
+            sizes = np.array([len(words[n] if one_byte else words[n].encode()) + 1 for n in part])
             if tokens is not None:
                 order += part
                 found.append(self._split(tokens, sizes))
@@ -175,11 +178,12 @@ class Tokenizers:
             for n, one, own in zip(part, self._encoded(alone), sizes, strict=True):
                 order.append(n)
                 if one is None:
-                    found.append((np.zeros((2, 1), np.int64), [], [], np.zeros(1, bool)))
+                    none = np.zeros(0, np.int64)
+                    found.append((np.zeros((2, 1), np.int64), none, none, np.zeros(1, bool)))
                 else:
                     found.append(self._split(one, np.array([own])))
         counts = np.concatenate([np.zeros((2, 0), np.int64), *[f[0] for f in found]], axis=1)
-        ids = [np.fromiter(chain.from_iterable(f[k] for f in found), np.int64) for k in (1, 2)]
+        ids = [np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in (1, 2)]
         sound = np.concatenate([np.zeros(0, bool), *[f[3] for f in found]])
         # Back to the order of the words.
         back = np.argsort(np.array(order, np.int64), kind="stable")
@@ -206,6 +210,7 @@ class Tokenizers:
     def _split(self, tokens, sizes: np.ndarray) -> tuple:
         """How many of the tokens of joined words each word has, by their bytes."""
         ends = np.cumsum(sizes)
+        tokens = [np.fromiter(ids, np.int64, len(ids)) for ids in tokens]
         counts = []
         for table, ids in zip(self.sizes, tokens, strict=True):
             upto = np.searchsorted(np.cumsum(table[ids]), ends) + 1
@@ -266,10 +271,33 @@ class Words:
         self.gains = np.zeros((0, 2), np.int64)
         self.rare_starts = np.zeros(1, np.int64)
         self.rare = np.zeros(0, np.int64)
+        #: How often each word was met since words were forgotten last.
+        self.met = np.zeros(0, np.int64)
 
     def full(self) -> bool:
         return len(self.places) > WORDS or self.chars > WORD_CHARS
 
+    def forget(self) -> None:
+        """Make room: keep the words met most often, more than once and with half of the room at most.
+        The places of words change."""
+        words = list(self.places)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-self.met, kind="stable")
+        room = (np.arange(1, len(words) + 1) <= WORDS // 2) & (np.cumsum(sizes[order]) <= WORD_CHARS // 2)
+        keep = np.sort(order[room & (self.met[order] > 1)])
+        kept = list(map(words.__getitem__, keep.tolist()))
+        self.places = dict(zip(kept, range(len(kept)), strict=True))
+        self.chars = int(sizes[keep].sum())
+        self.table = self.table[keep]
+        at, size = _picked(self.starts, keep)
+        self.starts, self.keys = np.append(0, np.cumsum(size)), self.keys[at]
+        self.met = np.zeros(len(kept), np.int64)
+        if self.pairs is not None:
+            self.groups = list(map(self.groups.__getitem__, keep.tolist()))
+            self.gains = self.gains[keep]
+            at, size = _picked(self.rare_starts, keep)
+            self.rare_starts, self.rare = np.append(0, np.cumsum(size)), self.rare[at]
+
     def add(self, words: list[str]) -> None:
         """Tokenize new words and link their tokens."""
         tokens = self.tokenizers.encode(words)
@@ -289,6 +317,7 @@ class Words:
         self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
         self.chars += sum(map(len, words))
         self.table = np.concatenate([self.table, new])
+        self.met = np.append(self.met, np.zeros(len(words), np.int64))
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(links))
         self.keys = np.concatenate([self.keys, keys])
         if self.pairs is not None:
@@ -319,13 +348,14 @@ class Words:
         """Places of all words of the texts, and how many each text has."""
         lists = [words_of(t) for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        places = self.places
-        new = set(chain.from_iterable(lists)).difference(places)
-        if new:
-            self.add(sorted(new))
-        rows = np.fromiter(
-            map(places.__getitem__, chain.from_iterable(lists)), np.int64, counts.sum()
-        )
+        every, places = list(chain.from_iterable(lists)), self.places
+        rows = np.fromiter(map(places.get, every, repeat(-1)), np.int64, len(every))
+        unseen = np.flatnonzero(rows < 0)
+        if len(unseen):
+            words = list(map(every.__getitem__, unseen.tolist()))
+            self.add(list(dict.fromkeys(words)))
+            rows[unseen] = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        self.met += np.bincount(rows, minlength=len(self.met))
         return rows, counts
 
 
@@ -333,7 +363,14 @@ def words_of(text: str | None) -> list[str]:
     """The text's parts between blanks over which no token goes."""
     if not text:
         return []
-    return _cut.split(text) if _odd.search(text) else text.split(" ")
+    return _cut.split(text) if _odd(text) else text.split(" ")
+
+
+def _odd(text: str) -> bool:
+    """Whether the text begins or ends with a blank or has one behind white space."""
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return True
+    return any(c in text and f"{c} " in text for c in _WHITE)
 
 
 class Pairs:
@@ -356,22 +393,30 @@ def _tokenizers(first: str, second: str) -> Tokenizers:
     return Tokenizers(first, second)
 
 
-#: What this worker remembered last, by the name of the pairs that were broadcast.
+#: What this worker remembered last, by the name of the step that it is for.
 _remembered: dict[str, Words] = {}
 
 
+def _words(name: str, first: str, second: str, pairs=None) -> Words:
+    """The words that this worker remembers for a step, also those of the step's other tasks."""
+    if name not in _remembered:
+        _remembered.clear()
+        _remembered[name] = Words(_tokenizers(first, second), pairs and Pairs(*pairs.value))
+    return _remembered[name]
+
+
 def _count(first: str, second: str):
     """Texts to counts of linked pairs, summed as far as a task's memory allows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(_tokenizers(first, second))
+        words = _words(f"{first} {second}", first, second)
         often = np.zeros(0, np.int64)
 
         def rows() -> pa.RecordBatch:
-            at, size = _picked(words.starts, np.arange(len(often)))
+            here = np.flatnonzero(often)  # words of this task
+            at, size = _picked(words.starts, here)
             keys, place = np.unique(words.keys[at], return_inverse=True)
-            n = np.bincount(place, np.repeat(often, size), minlength=len(keys)).astype(np.int64)
-            keys, n = keys[n > 0], n[n > 0]
+            n = np.bincount(place, np.repeat(often[here], size), minlength=len(keys)).astype(np.int64)
             columns = [pa.array(x) for x in (keys // WIDTH, keys % WIDTH, n)]
             return pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
 
@@ -379,7 +424,7 @@ def _count(first: str, second: str):
             for part in text_slices(batch["text"]):
                 if words.full():
                     yield rows()
-                    words.clear()
+                    words.forget()
                     often = np.zeros(0, np.int64)
                 placed, counts = words.of(part)
                 often = np.pad(often, (0, len(words.places) - len(often)))
@@ -402,13 +447,10 @@ def _align_udf(first: str, second: str, pairs, digest: bool):
 
     @F.arrow_udf(FOUND)
     def align(texts: pa.Array) -> pa.Array:
-        if name not in _remembered:
-            _remembered.clear()
-            _remembered[name] = Words(_tokenizers(first, second), Pairs(*pairs.value))
-        words, parts = _remembered[name], []
+        words, parts = _words(name, first, second, pairs), []
         for part in text_slices(texts):
             if words.full():
-                words.clear()
+                words.forget()
             parts.append(_aligned(words, part, digest))
         return pa.concat_arrays(parts or [_aligned(words, [], digest)])
 

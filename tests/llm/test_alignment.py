@@ -7,7 +7,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 
 from meterlens.llm import alignment as A
 from meterlens.llm.queries import aligned_tokens
@@ -162,3 +164,60 @@ def test_other_columns_nulls_and_empty_tables(spark):
         assert [c for c in got.columns if c not in A.NAMES] == ["doc_id", "text", "found"]
         assert len(got.collect()) == 3
         assert A.with_alignment(docs.limit(0), common_pairs=common).count() == 0
+
+
+def test_tasks_share_words_and_frequent_ones_are_kept(monkeypatch):
+    encoded = []
+    plain = A.Tokenizers.encode
+    monkeypatch.setattr(A.Tokenizers, "encode", lambda self, words: (encoded.extend(words), plain(self, words))[1])
+    monkeypatch.setattr(A, "_remembered", {})
+    monkeypatch.setattr(A, "WORDS", 8)
+    count = A._count(A.FIRST, A.SECOND)
+
+    def task(*texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        found = pa.Table.from_batches(count(iter([batch]))).to_pylist()
+        return {(r["a"], r["b"]): r["n"] for r in found}
+
+    first = task("the cat and the dog", "one two three", None)
+    assert sorted(encoded) == ["and", "cat", "dog", "one", "the", "three", "two"]
+    assert task("the cat and the dog", "one two three", None) == first
+    assert len(encoded) == 7  # another task of the worker
+    once = task("the four five six seven")
+    assert len(encoded) == 11
+    # Now there is no more room: words met twice at least stay, half of the room at most.
+    assert task("the four five six seven") == once
+    assert encoded.count("the") == 1
+    assert len(encoded) == 15
+    words = A._remembered[f"{A.FIRST} {A.SECOND}"]
+    assert len(words.places) == len(words.table) == len(words.met) == len(words.starts) - 1
+
+
+def test_kept_words_keep_their_results(tokenizers, monkeypatch):
+    texts = generated(5, 80)
+    rng = np.random.default_rng(2)
+    every = A.Words(tokenizers)
+    every.of(texts)
+    keys = np.unique(every.keys)
+    known = keys[rng.random(len(keys)) < 0.7]
+    pairs = A.Pairs(known, rng.integers(1, 9, len(known)), rng.random(len(known)) < 0.5)
+    want = A._aligned(A.Words(tokenizers, pairs), texts, False).to_pylist()
+    monkeypatch.setattr(A, "WORDS", 40)
+    words, got, kept = A.Words(tokenizers, pairs), [], 0
+    for text in texts:
+        if words.full():
+            words.forget()
+            kept += len(words.places)
+            assert len(words.places) <= 20 and words.chars <= A.WORD_CHARS // 2
+        got += A._aligned(words, [text], False).to_pylist()
+    assert got == want
+    assert kept
+
+
+def test_words_are_cut_at_the_same_blanks_by_both_ways():
+    rng = random.Random(4)
+    signs = [chr(c) for c in range(0x110000) if regex.match(r"\s", chr(c))] + [" "] * 9 + list("abé文\x1c🙂")
+    for _ in range(3000):
+        text = "".join(rng.choices(signs, k=rng.randrange(1, 7)))
+        assert A.words_of(text) == A._cut.split(text)
+        assert A._odd(text) == bool(regex.search(r"\A |\s | \Z", text))
